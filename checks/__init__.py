@@ -1,0 +1 @@
+"""Independent SQL for every registered report."""
