@@ -99,21 +99,24 @@ def variance_explained(
 ) -> DataFrame:
     """Share of a measure's variance left out by subtracting each group's median.
 
-    ``keys`` maps a name to a grouping column.  Works on counted values and on
-    doubled integers (a median of whole numbers is a multiple of one half), and
-    keeps the rows that belong to a group under every key.  Returns one row:
-    size, total variance, and per name the within variance.
+    ``keys`` maps a name to a grouping column.  Medians come from windows over
+    counted values, so a window partition holds distinct values and not rows, and
+    the input is read once.  Sums are of doubled integers (a median of whole
+    numbers is a multiple of one half) over the rows that belong to a group under
+    every key.  Returns one row: size, total variance, and per name the within
+    variance.
     """
     groups = list(dict.fromkeys(keys.values()))
-    counted = value_counts(df, [measure], groups)
-    twice = (2 * F.col("value")).alias("twice")
-    placed = counted.select(*groups, "value", "n", twice)
-    for name, column in keys.items():
-        centre = (
-            counted.groupBy(column)
-            .agg((2 * quantile(F.col("value"), 0.5)).cast("long").alias(f"centre_{name}"))
-        )
-        placed = placed.join(centre, column)
+    middle = quantile(F.col("value"), 0.5)
+    centres = {
+        f"centre_{name}": (2 * middle.over(Window.partitionBy(column))).cast("long")
+        for name, column in keys.items()
+    }
+    placed = (
+        value_counts(df, [measure], groups)
+        .withColumns({"twice": 2 * F.col("value"), **centres})
+        .dropna(subset=groups)
+    )
     sums = {f"all_{k}": c for k, c in moments(F.col("twice")).items()}
     for name in keys:
         rest = F.col("twice") - F.col(f"centre_{name}")

@@ -1,13 +1,13 @@
 from .marketplace import Sources, land, read_landed, read_marketplace_csv
 from .schemas import SCHEMAS, conform
-from .tpch import tpch_sources
+from .tpch import TpchSources
 
 __all__ = [
     "SCHEMAS",
     "Sources",
+    "TpchSources",
     "conform",
     "land",
     "read_landed",
     "read_marketplace_csv",
-    "tpch_sources",
 ]

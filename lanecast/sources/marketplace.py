@@ -13,11 +13,7 @@ from .schemas import SCHEMAS, conform
 
 @dataclass(frozen=True)
 class Sources:
-    """The eight input tables.
-
-    ``headers`` (order, customer, status, purchase time) serves the reports that
-    need no delivery dates; a source that derives those dates can give it cheaply.
-    """
+    """The eight input tables."""
 
     orders: DataFrame
     customers: DataFrame
@@ -27,18 +23,16 @@ class Sources:
     translation: DataFrame
     reviews: DataFrame
     payments: DataFrame
-    headers: DataFrame | None = None
 
     @property
     def order_headers(self) -> DataFrame:
-        if self.headers is not None:
-            return self.headers
+        """All that the reports without delivery dates read."""
         return self.orders.select(
             "order_id", "customer_id", "order_status", "order_purchase_timestamp"
         )
 
 
-TABLES = tuple(f.name for f in fields(Sources) if f.name != "headers")
+TABLES = tuple(f.name for f in fields(Sources))
 
 
 def read_marketplace_csv(

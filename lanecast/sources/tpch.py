@@ -6,177 +6,189 @@ from the keys with integer arithmetic: any engine derives the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from functools import cached_property
 
-from .marketplace import Sources
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DAY = 86_400
 
+# The columns read and their types; stating them saves a job per table.
+COLUMNS = {
+    "nation": "n_nationkey int, n_name string",
+    "customer": "c_custkey long, c_nationkey int",
+    "supplier": "s_suppkey long, s_nationkey int",
+    "part": "p_partkey long, p_type string, p_size int",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp_ntz",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, "
+    "l_shipdate timestamp_ntz, l_extendedprice double",
+}
+
+
+def _status() -> str:
+    return "if(o_orderstatus = 'P', 'shipped', 'delivered')"
+
+
+def _after(ts: str, seconds: str) -> str:
+    return f"timestampadd(SECOND, int({seconds}), {ts})"
+
+
+PURCHASE = _after("o_orderdate", f"(o_orderkey * 7919) % {DAY}")
+
+
+class TpchSources:
+    """The eight source tables, each derived when first used."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark = spark
+        self.folder = sf_dir.rstrip("/")
+
+    def read(self, table: str) -> DataFrame:
+        return self.spark.read.schema(COLUMNS[table]).parquet(f"{self.folder}/{table}.parquet")
+
+    @cached_property
+    def order_headers(self) -> DataFrame:
+        """Orders without delivery dates, which need no other table."""
+        return self.read("orders").selectExpr(
+            "o_orderkey AS order_id",
+            "o_custkey AS customer_id",
+            f"{_status()} AS order_status",
+            f"{PURCHASE} AS order_purchase_timestamp",
+        )
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        """Orders with five timestamps; travel time depends on both parties' nations.
+
+        ``k`` is the order key, ``sn`` and ``cn`` the nation keys of the order's
+        highest supplier key and of its customer.
+        """
+        last_supplier = (
+            self.read("lineitem")
+            .groupBy("l_orderkey")
+            .agg(F.max("l_suppkey").alias("s_suppkey"))
+            .join(self.read("supplier").select("s_suppkey", "s_nationkey"), "s_suppkey")
+            .selectExpr("l_orderkey AS o_orderkey", "s_nationkey")
+        )
+        customer = self.read("customer").selectExpr("c_custkey AS o_custkey", "c_nationkey")
+        keyed = (
+            self.read("orders")
+            .join(last_supplier, "o_orderkey", "left")
+            .join(customer, "o_custkey", "left")
+            .selectExpr(
+                "o_orderkey AS k",
+                "o_custkey AS customer_id",
+                f"{_status()} AS order_status",
+                "o_orderdate",
+                f"{PURCHASE} AS purchase",
+                "coalesce(bigint(s_nationkey), 0) AS sn",
+                "bigint(c_nationkey) AS cn",
+            )
+        )
+        approval_wait = "if(k % 13 = 0, (k * 104729) % 172800, (k * 104729) % 7200)"
+        handoff_wait = (
+            "CASE WHEN k % 1009 = 0 THEN -(691200 + (k * 31) % 864000) "
+            "WHEN k % 71 = 0 THEN -((k * 48611) % 259200) ELSE (k * 15485) % 518400 END"
+        )
+        travel = (
+            f"{DAY} * (2 + (sn + cn) % 9) + (k * 32452) % ({DAY} * (1 + (sn * cn) % 17)) "
+            f"+ if(k % 19 = 0, (k * 99991) % ({DAY} * 25), 0)"
+        )
+        return (
+            keyed.selectExpr("*", f"{_after('purchase', approval_wait)} AS approved")
+            .selectExpr("*", f"{_after('approved', handoff_wait)} AS shipped")
+            .selectExpr("*", f"{_after('shipped', travel)} AS delivered")
+            .selectExpr(
+                "k AS order_id",
+                "customer_id",
+                "order_status",
+                "purchase AS order_purchase_timestamp",
+                "if(k % 211 <> 0, approved, NULL) AS order_approved_at",
+                "if(k % 307 <> 0, shipped, NULL) AS order_delivered_carrier_date",
+                "if(k % 401 <> 0, delivered, NULL) AS order_delivered_customer_date",
+                f"{_after('o_orderdate', f'{DAY} * (12 + (sn + cn) % 9 + k % 5)')} "
+                "AS order_estimated_delivery_date",
+            )
+        )
 
-def _plus(ts: Column, seconds: Column) -> Column:
-    return F.timestamp_add("SECOND", seconds.cast("int"), ts)
-
-
-def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
-
-
-def _status() -> Column:
-    return F.when(F.col("o_orderstatus") == "P", "shipped").otherwise("delivered")
-
-
-def _purchase(k: Column) -> Column:
-    return _plus(F.col("o_orderdate"), (k * 7919) % DAY)
-
-
-def order_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    return _read(spark, sf_dir, "orders").select(
-        k.alias("order_id"),
-        F.col("o_custkey").alias("customer_id"),
-        _status().alias("order_status"),
-        _purchase(k).alias("order_purchase_timestamp"),
-    )
-
-
-def order_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders with five timestamps; travel time depends on both parties' nations."""
-    last_supplier = (
-        _read(spark, sf_dir, "lineitem")
-        .groupBy(F.col("l_orderkey").alias("o_orderkey"))
-        .agg(F.max("l_suppkey").alias("s_suppkey"))
-        .join(_read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), "s_suppkey")
-        .select("o_orderkey", F.col("s_nationkey").cast("long").alias("sn"))
-    )
-    customer = _read(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("long").alias("cn")
-    )
-    k, sn, cn = F.col("o_orderkey"), F.col("sn"), F.col("cn")
-    orders = (
-        _read(spark, sf_dir, "orders")
-        .select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
-        .join(last_supplier, "o_orderkey", "left")
-        .join(customer, "o_custkey", "left")
-        .withColumn("sn", F.coalesce(sn, F.lit(0)))
-        .withColumn("purchase", _purchase(k))
-    )
-    approval_wait = (k * 104_729) % F.when(k % 13 == 0, 172_800).otherwise(7_200)
-    handoff_wait = (
-        F.when(k % 1009 == 0, -(691_200 + (k * 31) % 864_000))
-        .when(k % 71 == 0, -((k * 48_611) % 259_200))
-        .otherwise((k * 15_485) % 518_400)
-    )
-    travel = (
-        (2 + (sn + cn) % 9) * DAY
-        + (k * 32_452) % (DAY * (1 + (sn * cn) % 17))
-        + F.when(k % 19 == 0, (k * 99_991) % (DAY * 25)).otherwise(0)
-    )
-    staged = (
-        orders.withColumn("approved", _plus(F.col("purchase"), approval_wait))
-        .withColumn("shipped", _plus(F.col("approved"), handoff_wait))
-        .withColumn("delivered", _plus(F.col("shipped"), travel))
-    )
-    promised = _plus(F.col("o_orderdate"), (12 + (sn + cn) % 9 + k % 5) * DAY)
-    return staged.select(
-        k.alias("order_id"),
-        F.col("o_custkey").alias("customer_id"),
-        _status().alias("order_status"),
-        F.col("purchase").alias("order_purchase_timestamp"),
-        F.when(k % 211 != 0, F.col("approved")).alias("order_approved_at"),
-        F.when(k % 307 != 0, F.col("shipped")).alias("order_delivered_carrier_date"),
-        F.when(k % 401 != 0, F.col("delivered")).alias("order_delivered_customer_date"),
-        promised.alias("order_estimated_delivery_date"),
-    )
-
-
-def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = _read(spark, sf_dir, "nation").select(
-        F.col("n_nationkey").alias("c_nationkey"), "n_name"
-    )
-    key = F.col("c_custkey")
-    return (
-        _read(spark, sf_dir, "customer")
-        .select("c_custkey", "c_nationkey")
-        .join(nation, "c_nationkey", "left")
-        .select(
-            key.alias("customer_id"),
-            (key - key % 2).alias("customer_unique_id"),
-            F.lpad(key.cast("string"), 5, "0").alias("customer_zip_code_prefix"),
-            F.concat(F.lit("CITY_"), (key % 50).cast("string")).alias("customer_city"),
-            F.when(key % 97 != 0, F.col("n_name")).alias("customer_state"),
+    @cached_property
+    def customers(self) -> DataFrame:
+        nation = self.read("nation").selectExpr("n_nationkey AS c_nationkey", "n_name")
+        return (
+            self.read("customer")
+            .join(nation, "c_nationkey", "left")
+            .selectExpr(
+                "c_custkey AS customer_id",
+                "c_custkey - c_custkey % 2 AS customer_unique_id",
+                "lpad(string(c_custkey), 5, '0') AS customer_zip_code_prefix",
+                "concat('CITY_', c_custkey % 50) AS customer_city",
+                "if(c_custkey % 97 <> 0, n_name, NULL) AS customer_state",
+            )
         )
-    )
-
-
-def _sellers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = _read(spark, sf_dir, "nation").select(
-        F.col("n_nationkey").alias("s_nationkey"), "n_name"
-    )
-    key = F.col("s_suppkey")
-    return (
-        _read(spark, sf_dir, "supplier")
-        .select("s_suppkey", "s_nationkey")
-        .join(nation, "s_nationkey", "left")
-        .select(
-            key.alias("seller_id"),
-            F.lpad(key.cast("string"), 5, "0").alias("seller_zip_code_prefix"),
-            F.concat(F.lit("CITY_"), (key % 50).cast("string")).alias("seller_city"),
-            F.col("n_name").alias("seller_state"),
+
+    @cached_property
+    def sellers(self) -> DataFrame:
+        nation = self.read("nation").selectExpr("n_nationkey AS s_nationkey", "n_name")
+        return (
+            self.read("supplier")
+            .join(nation, "s_nationkey", "left")
+            .selectExpr(
+                "s_suppkey AS seller_id",
+                "lpad(string(s_suppkey), 5, '0') AS seller_zip_code_prefix",
+                "concat('CITY_', s_suppkey % 50) AS seller_city",
+                "n_name AS seller_state",
+            )
         )
-    )
-
-
-def _reviews(orders: DataFrame) -> DataFrame:
-    """Up to two reviews per order; both may carry one date, so the id breaks the tie."""
-    k, r = F.col("order_id"), F.col("r")
-    arrived_late = (
-        F.col("order_delivered_customer_date") > F.col("order_estimated_delivery_date")
-    )
-    low, high = 1 + (k * 31 + r) % 3, 3 + (k * 17 + r) % 3
-    wait = F.when(k % 58 == 0, 1).otherwise(r) * DAY
-    return (
-        orders.withColumn("r", F.explode(F.array(F.lit(1), F.lit(2))))
-        .where(((r == 1) & (k % 143 != 0)) | ((r == 2) & (k % 29 == 0)))
-        .select(
-            (k * 10 + r).alias("review_id"),
-            "order_id",
-            F.when(arrived_late, low).otherwise(high).cast("int").alias("review_score"),
-            _plus(F.col("order_estimated_delivery_date"), wait).alias("review_creation_date"),
+
+    @cached_property
+    def items(self) -> DataFrame:
+        return self.read("lineitem").selectExpr(
+            "l_orderkey AS order_id",
+            "l_partkey AS product_id",
+            "l_suppkey AS seller_id",
+            "l_shipdate AS shipping_limit_date",
+            "l_extendedprice AS price",
         )
-    )
-
-
-def tpch_sources(spark: SparkSession, sf_dir: str) -> Sources:
-    lineitem = _read(spark, sf_dir, "lineitem")
-    part = _read(spark, sf_dir, "part")
-    orders = order_timeline(spark, sf_dir)
-    category = F.when(F.col("p_partkey") % 23 != 0, F.lower("p_type"))
-    return Sources(
-        orders=orders,
-        headers=order_headers(spark, sf_dir),
-        customers=_customers(spark, sf_dir),
-        sellers=_sellers(spark, sf_dir),
-        items=lineitem.select(
-            F.col("l_orderkey").alias("order_id"),
-            F.col("l_partkey").alias("product_id"),
-            F.col("l_suppkey").alias("seller_id"),
-            F.col("l_shipdate").alias("shipping_limit_date"),
-            F.col("l_extendedprice").alias("price"),
-        ),
-        products=part.select(
-            F.col("p_partkey").alias("product_id"),
-            category.alias("product_category_name"),
-            (F.col("p_size") * F.lit(100.0)).alias("product_weight_g"),
-        ),
-        translation=spark.sql(
+
+    @cached_property
+    def products(self) -> DataFrame:
+        return self.read("part").selectExpr(
+            "p_partkey AS product_id",
+            "if(p_partkey % 23 <> 0, lower(p_type), NULL) AS product_category_name",
+            "p_size * 100.0D AS product_weight_g",
+        )
+
+    @cached_property
+    def translation(self) -> DataFrame:
+        return self.spark.sql(
             "SELECT * FROM VALUES ('economy', 'economy_en'), ('promo', 'promo_en'), "
             "('large', 'large_en'), ('small', 'small_en') "
             "AS t(product_category_name, product_category_name_english)"
-        ),
-        reviews=_reviews(orders),
-        payments=lineitem.where(F.col("l_orderkey") % 113 != 0).select(
-            F.col("l_orderkey").alias("order_id"),
-            F.col("l_extendedprice").cast("decimal(18,2)").alias("payment_value"),
-        ),
-    )
+        )
+
+    @cached_property
+    def reviews(self) -> DataFrame:
+        """Up to two reviews per order; both may carry one date, so the id breaks the tie."""
+        late = "order_delivered_customer_date > order_estimated_delivery_date"
+        wait = f"{DAY} * if(order_id % 58 = 0, 1, r)"
+        return (
+            self.orders.withColumn("r", F.explode(F.array(F.lit(1), F.lit(2))))
+            .where("if(r = 1, order_id % 143 <> 0, order_id % 29 = 0)")
+            .selectExpr(
+                "order_id * 10 + r AS review_id",
+                "order_id",
+                f"int(if({late}, 1 + (order_id * 31 + r) % 3, 3 + (order_id * 17 + r) % 3)) "
+                "AS review_score",
+                f"{_after('order_estimated_delivery_date', wait)} AS review_creation_date",
+            )
+        )
+
+    @cached_property
+    def payments(self) -> DataFrame:
+        return (
+            self.read("lineitem")
+            .where("l_orderkey % 113 <> 0")
+            .selectExpr(
+                "l_orderkey AS order_id", "CAST(l_extendedprice AS decimal(18,2)) AS payment_value"
+            )
+        )
