@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pct, ratio
-from .distribution import quantile, share_of_total
+from .distribution import quantiles, share_of_total
 
 TRAIN, TEST = "1_train", "2_test"
 
@@ -92,7 +92,7 @@ def promise_name(fraction: float) -> str:
 def calibrate(
     counted: DataFrame,
     keys: Sequence[str],
-    quantiles: Sequence[float],
+    fractions: Sequence[float],
     min_orders: int = 0,
     actual: str = "total_days",
 ) -> DataFrame:
@@ -100,13 +100,14 @@ def calibrate(
 
     No keys gives the single national row.  ``counted`` holds (keys, actual, n).
     """
+    marks = quantiles(F.col(actual), *fractions).alias("q")
     promises = [
-        F.ceil(quantile(F.col(actual), q)).cast("int").alias(promise_name(q)) for q in quantiles
+        F.ceil(F.col("q")[i]).cast("int").alias(promise_name(f)) for i, f in enumerate(fractions)
     ]
     if not keys:
-        return counted.agg(*promises)
-    table = counted.groupBy(*keys).agg(F.sum("n").alias("n_train"), *promises)
-    return table.where(F.col("n_train") >= min_orders) if min_orders > 0 else table
+        return counted.agg(marks).select(*promises)
+    table = counted.groupBy(*keys).agg(F.sum("n").alias("n_train"), marks)
+    return table.where(F.col("n_train") >= min_orders).select(*keys, "n_train", *promises)
 
 
 def count_days(fact: DataFrame, keys: Sequence[str], actual: str = "total_days") -> DataFrame:
@@ -161,7 +162,7 @@ def apply_promises(
     lane: DataFrame,
     state: DataFrame,
     national: DataFrame,
-    quantiles: Sequence[float],
+    fractions: Sequence[float],
 ) -> DataFrame:
     """Test rows (or cells) with the current promise and the recalibrated ones."""
     return tiered_lookup(
@@ -169,7 +170,7 @@ def apply_promises(
         [Tier("1_lane", "lane", lane), Tier("2_state", "customer_state", state)],
         "3_national",
         national,
-        {f"new_{round(q * 100)}": promise_name(q) for q in quantiles},
+        {f"new_{round(f * 100)}": promise_name(f) for f in fractions},
         "promise_source",
     )
 

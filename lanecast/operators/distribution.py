@@ -41,9 +41,12 @@ def value_counts(
     return long.groupBy(*keys, "measure", "value").agg(*counts)
 
 
-def quantile(value: Column, fraction: float, weight: str = "n") -> Column:
-    """Exact interpolated quantile of counted values; NULL values do not count."""
-    return F.percentile(value, F.lit(fraction), F.col(weight))
+def quantiles(value: Column, *fractions: float, weight: str = "n") -> Column:
+    """Exact interpolated quantiles of counted values, as one array.
+
+    NULL values do not count.  One aggregate serves all fractions.
+    """
+    return F.percentile(value, F.array(*[F.lit(f) for f in fractions]), F.col(weight))
 
 
 def value_of(measure: str) -> Column:
@@ -107,9 +110,9 @@ def variance_explained(
     variance.
     """
     groups = list(dict.fromkeys(keys.values()))
-    middle = quantile(F.col("value"), 0.5)
+    middle = quantiles(F.col("value"), 0.5)
     centres = {
-        f"centre_{name}": (2 * middle.over(Window.partitionBy(column))).cast("long")
+        f"centre_{name}": (2 * middle.over(Window.partitionBy(column))[0]).cast("long")
         for name, column in keys.items()
     }
     placed = (

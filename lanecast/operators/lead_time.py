@@ -9,7 +9,7 @@ from ..functions import day_diff, days, hour_boundaries, pct, ratio
 from ..settings import Settings
 from .distribution import (
     moments,
-    quantile,
+    quantiles,
     rows_of,
     value_counts,
     value_of,
@@ -44,7 +44,11 @@ def build_base(orders: DataFrame, s: Settings) -> DataFrame:
 
     ``is_late`` compares moments and ``promise_error_days`` compares dates, so an
     order that arrives during its promised day may be late with an error of 0.
+    Orders landed by month are read for the window's months only.
     """
+    if "purchase_month" in orders.columns:
+        first, last = (f"{t:%Y-%m}" for t in (s.window_start, s.window_end))
+        orders = orders.where(F.col("purchase_month").between(first, last))
     delivered = F.col("order_delivered_customer_date")
     promised = F.col("order_estimated_delivery_date")
     approved = F.col("order_approved_at")
@@ -99,25 +103,31 @@ def headline(base: DataFrame) -> DataFrame:
     return counted.agg(
         F.sum("n").alias("n_orders"),
         ratio(F.sum(total * F.col("n")), F.sum("n")).alias("mean_days"),
-        quantile(total, 0.5).alias("median_days"),
-        quantile(total, 0.95).alias("p95_days"),
+        quantiles(total, 0.5, 0.95).alias("q"),
         pct(F.sum("late"), F.sum("late_known")).alias("pct_late"),
         ratio(F.sum(error * F.col("n")), error_rows).alias("mean_promise_error"),
         F.sum("suspect").alias("n_approval_suspect"),
+    ).select(
+        "n_orders",
+        "mean_days",
+        F.col("q")[0].alias("median_days"),
+        F.col("q")[1].alias("p95_days"),
+        "pct_late",
+        "mean_promise_error",
+        "n_approval_suspect",
     )
 
 
 def promise_error_percentiles(base: DataFrame) -> DataFrame:
     error = F.col("promise_error_days")
     counted = base.groupBy("promise_error_days").agg(F.count("*").alias("n"))
+    marks = {"p05": 0.05, "p25": 0.25, "median_error": 0.50, "p75": 0.75, "p95": 0.95}
     return counted.agg(
         F.min(error).alias("min_error"),
-        quantile(error, 0.05).alias("p05"),
-        quantile(error, 0.25).alias("p25"),
-        quantile(error, 0.50).alias("median_error"),
-        quantile(error, 0.75).alias("p75"),
-        quantile(error, 0.95).alias("p95"),
+        quantiles(error, *marks.values()).alias("q"),
         F.max(error).alias("max_error"),
+    ).select(
+        "min_error", *[F.col("q")[i].alias(name) for i, name in enumerate(marks)], "max_error"
     )
 
 
@@ -127,17 +137,17 @@ def segment_distributions(segments: DataFrame) -> DataFrame:
     value = F.col("value")
     summed = counted.groupBy(F.regexp_replace("measure", "_hours$", "").alias("segment")).agg(
         *[c.alias(k) for k, c in moments().items()],
-        quantile(value, 0.5).alias("median"),
-        quantile(value, 0.95).alias("p95"),
+        quantiles(value, 0.5, 0.95).alias("q"),
     )
+    median, p95 = F.col("q")[0], F.col("q")[1]
     spread = variance(F.col("size"), F.col("total"), F.col("squares"), sample=True)
     return summed.select(
         "segment",
         days(ratio(F.col("total"), F.col("size"))).alias("mean_days"),
-        days(F.col("median")).alias("median_days"),
-        days(F.col("p95")).alias("p95_days"),
+        days(median).alias("median_days"),
+        days(p95).alias("p95_days"),
         days(F.sqrt(spread)).alias("stddev_days"),
-        days(F.col("p95") - F.col("median")).alias("tail_spread"),
+        days(p95 - median).alias("tail_spread"),
     )
 
 
@@ -164,7 +174,7 @@ def segments_by_lateness(segments: DataFrame) -> DataFrame:
     counted = value_counts(trusted(segments), SEGMENT_HOURS, ["is_late"])
     return counted.groupBy("is_late").agg(
         rows_of(SEGMENT_HOURS[0]).alias("n_orders"),
-        *[days(quantile(value_of(f"{s}_hours"), 0.5)).alias(s) for s in SEGMENTS],
+        *[days(quantiles(value_of(f"{s}_hours"), 0.5)[0]).alias(s) for s in SEGMENTS],
     )
 
 

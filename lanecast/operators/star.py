@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import latest_first, pct
-from .distribution import quantile, rows_of, share_of_total, value_counts, value_of
+from ..functions import days, latest_first, pct
+from .distribution import quantiles, rows_of, share_of_total, value_counts, value_of
 from .lead_time import trusted
 
 LANE_ARROW = " -> "
@@ -147,28 +147,35 @@ def multi_seller_effect(segments: DataFrame, profile: DataFrame) -> DataFrame:
     kind = F.when(F.col("n_sellers") == 1, "single seller").otherwise("multi seller")
     joined = trusted(segments).join(profile.select("order_id", "n_sellers"), "order_id")
     counted = value_counts(joined.withColumn("grp", kind), ["transit_hours"], ["grp"], "is_late")
-    value = F.col("value")
-    return counted.groupBy("grp").agg(
+    summed = counted.groupBy("grp").agg(
         F.sum("n").alias("n_orders"),
-        (quantile(value, 0.5) / 24.0).alias("median_transit"),
-        (quantile(value, 0.95) / 24.0).alias("p95_transit"),
+        quantiles(F.col("value"), 0.5, 0.95).alias("q"),
         pct(F.sum("n_flag"), F.sum("n_flag_known")).alias("pct_late"),
     )
+    return summed.select("grp", "n_orders", *transit_columns(), "pct_late")
+
+
+def transit_columns() -> list[Column]:
+    """Median and p95 transit in days, from the hour quantiles in ``q``."""
+    return [
+        days(F.col("q")[0]).alias("median_transit"),
+        days(F.col("q")[1]).alias("p95_transit"),
+    ]
 
 
 def place_profile(df: DataFrame, key: str) -> DataFrame:
     """Per place (state or lane): volume, transit, promise error, late share."""
     counted = value_counts(df, ["transit_hours", "promise_error_days"], [key], "is_late")
     transit, error = value_of("transit_hours"), value_of("promise_error_days")
-    return counted.groupBy(key).agg(
+    late = pct(rows_of("transit_hours", "n_flag"), rows_of("transit_hours", "n_flag_known"))
+    summed = counted.groupBy(key).agg(
         rows_of("transit_hours").alias("n_orders"),
-        (quantile(transit, 0.5) / 24.0).alias("median_transit"),
-        (quantile(transit, 0.95) / 24.0).alias("p95_transit"),
-        quantile(error, 0.5).alias("median_promise_error"),
-        pct(rows_of("transit_hours", "n_flag"), rows_of("transit_hours", "n_flag_known")).alias(
-            "pct_late"
-        ),
+        quantiles(transit, 0.5, 0.95).alias("q"),
+        quantiles(error, 0.5).alias("e"),
+        late.alias("pct_late"),
     )
+    median_error = F.col("e")[0].alias("median_promise_error")
+    return summed.select(key, "n_orders", *transit_columns(), median_error, "pct_late")
 
 
 def largest(df: DataFrame, key: str, k: int, volume: str = "n_orders") -> DataFrame:
@@ -183,7 +190,7 @@ def fastest_and_slowest(df: DataFrame, key: str, min_orders: int, k: int) -> Dat
         counted.groupBy(key)
         .agg(
             F.sum("n").alias("n_orders"),
-            (quantile(F.col("value"), 0.5) / 24.0).alias("median_transit"),
+            days(quantiles(F.col("value"), 0.5)[0]).alias("median_transit"),
         )
         .where(F.col("n_orders") >= min_orders)
     )
@@ -214,21 +221,20 @@ def lane_coverage(fact: DataFrame) -> DataFrame:
 def lane_tails(fact: DataFrame, min_orders: int) -> DataFrame:
     """Per lane with enough orders: tail spread, late share and median transit."""
     counted = value_counts(trusted(fact), ["transit_hours"], ["lane"], "is_late")
-    value = F.col("value")
+    median, p95 = F.col("q")[0], F.col("q")[1]
     return (
         counted.groupBy("lane")
         .agg(
             F.sum("n").alias("n"),
-            quantile(value, 0.5).alias("median"),
-            quantile(value, 0.95).alias("p95"),
+            quantiles(F.col("value"), 0.5, 0.95).alias("q"),
             pct(F.sum("n_flag"), F.sum("n_flag_known")).alias("pct_late"),
         )
         .where(F.col("n") >= min_orders)
         .select(
             "lane",
             "n",
-            ((F.col("p95") - F.col("median")) / 24.0).alias("tail_spread"),
+            days(p95 - median).alias("tail_spread"),
             "pct_late",
-            (F.col("median") / 24.0).alias("median_transit"),
+            days(median).alias("median_transit"),
         )
     )

@@ -23,6 +23,23 @@ class Marts:
     written: they are small and feed every calibration report several times.
     """
 
+    # Names of the published tables.
+    TABLES = (
+        "orders_base",
+        "orders_segments",
+        "orders_geo",
+        "order_seller_profile",
+        "dim_customer_geo",
+        "dim_seller_geo",
+        "order_origin",
+        "fct_orders",
+        "lane_promise",
+        "state_promise",
+        "national_promise",
+        "test_eval",
+        "order_outcomes",
+    )
+
     def __init__(
         self, sources: Sources, settings: Settings = MARKETPLACE, store: str | None = None
     ):
@@ -116,9 +133,9 @@ class Marts:
     def test_eval(self) -> DataFrame:
         """One row per test order with every policy's promise.
 
-        The only calibration table at order grain: its fact is written once, as
-        training and test both read it, and the promise tables are frozen so
-        that their measured size decides how they are joined.
+        The only calibration table at order grain.  Training and test both read
+        the fact, so its few columns are written once; the cells and the promise
+        tables are frozen too, and their measured size decides how they join.
         """
         s = self.settings
         columns = [
@@ -128,7 +145,8 @@ class Marts:
         fact = self.fact.select(columns)
         if self.store is None:
             fact = freeze(fact, "fact_for_test")
-        lane, state, national = self.promises(calibration.promise_cells(fact, s.train_end))
+        cells = freeze(calibration.promise_cells(fact, s.train_end), "promise_cells")
+        lane, state, national = self.promises(cells)
         rows = fact.where(F.col("purchase_date") >= F.lit(s.train_end))
         judged = calibration.apply_promises(
             rows, freeze(lane, "lane_promise"), freeze(state, "state_promise"), national, s.quantiles
@@ -173,23 +191,22 @@ class Marts:
     def tables(self) -> dict[str, DataFrame]:
         """The published tables, in the public column layout."""
         lane, state, national = self.promises()
-        return {
-            "orders_base": self.segments.drop(*lead_time.SEGMENT_HOURS),
-            "orders_segments": self.segment_days,
-            "orders_geo": geo_in_days(self.geo),
-            "order_seller_profile": self.base_profile,
-            "dim_customer_geo": star.customer_geo(self.sources.customers),
-            "dim_seller_geo": star.seller_geo(self.sources.sellers),
-            "order_origin": self.profile.select(
-                "order_id", "seller_id", "n_sellers", "n_seller_states"
-            ),
-            "fct_orders": lead_time.segments_in_days(self.fact),
-            "lane_promise": lane,
-            "state_promise": state,
-            "national_promise": national,
-            "test_eval": self.test_eval,
-            "order_outcomes": self.outcomes,
-        }
+        frames = (
+            self.segments.drop(*lead_time.SEGMENT_HOURS),
+            self.segment_days,
+            geo_in_days(self.geo),
+            self.base_profile,
+            star.customer_geo(self.sources.customers),
+            star.seller_geo(self.sources.sellers),
+            self.profile.select("order_id", "seller_id", "n_sellers", "n_seller_states"),
+            lead_time.segments_in_days(self.fact),
+            lane,
+            state,
+            national,
+            self.test_eval,
+            self.outcomes,
+        )
+        return dict(zip(self.TABLES, frames, strict=True))
 
     def publish(self, folder: str) -> None:
         """Check the fact's grain, then write every table.

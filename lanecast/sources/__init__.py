@@ -1,4 +1,11 @@
-from .marketplace import Sources, land, read_landed, read_marketplace_csv
+from .marketplace import (
+    Sources,
+    land,
+    land_bucketed,
+    read_bucketed,
+    read_landed,
+    read_marketplace_csv,
+)
 from .schemas import SCHEMAS, conform
 from .tpch import TpchSources
 
@@ -8,6 +15,8 @@ __all__ = [
     "TpchSources",
     "conform",
     "land",
+    "land_bucketed",
+    "read_bucketed",
     "read_landed",
     "read_marketplace_csv",
 ]

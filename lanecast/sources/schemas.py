@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,13 +93,16 @@ _TYPED = ("timestamp_ntz", "double", "int")
 
 
 def conform(
-    df: DataFrame, table: str, mapping: Mapping[str, str] | None = None
+    df: DataFrame,
+    table: str,
+    mapping: Mapping[str, str] | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Rename columns (``mapping``: standard name -> column in ``df``) and check types.
 
     Keys may have any type; timestamps and measures must have the table's, and a
     missing column is an error before any job starts.  Columns that no report
-    reads may be absent.
+    reads may be absent; ``keep`` names further ones to carry along.
     """
     mapping = dict(mapping or {})
     present = {name.lower(): name for name in df.columns}
@@ -117,7 +120,7 @@ def conform(
         chosen.append(F.col(present[source.lower()]).alias(field.name))
     if problems:
         raise ValueError(f"{table} does not conform: " + "; ".join(problems))
-    return df.select(chosen)
+    return df.select(*chosen, *keep)
 
 
 # The columns the reports read.

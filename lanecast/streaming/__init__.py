@@ -1,0 +1,3 @@
+from .feed import append_base, read_order_feed
+
+__all__ = ["append_base", "read_order_feed"]
