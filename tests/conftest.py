@@ -14,6 +14,7 @@ def spark(tmp_path_factory):
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
             "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
             "spark.ui.showConsoleProgress": "false",
+            "spark.sql.maxMetadataStringLength": "4000",
         },
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -1,0 +1,74 @@
+import shutil
+
+import __spark_entry__ as contract
+from checks import oracle
+from frames import simple_order
+from test_oracle import FOLDERS, connect
+from test_sources import write_csv
+from lanecast.operators import lead_time
+from lanecast.plans import REPORTS, Marts
+from lanecast.plans.display import PLACES, as_printed
+from lanecast.plans.marts import read_table
+from lanecast.run import run
+from lanecast.settings import MARKETPLACE, TPCH
+from lanecast.sources import SCHEMAS, TpchSources
+from lanecast.streaming import append_base, read_order_feed
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def same(a, b):
+    return sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_run_writes_tables_and_reports(spark, tmp_path):
+    out = str(tmp_path)
+    lazy = Marts(TpchSources(spark, FOLDER), TPCH)
+    run(Marts(TpchSources(spark, FOLDER), TPCH, store=out), out, ["policy_headline", "top_lanes"])
+    for name in Marts.TABLES:
+        saved = read_table(spark, f"{out}/tables", name)
+        fresh = REPORTS[name](lazy)
+        assert same(saved.select(fresh.columns), fresh), name
+    printed = spark.read.parquet(f"{out}/reports/policy_headline")
+    assert same(printed, as_printed("policy_headline", REPORTS["policy_headline"](lazy)))
+
+
+def test_stored_marts_give_the_same_reports(spark, tmp_path):
+    lazy = Marts(TpchSources(spark, FOLDER), TPCH)
+    kept = Marts(TpchSources(spark, FOLDER), TPCH, store=str(tmp_path))
+    for name in ("service_dispersion", "lane_coverage", "repeat_within_90d", "multi_seller_effect"):
+        assert same(REPORTS[name](kept), REPORTS[name](lazy)), name
+
+
+def test_display_names_exist():
+    assert set(PLACES) <= set(contract.queries())
+
+
+def test_printed_figures_round_as_sql_does(spark):
+    con = connect(FOLDERS["check"])
+    marts = Marts(TpchSources(spark, FOLDERS["check"]), TPCH)
+    parts = oracle.statement("sellers_per_order").replace(", 6)", ", 2)")
+    want = sorted(con.sql(parts).fetchall())
+    got = as_printed("sellers_per_order", REPORTS["sellers_per_order"](marts)).collect()
+    assert sorted(tuple(r) for r in got) == want
+
+
+def test_feed_appends_the_same_base(spark, tmp_path):
+    feed, target, log = tmp_path / "feed", str(tmp_path / "base"), str(tmp_path / "log")
+    feed.mkdir()
+    first, second = tmp_path / "first", tmp_path / "second"
+    batches = [
+        [simple_order("1"), simple_order("2", status="canceled")],
+        [simple_order("3", bought="2018-02-10 09:00:00")],
+    ]
+    for folder, rows in zip((first, second), batches):
+        folder.mkdir()
+        write_csv(folder, "orders", rows)
+        shutil.copy(folder / "orders.csv", feed / f"{folder.name}.csv")
+        append_base(read_order_feed(spark, str(feed)), target, log).awaitTermination()
+    saved = spark.read.parquet(target)
+    assert sorted(r.order_id for r in saved.collect()) == ["1", "3"]
+    assert {r.purchase_month for r in saved.collect()} == {"2018-01", "2018-02"}
+    everything = spark.read.schema(SCHEMAS["orders"]).option("header", True).csv(str(feed))
+    batch = lead_time.with_segments(lead_time.build_base(everything, MARKETPLACE))
+    assert same(saved.select(batch.columns), batch)
