@@ -29,31 +29,28 @@ def order_sellers(items: DataFrame, sellers: DataFrame) -> DataFrame:
 
     The origin is the seller of the latest shipping limit (lowest id on ties,
     missing limits last).  Items collapse to one row per order and seller before
-    anything is keyed by order alone, so an order of any size stays spread out;
-    the seller table is joined at that grain, once.
+    anything is keyed by order alone, and distinct states are counted by order
+    and state first, so an order of any size stays spread out.  The seller table
+    is joined once, at that grain.  Reports that ignore the state count get a
+    plan without it.
     """
     pairs = items.groupBy("order_id", "seller_id").agg(
         F.max("shipping_limit_date").alias("limit"), F.count("*").alias("n_items")
     )
     placed = pairs.join(sellers.select("seller_id", "seller_state"), "seller_id", "left")
-    first = F.min(F.struct(latest_first(F.col("limit")), "seller_id", "seller_state"))
-    per_state = placed.groupBy("order_id", "seller_state").agg(
-        F.sum("n_items").alias("n_items"),
-        F.count("seller_id").alias("n_sellers"),
-        first.alias("first"),
-    )
+    latest = F.min(F.struct(latest_first(F.col("limit")), "seller_id", "seller_state"))
     return (
-        per_state.groupBy("order_id")
+        placed.groupBy("order_id")
         .agg(
+            latest.alias("origin"),
             F.sum("n_items").alias("n_items"),
-            F.sum("n_sellers").alias("n_sellers"),
-            F.count("seller_state").alias("n_seller_states"),
-            F.min("first").alias("first"),
+            F.count("seller_id").alias("n_sellers"),
+            F.count_distinct("seller_state").alias("n_seller_states"),
         )
         .select(
             "order_id",
-            F.col("first.seller_id").alias("seller_id"),
-            F.col("first.seller_state").alias("seller_state"),
+            F.col("origin.seller_id").alias("seller_id"),
+            F.col("origin.seller_state").alias("seller_state"),
             "n_items",
             "n_sellers",
             "n_seller_states",
