@@ -24,20 +24,23 @@ def seller_geo(sellers: DataFrame) -> DataFrame:
     return sellers.select("seller_id", "seller_state", "seller_city", "seller_zip_code_prefix")
 
 
-def order_sellers(items: DataFrame, sellers: DataFrame) -> DataFrame:
+def order_sellers(items: DataFrame, sellers: DataFrame, bucketed: bool = False) -> DataFrame:
     """Per order: items, sellers, seller states, and the origin seller.
 
     The origin is the seller of the latest shipping limit (lowest id on ties,
-    missing limits last).  Items collapse to one row per order and seller before
-    anything is keyed by order alone, and distinct states are counted by order
-    and state first, so an order of any size stays spread out.  The seller table
-    is joined once, at that grain.  Reports that ignore the state count get a
-    plan without it.
+    missing limits last).  Items first collapse to one row per order and seller,
+    combined before they move, so an order of any size shrinks to at most as many
+    rows as there are sellers.  The seller table is joined once, at that grain.
+    One shuffle by order then serves all counts and the join with the orders;
+    those rows hardly combine further, so it is asked for before the aggregate.
+    Items bucketed by order need no shuffle at all.
     """
     pairs = items.groupBy("order_id", "seller_id").agg(
         F.max("shipping_limit_date").alias("limit"), F.count("*").alias("n_items")
     )
     placed = pairs.join(sellers.select("seller_id", "seller_state"), "seller_id", "left")
+    if not bucketed:
+        placed = placed.repartition("order_id")
     latest = F.min(F.struct(latest_first(F.col("limit")), "seller_id", "seller_state"))
     return (
         placed.groupBy("order_id")

@@ -74,7 +74,8 @@ class Marts:
     @cached_property
     def profile(self) -> DataFrame:
         """Every order with items: origin seller, items, sellers, seller states."""
-        return self._kept("profile", star.order_sellers(self.sources.items, self.sources.sellers))
+        src = self.sources
+        return self._kept("profile", star.order_sellers(src.items, src.sellers, src.bucketed))
 
     @cached_property
     def base_profile(self) -> DataFrame:

@@ -13,7 +13,7 @@ from .schemas import SCHEMAS, conform
 
 @dataclass(frozen=True)
 class Sources:
-    """The eight input tables."""
+    """The eight input tables; ``bucketed`` if those keyed by order are bucketed by it."""
 
     orders: DataFrame
     customers: DataFrame
@@ -23,6 +23,7 @@ class Sources:
     translation: DataFrame
     reviews: DataFrame
     payments: DataFrame
+    bucketed: bool = False
 
     @property
     def order_headers(self) -> DataFrame:
@@ -32,7 +33,7 @@ class Sources:
         )
 
 
-TABLES = tuple(f.name for f in fields(Sources))
+TABLES = tuple(f.name for f in fields(Sources) if f.name != "bucketed")
 
 
 def read_marketplace_csv(
@@ -109,4 +110,5 @@ def land_bucketed(sources: Sources, database: str, buckets: int) -> None:
 
 
 def read_bucketed(spark: SparkSession, database: str) -> Sources:
-    return Sources(**{t: conform(spark.table(f"{database}.{t}"), t) for t in TABLES})
+    frames = {t: conform(spark.table(f"{database}.{t}"), t) for t in TABLES}
+    return Sources(**frames, bucketed=True)

@@ -29,16 +29,18 @@ def _status() -> str:
     return "if(o_orderstatus = 'P', 'shipped', 'delivered')"
 
 
-def _after(ts: str, seconds: str) -> str:
+def _at(seconds: str, ts: str = "o_orderdate") -> str:
     return f"timestampadd(SECOND, int({seconds}), {ts})"
 
 
-PURCHASE = _after("o_orderdate", f"(o_orderkey * 7919) % {DAY}")
+BOUGHT = f"(o_orderkey * 7919) % {DAY}"
 
 
 class TpchSources:
     """The eight source tables, each derived when first used."""
 
+    bucketed = False
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.folder = sf_dir.rstrip("/")
@@ -53,7 +55,7 @@ class TpchSources:
             "o_orderkey AS order_id",
             "o_custkey AS customer_id",
             f"{_status()} AS order_status",
-            f"{PURCHASE} AS order_purchase_timestamp",
+            f"{_at(BOUGHT)} AS order_purchase_timestamp",
         )
 
     @cached_property
@@ -61,7 +63,8 @@ class TpchSources:
         """Orders with five timestamps; travel time depends on both parties' nations.
 
         ``k`` is the order key, ``sn`` and ``cn`` the nation keys of the order's
-        highest supplier key and of its customer.
+        highest supplier key and of its customer.  Every moment is first a number
+        of seconds after the order date.
         """
         last_supplier = (
             self.read("lineitem")
@@ -80,7 +83,7 @@ class TpchSources:
                 "o_custkey AS customer_id",
                 f"{_status()} AS order_status",
                 "o_orderdate",
-                f"{PURCHASE} AS purchase",
+                f"{BOUGHT} AS bought",
                 "coalesce(bigint(s_nationkey), 0) AS sn",
                 "bigint(c_nationkey) AS cn",
             )
@@ -95,18 +98,18 @@ class TpchSources:
             f"+ if(k % 19 = 0, (k * 99991) % ({DAY} * 25), 0)"
         )
         return (
-            keyed.selectExpr("*", f"{_after('purchase', approval_wait)} AS approved")
-            .selectExpr("*", f"{_after('approved', handoff_wait)} AS shipped")
-            .selectExpr("*", f"{_after('shipped', travel)} AS delivered")
+            keyed.selectExpr("*", f"bought + {approval_wait} AS approved")
+            .selectExpr("*", f"approved + {handoff_wait} AS shipped")
+            .selectExpr("*", f"shipped + {travel} AS delivered")
             .selectExpr(
                 "k AS order_id",
                 "customer_id",
                 "order_status",
-                "purchase AS order_purchase_timestamp",
-                "if(k % 211 <> 0, approved, NULL) AS order_approved_at",
-                "if(k % 307 <> 0, shipped, NULL) AS order_delivered_carrier_date",
-                "if(k % 401 <> 0, delivered, NULL) AS order_delivered_customer_date",
-                f"{_after('o_orderdate', f'{DAY} * (12 + (sn + cn) % 9 + k % 5)')} "
+                f"{_at('bought')} AS order_purchase_timestamp",
+                f"if(k % 211 <> 0, {_at('approved')}, NULL) AS order_approved_at",
+                f"if(k % 307 <> 0, {_at('shipped')}, NULL) AS order_delivered_carrier_date",
+                f"if(k % 401 <> 0, {_at('delivered')}, NULL) AS order_delivered_customer_date",
+                f"{_at(f'{DAY} * (12 + (sn + cn) % 9 + k % 5)')} "
                 "AS order_estimated_delivery_date",
             )
         )
@@ -179,7 +182,7 @@ class TpchSources:
                 "order_id",
                 f"int(if({late}, 1 + (order_id * 31 + r) % 3, 3 + (order_id * 17 + r) % 3)) "
                 "AS review_score",
-                f"{_after('order_estimated_delivery_date', wait)} AS review_creation_date",
+                f"{_at(wait, 'order_estimated_delivery_date')} AS review_creation_date",
             )
         )
 

@@ -112,7 +112,7 @@ def test_bucketed_sources_need_no_shuffle_by_order(spark):
     land_bucketed(small_sources(spark), "market", 4)
     src = read_bucketed(spark, "market")
     segments = lead_time.with_segments(lead_time.build_base(src.orders, MARKETPLACE))
-    fact = star.build_fact(segments, star.order_sellers(src.items, src.sellers), src.customers)
+    fact = star.build_fact(segments, star.order_sellers(src.items, src.sellers, src.bucketed), src.customers)
     assert {r.order_id for r in fact.collect()} == {"2017-03", "2018-01"}
     assert "Exchange hashpartitioning" not in plan_of(fact)
 
