@@ -31,18 +31,6 @@ def order_value(payments: DataFrame) -> DataFrame:
     return payments.groupBy("order_id").agg(paid.alias("order_value"))
 
 
-def fact_orders(segments: DataFrame, items: DataFrame) -> DataFrame:
-    """The orders of the fact, without its places: base rows that have items."""
-    return segments.join(star.item_counts(items), "order_id").select(
-        "order_id",
-        "customer_id",
-        F.to_date("purchased_at").alias("purchase_date"),
-        "total_days",
-        "promise_error_days",
-        "is_late",
-    )
-
-
 def with_review(orders: DataFrame, reviews: DataFrame) -> DataFrame:
     return orders.join(latest_review(reviews), "order_id", "left")
 

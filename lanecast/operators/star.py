@@ -106,6 +106,12 @@ def build_fact(
     )
 
 
+def fact_orders(segments: DataFrame, items: DataFrame) -> DataFrame:
+    """The fact's rows for reports that need neither origin nor lane."""
+    placed = segments.join(item_counts(items), "order_id")
+    return placed.withColumn("purchase_date", F.to_date("purchased_at"))
+
+
 def join_integrity(
     base: DataFrame, fact: DataFrame, key: str, lookups: Mapping[str, str]
 ) -> DataFrame:

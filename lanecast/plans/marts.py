@@ -160,7 +160,8 @@ class Marts:
 
     @cached_property
     def fact_orders(self) -> DataFrame:
-        return outcomes.fact_orders(self.segments, self.sources.items)
+        """The fact's orders without places, at the price of one join."""
+        return star.fact_orders(self.segments, self.sources.items)
 
     @cached_property
     def outcomes(self) -> DataFrame:

@@ -328,7 +328,7 @@ def variance_dest_vs_lane(m: Marts) -> DataFrame:
 
 @report
 def train_test_split(m: Marts) -> DataFrame:
-    return cal.temporal_split(m.fact, m.settings.train_end)
+    return cal.temporal_split(m.fact_orders, m.settings.train_end)
 
 
 @report
@@ -337,26 +337,30 @@ def lane_threshold_coverage(m: Marts) -> DataFrame:
     return cal.threshold_coverage(m.fact, s.train_end, s.coverage_thresholds)
 
 
-def _history(m: Marts) -> DataFrame:
-    return m.fact.where(F.col("purchase_date") < F.lit(m.settings.train_end))
+def _history(m: Marts, orders: DataFrame) -> DataFrame:
+    return orders.where(F.col("purchase_date") < F.lit(m.settings.train_end))
 
 
 @report
 def lane_promise(m: Marts) -> DataFrame:
     s = m.settings
-    counted = cal.count_days(_history(m), ["lane"])
+    counted = cal.count_days(_history(m, m.fact), ["lane"])
     return cal.calibrate(counted, ["lane"], s.quantiles, s.min_lane_orders)
 
 
 @report
 def state_promise(m: Marts) -> DataFrame:
-    counted = cal.count_days(_history(m), ["customer_state"])
+    placed = star.join_customers(
+        _history(m, m.fact_orders), m.sources.customers, ["customer_state"]
+    )
+    counted = cal.count_days(placed, ["customer_state"])
     return cal.calibrate(counted, ["customer_state"], m.settings.quantiles)
 
 
 @report
 def national_promise(m: Marts) -> DataFrame:
-    return cal.calibrate(cal.count_days(_history(m), []), [], m.settings.quantiles)
+    counted = cal.count_days(_history(m, m.fact_orders), [])
+    return cal.calibrate(counted, [], m.settings.quantiles)
 
 
 @report
@@ -442,7 +446,7 @@ def promise_error_histogram(m: Marts) -> DataFrame:
     """The figure's one-day bins, counted on the cluster."""
     low, high = m.settings.histogram_days
     return (
-        m.fact.where(F.col("promise_error_days").between(low, high))
+        m.fact_orders.where(F.col("promise_error_days").between(low, high))
         .groupBy("promise_error_days")
         .agg(F.count("*").alias("n_orders"))
     )
@@ -450,7 +454,7 @@ def promise_error_histogram(m: Marts) -> DataFrame:
 
 @report
 def lateness_segment_medians(m: Marts) -> DataFrame:
-    medians = lead_time.segments_by_lateness(m.fact).drop("n_orders")
+    medians = lead_time.segments_by_lateness(m.fact_orders).drop("n_orders")
     return medians.orderBy("is_late")
 
 
