@@ -11,9 +11,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window
 
-from ..functions import Band, band, pct
+from ..functions import Band, band, pct, ratio
 
 
 def value_counts(
@@ -24,8 +25,12 @@ def value_counts(
 ) -> DataFrame:
     """Count rows by keys, measure and value; one scan serves all measures.
 
+    Measures are whole numbers: counting a continuous one would not shrink it.
     With ``flag``, ``n_flag`` and ``n_flag_known`` count its true and non-null rows.
     """
+    for name in measures:
+        if not isinstance(df.schema[name].dataType, IntegralType):
+            raise TypeError(f"{name} is not a whole number")
     kept = [*keys, *([flag] if flag else [])]
     long = df.select(*kept, *[F.col(m).cast("long").alias(m) for m in measures])
     if len(measures) == 1:
@@ -58,13 +63,13 @@ def rows_of(measure: str, weight: str = "n") -> Column:
     return F.sum(F.when(F.col("measure") == measure, F.col(weight)))
 
 
-def moments(value: Column = None, weight: str = "n") -> dict[str, Column]:
+def moments(value: Column | None = None, weight: str = "n") -> dict[str, Column]:
     """Exact sums: size, total and total of squares, as decimals that cannot overflow."""
     value = F.col("value") if value is None else value
     known = F.when(value.isNotNull(), F.col(weight))
     wide = value.cast("decimal(19,0)")
     return {
-        "size": F.sum(known),
+        "size": F.coalesce(F.sum(known), F.lit(0)),
         "total": F.sum(wide * F.col(weight)),
         "squares": F.sum((wide * wide * F.col(weight)).cast("decimal(38,0)")),
     }
@@ -78,6 +83,39 @@ def variance(size: Column, total: Column, squares: Column, sample: bool = False)
     return F.try_divide(spread.cast("double"), pairs.cast("double"))
 
 
+def distribution(
+    df: DataFrame, measures: Sequence[str], fractions: Mapping[str, float], keys: Sequence[str] = ()
+) -> DataFrame:
+    """Per keys and measure: n, mean, the named quantiles and the sample deviation."""
+    summed = value_counts(df, measures, keys).groupBy(*keys, "measure").agg(
+        *[c.alias(k) for k, c in moments().items()],
+        quantiles(F.col("value"), *fractions.values()).alias("q"),
+    )
+    size, total, squares = F.col("size"), F.col("total"), F.col("squares")
+    return summed.select(
+        *keys,
+        "measure",
+        size.alias("n"),
+        ratio(total, size).alias("mean"),
+        *[F.col("q")[i].alias(name) for i, name in enumerate(fractions)],
+        F.sqrt(variance(size, total, squares, sample=True)).alias("stddev"),
+    )
+
+
+def first_per_key(
+    df: DataFrame, key: str, order: Sequence[Column | str], values: Sequence[str]
+) -> DataFrame:
+    """The values of each key's first row in ``order``.
+
+    A minimum over structs: combined before the shuffle, so a key with very many
+    rows sends one per task, and no window holds them.
+    """
+    ranked = [(F.col(c) if isinstance(c, str) else c).alias(f"by_{i}") for i, c in enumerate(order)]
+    first = F.min(F.struct(*ranked, *[F.col(v).alias(f"is_{v}") for v in values]))
+    picked = [F.col(f"first.is_{v}").alias(v) for v in values]
+    return df.groupBy(key).agg(first.alias("first")).select(key, *picked)
+
+
 def share_of_total(df: DataFrame, measure: str, name: str) -> DataFrame:
     """Each row's part of the column total in percent; ``df`` is already grouped."""
     everything = Window.partitionBy()
@@ -87,11 +125,9 @@ def share_of_total(df: DataFrame, measure: str, name: str) -> DataFrame:
 def band_profile(
     df: DataFrame, value: str, bands: Sequence[Band], extra: Mapping[str, Column] | None = None
 ) -> DataFrame:
-    """Rows per band, with further aggregates, in band order."""
-    return (
-        df.groupBy(band(value, bands).alias("bucket"))
-        .agg(F.count("*").alias("n_orders"), *[c.alias(k) for k, c in (extra or {}).items()])
-        .orderBy("bucket")
+    """Rows per band, with further aggregates."""
+    return df.groupBy(band(value, bands).alias("bucket")).agg(
+        F.count("*").alias("n_orders"), *[c.alias(k) for k, c in (extra or {}).items()]
     )
 
 

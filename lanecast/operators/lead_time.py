@@ -7,14 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import day_diff, days, hour_boundaries, pct, ratio
 from ..settings import Settings
-from .distribution import (
-    moments,
-    quantiles,
-    rows_of,
-    value_counts,
-    value_of,
-    variance,
-)
+from .distribution import distribution, quantiles, rows_of, value_counts, value_of
 
 SEGMENTS = ("approval", "handoff", "transit")
 SEGMENT_HOURS = tuple(f"{name}_hours" for name in SEGMENTS)
@@ -133,22 +126,15 @@ def promise_error_percentiles(base: DataFrame) -> DataFrame:
 
 def segment_distributions(segments: DataFrame) -> DataFrame:
     """Per segment: mean, median, p95, sample deviation and tail spread in days."""
-    counted = value_counts(trusted(segments), SEGMENT_HOURS)
-    value = F.col("value")
-    summed = counted.groupBy(F.regexp_replace("measure", "_hours$", "").alias("segment")).agg(
-        *[c.alias(k) for k, c in moments().items()],
-        quantiles(value, 0.5, 0.95).alias("q"),
-    )
-    median, p95 = F.col("q")[0], F.col("q")[1]
-    spread = variance(F.col("size"), F.col("total"), F.col("squares"), sample=True)
-    return summed.select(
-        "segment",
-        days(ratio(F.col("total"), F.col("size"))).alias("mean_days"),
-        days(median).alias("median_days"),
-        days(p95).alias("p95_days"),
-        days(F.sqrt(spread)).alias("stddev_days"),
-        days(p95 - median).alias("tail_spread"),
-    )
+    hours = distribution(trusted(segments), SEGMENT_HOURS, {"median": 0.5, "p95": 0.95})
+    return hours.select(
+        F.regexp_replace("measure", "_hours$", "").alias("segment"),
+        days(F.col("mean")).alias("mean_days"),
+        days(F.col("median")).alias("median_days"),
+        days(F.col("p95")).alias("p95_days"),
+        days(F.col("stddev")).alias("stddev_days"),
+        days(F.col("p95") - F.col("median")).alias("tail_spread"),
+    ).orderBy("segment")
 
 
 def segment_share(segments: DataFrame) -> DataFrame:

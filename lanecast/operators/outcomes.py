@@ -8,9 +8,9 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import Band, band, exact_mean, pct, ratio
+from ..functions import Band, exact_mean, pct, ratio
 from . import star
-from .distribution import share_of_total
+from .distribution import band_profile, first_per_key, share_of_total
 
 MONEY = "decimal(18,2)"
 
@@ -96,15 +96,13 @@ def review_by_band(
     outcomes: DataFrame, bands: Sequence[Band], rates: Mapping[str, Column]
 ) -> DataFrame:
     reviewed = outcomes.dropna(subset=["review_score"])
-    bucket = band("promise_error_days", bands).alias("bucket")
-    return outcome_by(reviewed, bucket, rates).orderBy("bucket")
+    return band_profile(reviewed, "promise_error_days", bands, rates).orderBy("bucket")
 
 
 def first_orders(outcomes: DataFrame, key: str) -> DataFrame:
     """Each person's first order (lowest order id on a shared day)."""
-    first = F.min(F.struct("purchase_date", "order_id", "is_late"))
-    return (
-        outcomes.groupBy(key).agg(first.alias("first")).select(key, "first.purchase_date", "first.is_late")
+    return first_per_key(
+        outcomes, key, ["purchase_date", "order_id"], ["purchase_date", "is_late"]
     )
 
 

@@ -47,9 +47,10 @@ class Marts:
         self.settings = settings
         self.store = store.rstrip("/") if store else None
 
-    def _kept(self, name: str, df: DataFrame) -> DataFrame:
+    def _kept(self, name: str, df: DataFrame, always: bool = False) -> DataFrame:
+        """``df`` from the store; without one as it is, or frozen if ``always``."""
         if self.store is None:
-            return df
+            return freeze(df, name) if always else df
         path = f"{self.store}/work/{name}"
         df.write.mode("overwrite").parquet(path)
         return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -108,12 +109,12 @@ class Marts:
     @cached_property
     def cells(self) -> DataFrame:
         counted = calibration.promise_cells(self.fact, self.settings.train_end)
-        return freeze(counted, "promise_cells")
+        return self._kept("promise_cells", counted, always=True)
 
-    def promises(self, cells: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    def promises(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Lane, state and national promises from training orders only."""
         s = self.settings
-        train = calibration.side(self.cells if cells is None else cells, calibration.TRAIN)
+        train = calibration.side(self.cells, calibration.TRAIN)
         return (
             calibration.calibrate(train, ["lane"], s.quantiles, s.min_lane_orders),
             calibration.calibrate(train, ["customer_state"], s.quantiles),
@@ -136,7 +137,7 @@ class Marts:
 
         The only calibration table at order grain.  Training and test both read
         the fact, so its few columns are written once; the cells and the promise
-        tables are frozen too, and their measured size decides how they join.
+        tables are written too, and their measured size decides how they join.
         """
         s = self.settings
         columns = [
@@ -146,11 +147,14 @@ class Marts:
         fact = self.fact.select(columns)
         if self.store is None:
             fact = freeze(fact, "fact_for_test")
-        cells = freeze(calibration.promise_cells(fact, s.train_end), "promise_cells")
-        lane, state, national = self.promises(cells)
-        rows = fact.where(F.col("purchase_date") >= F.lit(s.train_end))
+            self.cells = freeze(calibration.promise_cells(fact, s.train_end), "promise_cells")
+        lane, state, national = self.promises()
         judged = calibration.apply_promises(
-            rows, freeze(lane, "lane_promise"), freeze(state, "state_promise"), national, s.quantiles
+            fact.where(F.col("purchase_date") >= F.lit(s.train_end)),
+            self._kept("lane_promise", lane, always=True),
+            self._kept("state_promise", state, always=True),
+            national,
+            s.quantiles,
         )
         new = [f"new_{round(q * 100)}" for q in s.quantiles]
         return judged.select(

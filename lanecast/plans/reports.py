@@ -171,8 +171,7 @@ def promise_error_percentiles(m: Marts) -> DataFrame:
 
 @report
 def promise_error_bands(m: Marts) -> DataFrame:
-    bands = m.base.groupBy(band("promise_error_days", PROMISE_BANDS).alias("bucket"))
-    counts = bands.agg(F.count("*").alias("n_orders"))
+    counts = dist.band_profile(m.base, "promise_error_days", PROMISE_BANDS)
     return dist.share_of_total(counts, "n_orders", "pct").orderBy("bucket")
 
 

@@ -83,3 +83,28 @@ def test_sums_survive_huge_counts(spark):
 def test_share_of_total(spark):
     df = spark.createDataFrame([("a", 1), ("b", 3)], "k string, n long")
     assert {r.k: r.p for r in dist.share_of_total(df, "n", "p").collect()} == {"a": 25.0, "b": 75.0}
+
+
+def test_distribution_by_key(spark):
+    df = spark.createDataFrame([("a", 1, 10), ("a", 3, 30), ("b", 5, None)], "k string, x long, y long")
+    got = dist.distribution(df, ["x", "y"], {"median": 0.5, "p95": 0.95}, ["k"])
+    rows = {(r.k, r.measure): (r.n, r.mean, r.median, r.stddev) for r in got.collect()}
+    assert rows == {
+        ("a", "x"): (2, 2.0, 2.0, 2**0.5),
+        ("a", "y"): (2, 20.0, 20.0, 200**0.5),
+        ("b", "x"): (1, 5.0, 5.0, None),
+        ("b", "y"): (0, None, None, None),
+    }
+
+
+def test_continuous_measures_are_refused(spark):
+    df = spark.createDataFrame([(1.5,)], "x double")
+    with pytest.raises(TypeError, match="whole number"):
+        dist.value_counts(df, ["x"])
+
+
+def test_first_per_key(spark):
+    rows = [("a", 2, "late"), ("a", 1, "early"), ("b", None, "only"), (None, 7, "nobody")]
+    df = spark.createDataFrame(rows, "k string, t long, v string")
+    got = {r.k: r.v for r in dist.first_per_key(df, "k", ["t"], ["v"]).collect()}
+    assert got == {"a": "early", "b": "only", None: "nobody"}

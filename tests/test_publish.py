@@ -1,7 +1,7 @@
 import shutil
 
 import __spark_entry__ as contract
-from checks import oracle
+from lanecast.checks import oracle
 from frames import simple_order
 from test_oracle import FOLDERS, connect
 from test_sources import write_csv
