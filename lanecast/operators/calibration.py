@@ -195,10 +195,13 @@ def evaluate_policies(
     ``on_time`` counts arrivals within the promise, ``judged`` the rows that have
     one, ``promised`` and ``saved`` total the days quoted and taken off.
     """
-    quoted = [F.struct(F.lit(p).alias("policy"), F.col(c).cast("long").alias("days")) for p, c in policies.items()]
-    n, quote = F.col("n"), F.col("quote.days")
-    current = F.col("current_promise_days")
-    long = cells.select(*keys, actual, "current_promise_days", "n", F.explode(F.array(*quoted)).alias("quote"))
+    quoted = [
+        F.struct(F.lit(name).alias("policy"), F.col(column).cast("long").alias("days"))
+        for name, column in policies.items()
+    ]
+    per_policy = F.explode(F.array(*quoted)).alias("quote")
+    n, quote, current = F.col("n"), F.col("quote.days"), F.col("current_promise_days")
+    long = cells.select(*keys, actual, current, n, per_policy)
     return long.groupBy(*keys, F.col("quote.policy").alias("policy")).agg(
         F.sum("n").alias("n_orders"),
         F.sum(F.when(quote.isNotNull(), n)).alias("judged"),
@@ -211,12 +214,13 @@ def evaluate_policies(
 
 def policy_headline(cells: DataFrame) -> DataFrame:
     """Per policy: mean promise, mean days saved, share on time."""
-    return evaluate_policies(cells).select(
+    sums = evaluate_policies(cells).orderBy("policy")
+    return sums.select(
         "policy",
         ratio(F.col("promised"), F.col("judged")).alias("mean_promise_days"),
         ratio(F.col("saved"), F.col("compared")).alias("mean_days_saved"),
         pct(F.col("on_time"), F.col("judged")).alias("pct_on_time"),
-    ).orderBy("policy")
+    )
 
 
 def fallback_usage(cells: DataFrame) -> DataFrame:

@@ -75,8 +75,8 @@ def with_segments(base: DataFrame) -> DataFrame:
 
 def segments_in_days(df: DataFrame) -> DataFrame:
     """Replace the hour columns by days."""
-    hours = {f"{name}_hours": days(F.col(f"{name}_hours")).alias(f"{name}_days") for name in SEGMENTS}
-    return df.select([hours.get(c, F.col(c)) for c in df.columns])
+    converted = {f"{s}_hours": days(F.col(f"{s}_hours")).alias(f"{s}_days") for s in SEGMENTS}
+    return df.select([converted.get(c, F.col(c)) for c in df.columns])
 
 
 def trusted(df: DataFrame) -> DataFrame:

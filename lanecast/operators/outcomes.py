@@ -196,7 +196,9 @@ def category_mix(
         )
     )
     named = raw.join(translation, "product_category_name", "left")
-    category = F.coalesce("product_category_name_english", "product_category_name", F.lit("unknown"))
+    category = F.coalesce(
+        "product_category_name_english", "product_category_name", F.lit("unknown")
+    )
     totals = named.groupBy(category.alias("category")).agg(
         F.sum("items").alias("items_sold"),
         ratio(F.sum("paid"), F.sum("priced")).alias("avg_price_brl"),

@@ -115,7 +115,8 @@ def conform(
             continue
         have = df.schema[present[source.lower()]].dataType.simpleString()
         want = field.dataType.simpleString()
-        if want in _TYPED and have != want and not (want == "double" and have.startswith("decimal")):
+        money = want == "double" and have.startswith("decimal")
+        if want in _TYPED and have != want and not money:
             problems.append(f"{field.name}: {have}, expected {want}")
         chosen.append(F.col(present[source.lower()]).alias(field.name))
     if problems:
