@@ -20,9 +20,9 @@ from lanecast.sources import (
 )
 
 
-def write_csv(folder, table, rows):
+def write_csv(folder, table, rows, encoding="utf-8"):
     names = SCHEMAS[table].names
-    with open(folder / f"{table}.csv", "w", newline="") as f:
+    with open(folder / f"{table}.csv", "w", newline="", encoding=encoding) as f:
         out = csv.writer(f)
         out.writerow(names)
         out.writerows([[row.get(n, "") for n in names] for row in rows])
@@ -35,7 +35,7 @@ def csv_folder(tmp_path):
     write_csv(tmp_path, "sellers", [{"seller_id": "s1", "seller_zip_code_prefix": "00042", "seller_state": "RJ"}])
     write_csv(tmp_path, "items", [{"order_id": "1", "order_item_id": 1, "seller_id": "s1", "product_id": "p", "shipping_limit_date": "2018-01-12 00:00:00", "price": "10.50"}])
     write_csv(tmp_path, "products", [{"product_id": "p", "product_category_name": "a", "product_weight_g": "200"}])
-    write_csv(tmp_path, "translation", [{"product_category_name": "a", "product_category_name_english": "b"}])
+    write_csv(tmp_path, "translation", [{"product_category_name": "a", "product_category_name_english": "b"}], "utf-8-sig")
     write_csv(
         tmp_path,
         "reviews",
