@@ -10,7 +10,7 @@ def spark(tmp_path_factory):
         master="local[8]",
         shuffle_partitions=8,
         **{
-            "spark.driver.memory": "8g",
+            "spark.driver.memory": "2g",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
             "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
             "spark.ui.showConsoleProgress": "false",
