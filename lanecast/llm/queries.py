@@ -2,10 +2,39 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import shared_folder
+from .mixing import mix
 from .simhash import simhash_components
 from .tables import table
+from .tokens import read_digests, write_tokens
+
+# The contract's tokenizer and end id.
+TOKENIZER = "byte_bpe_50k.json"
+END_ID = 2
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh output folder on the shared storage."""
+    return f"{shared_folder(spark)}/lanecast/{name}-{uuid.uuid4().hex}"
+
+
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids, read back from the written files."""
+    import public_tokenizers
+
+    folder = new_folder(spark, "tokens")
+    docs = table(spark, sf_dir, "documents")
+    write_tokens(docs, folder, public_tokenizers.path(TOKENIZER), END_ID)
+    return read_digests(spark, folder)
+
+
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes from every document."""
+    return mix(table(spark, sf_dir, "documents"))
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +43,8 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_token_output": op3_token_output,
+    "op5_mix_sources": op5_mix_sources,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
 }
 
