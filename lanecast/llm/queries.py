@@ -5,11 +5,13 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import shared_folder
 from .mixing import mix
 from .simhash import simhash_components
 from .tables import table
+from .toxicity import fit, toxicity
 from .tokens import read_digests, write_tokens
 
 # The contract's tokenizer and end id.
@@ -22,6 +24,21 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/lanecast/{name}-{uuid.uuid4().hex}"
 
 
+def fold(remainder: int):
+    """Whether a document's fold, crc32 of its id as text modulo 5, is ``remainder``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == remainder
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels outside fold 0."""
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels"), ~fold(0))
+    score = toxicity(F.col("text"), model, spark)
+    return docs.select("doc_id", fold(0).alias("held_out"), score.alias("score")).withColumn(
+        "predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0)
+    )
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids, read back from the written files."""
     import public_tokenizers
@@ -43,6 +60,7 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_token_output": op3_token_output,
     "op5_mix_sources": op5_mix_sources,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
