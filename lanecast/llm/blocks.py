@@ -23,14 +23,14 @@ BLOCK_ROWS = 2048
 def shared_keys(keyed: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``keyed`` (key, ...) without keys of one row; adds ``n_blocks`` of the key.
 
-    Counting combines on the map side.  The counts are written, so the planner
-    knows their size: a small table is broadcast and ``keyed`` does not move.
+    Counting combines on the map side.  The join is a sort-merge join at every size:
+    its cost follows the input, and a hot key's partition is split at run time.
     """
     counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     counts = counts.select(
         "key", F.ceil(F.col("n") / F.lit(float(block_rows))).cast("int").alias("n_blocks")
     )
-    return keyed.join(freeze(counts, "shared-keys"), "key")
+    return keyed.join(freeze(counts, "shared-keys").hint("merge"), "key")
 
 
 def paired_blocks(keyed: DataFrame, item: str) -> DataFrame:
