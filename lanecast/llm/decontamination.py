@@ -15,10 +15,10 @@ themselves with as many random edits as are allowed.
 Items are grouped by length.  For each group every document position starts a window
 of the items' size; the windows whose sampled words all agree with an item's, in some
 table, are compared with it by exact edit distance.  Conditions that every true match meets
-drop most windows first.  An item keeps all but its allowed edits of its words, so a
-window holds enough words of any item, enough of the words that few items use, and, for
-a candidate, enough words of the item itself.  Windows leave a table as soon as the
-words sampled so far fit no item.
+drop most windows first.  A passage keeps all but the allowed edits of the item's words,
+so it holds enough words of any item, enough of the item's words that are rare in the
+texts at hand, and, for a candidate, enough words of the item itself.  Windows leave a
+table as soon as the words sampled so far fit no item.
 
 The benchmark is cut into chunks of bounded bytes; each chunk's tables are built once
 and go to the executors, and the documents stay where they are.
@@ -41,11 +41,13 @@ from .tables import importable
 WORDS = re.compile(r"[^\W_]+")
 
 EDIT_SHARE = 0.2  # edits allowed per word of the item
-RECALL = 0.98  # of passages with as many edits as allowed
+RECALL = 0.95  # of windows with as many edits as allowed, by their aligned start alone
 POSITIONS = 4  # sampled positions of an embedding in a table
-MOST_TABLES = 64
+WALKS = 8  # tables share them
+FIRST_POSITIONS = 8  # the first sampled position is among so many
+MOST_TABLES = 96
 LENGTH_RATIO = 1.25  # longest to shortest item of a length group
-RARE_SHARE = 0.02  # a word in fewer of the items is rare
+RARE_MASSES = (0.005, 0.01, 0.02, 0.04, 0.08)  # shares of a text that its rarest words make up
 SHORT = 5  # an item of fewer words matches only a document that is the item
 CHUNK_BYTES = 16 << 20  # of items that executors hold at once
 PORTION_WORDS = 400_000
@@ -59,48 +61,61 @@ def allowed_edits(n_words: int, share: float = EDIT_SHARE) -> int:
     return int(n_words * share + 1e-9)
 
 
-def _bits(step: int, walk: int, symbols: np.ndarray) -> np.ndarray:
-    """The random bit of (walk, step, word): whether the walk moves on."""
-    salt = np.uint64((walk * 1_000_003 + step + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-    h = (symbols.astype(np.uint64) + np.uint64(0x632BE5AB)) * np.uint64(0xD6E8FEB86659FD93) ^ salt
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    return (h >> np.uint64(63)).astype(np.int64)
+END, OTHER = 0, 1  # symbols; words of items follow
 
 
-def embed(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, walk: int, positions, keep=None):
-    """Sampled symbols of the windows' embeddings, [window, position].
+def random_bits(n_symbols: int, steps: int) -> np.ndarray:
+    """[walk, 64 steps each, symbol]: one random bit per step says whether the walk moves on.
 
-    Behind its end a window reads -1.  ``keep(k, symbols)`` may drop windows after the
-    k-th position; the second result lists the windows that are left.
+    The end's bits are 0: a walk that has reached the end of its text stays there.
     """
-    alive = np.arange(len(starts))
-    at = starts.astype(np.int64)
-    ends = ends.astype(np.int64)
-    taken: list[np.ndarray] = []
-    step = 0
-    for k, position in enumerate(positions):
-        while step < position:
-            symbols = np.where(at < ends, words[np.minimum(at, len(words) - 1)], -1)
-            at = np.minimum(at + _bits(step, walk, symbols), ends)
-            step += 1
-        symbols = np.where(at < ends, words[np.minimum(at, len(words) - 1)], -1)
-        taken.append(symbols)
-        if keep is not None:
-            good = keep(k, taken)
-            if not good.all():
-                alive, at, ends = alive[good], at[good], ends[good]
-                taken = [t[good] for t in taken]
-                if not len(alive):
-                    break
-    return taken, alive
+    words = -(-steps // 64)
+    symbols = np.arange(n_symbols, dtype=np.uint64)
+    out = np.empty((WALKS, words, n_symbols), dtype=np.uint64)
+    for k in range(WALKS * words):
+        h = (symbols + np.uint64(k * 0x9E3779B1 + 1)) * np.uint64(0x9E3779B97F4A7C15)
+        for shift in (30, 27, 31):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(0xBF58476D1CE4E5B9)
+        out[k // words, k % words] = h ^ (h >> np.uint64(32))
+    out[:, :, END] = 0
+    return out
+
+
+class Walk:
+    """CGK walks of many windows at once."""
+
+    def __init__(self, words: np.ndarray, at: np.ndarray, bits: np.ndarray, step: int = 0):
+        self.words, self.at, self.bits, self.step = words, at, bits, step
+
+    def symbols(self, position: int) -> np.ndarray:
+        """The embeddings' symbols at a position not before the last one asked for."""
+        while True:
+            found = self.words[self.at]
+            if self.step == position:
+                return found
+            move = self.bits[self.step >> 6][found] >> np.uint64(self.step & 63)
+            self.at = self.at + (move & np.uint64(1)).astype(np.int32)
+            self.step += 1
+
+    def subset(self, rows: np.ndarray) -> Walk:
+        return Walk(self.words, self.at[rows], self.bits, self.step)
+
+
+def joined(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Symbol sequences one after another, each followed by the end; and their starts."""
+    sizes = np.array([len(x) + 1 for x in sequences])
+    out = np.full(sizes.sum(), END, dtype=np.int32)
+    inside = np.ones(len(out), dtype=bool)
+    inside[np.cumsum(sizes) - 1] = False
+    out[inside] = np.concatenate(sequences)
+    return out, (np.cumsum(sizes) - sizes).astype(np.int32)
 
 
 def _mix(taken: list[np.ndarray]) -> np.ndarray:
     """One 64-bit value of the symbols sampled so far."""
     h = np.zeros(len(taken[0]), dtype=np.uint64)
     for t in taken:
-        h = (h ^ (t + 2).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (t + 1).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(31)
     return h
 
@@ -131,16 +146,32 @@ def banded_distances(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]
     return int(cost[end]), int(begin[end]), end
 
 
+@dataclass
+class Table:
+    """One walk with sampled positions, and what the items read there."""
+
+    walk: int
+    positions: list[int]
+    first: np.ndarray  # whether a symbol is read by some item at the first position
+    known: list[np.ndarray]  # sorted hashes of the symbols up to each position
+    hashes: np.ndarray  # of all positions, sorted
+    items: np.ndarray  # beside ``hashes``
+
+
 @dataclass
 class LengthGroup:
     """Items of similar length with their hash tables."""
 
-    items: list[int]
+    items: np.ndarray
     shortest: int
     longest: int
     known_words: int  # words of any item that a true match has at least
-    rare_words: int  # and words that few items use
-    tables: list[tuple]  # (walk, positions, hashes after each position, items by last hash)
+    tables: list[Table]
+
+
+def _reach(shortest: int) -> int:
+    """Positions to sample from: a walk that far rarely leaves the shortest item."""
+    return max(POSITIONS + FIRST_POSITIONS, int(1.6 * shortest))
 
 
 class Chunk:
@@ -159,152 +190,179 @@ class Chunk:
                 self.whole.setdefault(tuple(words), []).append(key)
                 continue
             self.keys.append(key)
-            row = [self.ids.setdefault(w, len(self.ids) + 1) for w in words]
-            self.words.append(np.array(row, dtype=np.int64))
-        uses = np.zeros(len(self.ids) + 1, dtype=np.int64)
-        for row in self.words:
-            uses[np.unique(row)] += 1
-        self.rare = uses < max(3, RARE_SHARE * len(self.words))
-        self.rare[0] = False
-        # What a match must keep of an item's rare words; items that have few are apart.
-        sure = [int(self.rare[w].sum()) - self.edits(len(w)) for w in self.words]
+            row = [self.ids.setdefault(w, len(self.ids) + OTHER + 1) for w in words]
+            self.words.append(np.array(row, dtype=np.int32))
+        self.n_symbols = len(self.ids) + OTHER + 1
+        self.sizes = np.array([len(w) for w in self.words], dtype=np.int64)
+        self.edits = np.array([allowed_edits(n, share) for n in self.sizes], dtype=np.int64)
+        longest = int(self.sizes.max()) if len(self.sizes) else 0
+        self.bits = random_bits(self.n_symbols, _reach(longest))
         self.groups: list[LengthGroup] = []
-        for plain in (False, True):
-            own = [k for k, w in enumerate(self.words) if (sure[k] < 0.1 * len(w)) == plain]
-            part: list[int] = []
-            for k in sorted(own, key=lambda k: (len(self.words[k]), k)):
-                if part and len(self.words[k]) > LENGTH_RATIO * len(self.words[part[0]]):
-                    self.groups.append(self._group(part, sure, recall))
-                    part = []
-                part.append(k)
-            if part:
-                self.groups.append(self._group(part, sure, recall))
-
-    def edits(self, n_words: int) -> int:
-        return allowed_edits(n_words, self.share)
-
-    def _group(self, items: list[int], sure: list[int], recall: float) -> LengthGroup:
-        sizes = np.array([len(self.words[k]) for k in items])
-        rng = np.random.default_rng(zlib.crc32(str(sizes[0]).encode()))
-        drawn = [
-            (walk, np.sort(rng.choice(2 * int(sizes[0]), POSITIONS, replace=False)))
-            for walk in range(MOST_TABLES)
-        ]
+        part: list[int] = []
+        for k in np.argsort(self.sizes, kind="stable").tolist():
+            if part and self.sizes[k] > LENGTH_RATIO * self.sizes[part[0]]:
+                self.groups.append(self._group(part, recall))
+                part = []
+            part.append(k)
+        if part:
+            self.groups.append(self._group(part, recall))
+
+    def _group(self, items: list[int], recall: float) -> LengthGroup:
+        sizes = self.sizes[items]
+        shortest = int(sizes[0])
+        rng = np.random.default_rng(shortest)
+        drawn = []
+        for t in range(MOST_TABLES):
+            first = int(rng.integers(min(FIRST_POSITIONS, shortest)))
+            rest = rng.choice(np.arange(first + 1, _reach(shortest)), POSITIONS - 1, replace=False)
+            drawn.append((t % WALKS, [first, *np.sort(rest).tolist()]))
         n = self._tables_needed(items, drawn, recall, rng)
-        flat = np.concatenate([self.words[k] for k in items])
-        ends = np.cumsum(sizes)
         tables = []
-        for walk, positions in drawn[:n]:
-            taken, _ = embed(flat, ends - sizes, ends, walk, positions)
+        for table in drawn[:n]:
+            taken = self.sampled([self.words[k] for k in items], table)
+            first = np.zeros(self.n_symbols, dtype=bool)
+            first[taken[0]] = True
             known = [np.unique(_mix(taken[: p + 1])) for p in range(POSITIONS)]
             last = _mix(taken)
             by_hash = np.argsort(last, kind="stable")
-            tables.append((walk, positions, known, last[by_hash], np.array(items)[by_hash]))
-        keep = min(len(self.words[k]) - self.edits(len(self.words[k])) for k in items)
-        rare = max(0, min(sure[k] for k in items))
-        return LengthGroup(items, int(sizes[0]), int(sizes[-1]), keep, rare, tables)
+            own = np.array(items)[by_hash]
+            tables.append(Table(*table, first, known, last[by_hash], own))
+        keep = int((sizes - self.edits[items]).min())
+        return LengthGroup(np.array(items), shortest, int(sizes[-1]), keep, tables)
+
+    def sampled(self, sequences, table) -> list[np.ndarray]:
+        """The symbols of whole sequences at a table's positions."""
+        walk = Walk(*joined(list(sequences)), self.bits[table[0]])
+        return [walk.symbols(p) for p in table[1]]
 
     def _tables_needed(self, items, drawn, recall, rng) -> int:
         """Tables until edited copies of (a bounded number of) the items meet the recall."""
         probes = [items[k] for k in rng.permutation(len(items))[:64]]
         pairs = []
         for k in probes:
-            own = self.words[k]
             for _ in range(max(1, 256 // len(probes))):
-                changed = own.tolist()
-                for _ in range(self.edits(len(own))):
+                changed = self.words[k].tolist()
+                for _ in range(self.edits[k]):
                     at, kind = int(rng.integers(len(changed))), rng.integers(3)
                     if kind == 0:
-                        changed[at] = 0
+                        changed[at] = OTHER
                     elif kind == 1:
-                        changed.insert(at, 0)
+                        changed.insert(at, OTHER)
                     else:
                         del changed[at]
-                pairs.append((own, np.array(changed, dtype=np.int64)))
+                pairs.append((self.words[k], np.array(changed, dtype=np.int32)))
 
-        def sampled(sequences, walk, positions):
-            ends = np.cumsum([len(x) for x in sequences])
-            starts = ends - [len(x) for x in sequences]
-            return _mix(embed(np.concatenate(sequences), starts, ends, walk, positions)[0])
+        def hashes(sequences, table):
+            return _mix(self.sampled(sequences, table))
 
         originals, edited = zip(*pairs)
         met = np.zeros(len(pairs), dtype=bool)
         for n, table in enumerate(drawn):
-            met |= sampled(originals, *table) == sampled(edited, *table)
+            met |= hashes(originals, table) == hashes(edited, table)
             if met.mean() >= recall:
                 return n + 1
         return len(drawn)
 
-    def candidates(self, words: np.ndarray, limits: np.ndarray, sums, group: LengthGroup):
-        """(start, item) of windows that agree with an item in some table.
+    def promising(self, words: np.ndarray, limits: np.ndarray) -> Iterator[np.ndarray]:
+        """Per length group, the starts of windows that may hold a true match.
 
-        ``limits`` are the ends of the positions' texts, ``sums`` running counts of
-        known and of rare words.
+        Each item names the share of rarest words that tells it best from chance; a
+        window must hold as many of those as some item that named the share keeps.
         """
-        starts = np.arange(len(words))
-        reach = np.minimum(starts + group.longest + self.edits(group.longest), limits)
-        rich = (sums[0][reach] - sums[0][starts] >= group.known_words) & (
-            sums[1][reach] - sums[1][starts] >= group.rare_words
-        )
-        starts = starts[rich]
-        if not len(starts):
-            return []
-        ends = np.minimum(starts + group.longest, limits[rich])
+        n = max(1, len(words))
+        counts = np.bincount(words, minlength=self.n_symbols)
+        by_count = np.argsort(counts[OTHER + 1 :], kind="stable") + OTHER + 1
+        mass = np.cumsum(counts[by_count]) / n
+        item_words = np.concatenate(self.words)
+        begins = np.cumsum(self.sizes) - self.sizes
+        running, sure, better = [], [], []
+        for share in RARE_MASSES:
+            rare = np.zeros(self.n_symbols, dtype=bool)
+            rare[by_count[mass <= share]] = True
+            running.append(np.concatenate([[0], np.cumsum(rare[words], dtype=np.int32)]))
+            kept = np.add.reduceat(rare[item_words].astype(np.int64), begins) - self.edits
+            by_chance = share * (self.sizes + self.edits)
+            sure.append(kept)
+            better.append((kept - by_chance) / np.sqrt(by_chance))
+        sure, better = np.array(sure), np.array(better)
+        named = np.where(better.max(axis=0) > 0, better.argmax(axis=0), -1)
+        known = np.concatenate([[0], np.cumsum(words > OTHER, dtype=np.int32)])
+        starts = np.arange(len(words), dtype=np.int32)
+        for group in self.groups:
+            reach = np.minimum(starts + group.longest + self.edits[group.items].max(), limits)
+            good = known[reach] - known[:-1] >= group.known_words
+            some = np.zeros(len(words), dtype=bool)
+            for k in np.unique(named[group.items]).tolist():
+                if k < 0:
+                    some[:] = True
+                else:
+                    least = sure[k][group.items][named[group.items] == k].min()
+                    some |= running[k][reach] - running[k][:-1] >= least
+            yield starts[good & some]
+
+    def candidates(self, words: np.ndarray, starts: np.ndarray, group: LengthGroup):
+        """(start, item) of windows that agree with an item in some table."""
         found = []
-        for walk, positions, prefixes, hashes, items in group.tables:
-
-            def keep(k, taken, prefixes=prefixes):
-                own, h = prefixes[k], _mix(taken)
-                return own[np.minimum(np.searchsorted(own, h), len(own) - 1)] == h
-
-            taken, alive = embed(words, starts, ends, walk, positions, keep)
-            if not len(alive):
-                continue
-            h = _mix(taken)
-            first, last = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-            reps = last - first
-            at = np.repeat(starts[alive], reps)
-            inner = np.arange(len(at)) - np.repeat(np.cumsum(reps) - reps, reps)
-            found.append(np.stack([at, items[np.repeat(first, reps) + inner]], axis=1))
-        return np.unique(np.concatenate(found), axis=0) if found else []
+        for number in range(WALKS if len(starts) else 0):
+            walk = Walk(words, starts, self.bits[number])
+            own = sorted((t for t in group.tables if t.walk == number), key=lambda t: t.positions)
+            for table in own:
+                rows = np.flatnonzero(table.first[walk.symbols(table.positions[0])])
+                part = walk.subset(rows)
+                taken: list[np.ndarray] = []
+                for k, position in enumerate(table.positions):
+                    if not len(rows):
+                        break
+                    taken.append(part.symbols(position))
+                    h, fits = _mix(taken), table.known[k]
+                    good = np.flatnonzero(fits[np.minimum(np.searchsorted(fits, h), len(fits) - 1)] == h)
+                    rows, part, taken = rows[good], part.subset(good), [t[good] for t in taken]
+                if len(rows):
+                    h = _mix(taken)
+                    low = np.searchsorted(table.hashes, h, "left")
+                    reps = np.searchsorted(table.hashes, h, "right") - low
+                    inner = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+                    items = table.items[np.repeat(low, reps) + inner]
+                    found.append(np.stack([np.repeat(starts[rows], reps), items], axis=1))
+        return np.unique(np.concatenate(found), axis=0) if found else found
 
     def matches(self, texts: list[str]) -> list[tuple]:
         """(text, item key, edits, item words, begin word, end word), the best passage of each pair."""
         docs = [split_words(t) for t in texts]
         get = self.ids.get
         out = []
-        flat = np.fromiter((get(w, 0) for d in docs for w in d), np.int64, sum(map(len, docs)))
-        bounds = np.cumsum([0, *map(len, docs)])
         for k, d in enumerate(docs):
             if len(d) < SHORT:
                 out += [(k, key, 0, len(d), 0, len(d)) for key in self.whole.get(tuple(d), [])]
-        if not len(flat):
+        if not self.words or not any(docs):
             return out
-        owner = np.repeat(np.arange(len(docs)), np.diff(bounds))
-        limits = bounds[1:][owner]
+        ids = (np.fromiter((get(w, OTHER) for w in d), np.int32, len(d)) for d in docs)
+        flat, begins = joined(list(ids))
+        ends = np.append(begins[1:], len(flat)) - 1  # where each text's end symbol stands
+        owner = np.repeat(np.arange(len(docs)), ends - begins + 1)
+        limits = ends[owner]
         best: dict[tuple, tuple] = {}
-        sums = [np.concatenate([[0], np.cumsum(x)]) for x in (flat > 0, self.rare[flat])]
-        for group in self.groups:
-            pairs = self.candidates(flat, limits, sums, group)
+        for group, starts in zip(self.groups, self.promising(flat, limits)):
+            pairs = self.candidates(flat, starts, group)
             if not len(pairs):
                 continue
             for item in np.unique(pairs[:, 1]).tolist():
                 own = self.words[item]
-                edits = self.edits(len(own))
+                edits = int(self.edits[item])
                 starts = pairs[pairs[:, 1] == item, 0]
-                member = np.zeros(len(self.ids) + 1, dtype=bool)
+                member = np.zeros(self.n_symbols, dtype=bool)
                 member[own] = True
-                lo = np.maximum(starts - edits, bounds[owner[starts]])
+                lo = np.maximum(starts - edits, begins[owner[starts]])
                 hi = np.minimum(starts + len(own) + edits, limits[starts])
                 width = len(own) + 2 * edits
                 at = lo[:, None] + np.arange(width)
                 shared = (member[flat[np.minimum(at, len(flat) - 1)]] & (at < hi[:, None])).sum(axis=1)
                 good = shared >= len(own) - edits
-                for a, b in zip(lo[good].tolist(), hi[good].tolist()):
+                for a, b in _merged(lo[good], hi[good], owner):
                     doc = int(owner[a])
                     cost, begin, end = banded_distances(own, flat[a:b])
                     if cost <= edits:
-                        place = (cost, a + begin - int(bounds[doc]), a + end - int(bounds[doc]))
+                        place = (cost, a + begin - int(begins[doc]), a + end - int(begins[doc]))
                         if best.get((doc, item), place) >= place:
                             best[doc, item] = place
         for (doc, item), (cost, begin, end) in sorted(best.items()):
@@ -312,6 +370,15 @@ class Chunk:
         return out
 
 
+def _merged(lo: np.ndarray, hi: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Overlapping stretches of one text as one; ``lo`` ascends."""
+    if not len(lo):
+        return
+    apart = (lo[1:] >= hi[:-1]) | (owner[lo[1:]] != owner[lo[:-1]])
+    first = np.flatnonzero(np.concatenate([[True], apart]))
+    yield from zip(lo[first].tolist(), np.maximum.reduceat(hi, first).tolist())
+
+
 def _portions(texts: list, most_chars: int = 4 << 20) -> Iterator[tuple[int, list[str]]]:
     part, total, at = [], 0, 0
     for t in texts:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
+from .decontamination import contaminated
 from .mixing import mix
 from .simhash import simhash_components
 from .tables import table
@@ -49,6 +50,11 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(spark, folder)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, benchmark item) where the document holds a passage like the item."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from every document."""
     return mix(table(spark, sf_dir, "documents"))
@@ -62,6 +68,7 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_token_output": op3_token_output,
+    "op4_decontamination": op4_decontamination,
     "op5_mix_sources": op5_mix_sources,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
 }
