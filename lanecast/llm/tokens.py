@@ -18,6 +18,8 @@ they land in any store and a lost executor's files are written again.
 from __future__ import annotations
 
 import hashlib
+import os
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -38,54 +40,110 @@ SAMPLE_BYTES = 8 << 20
 DICTIONARY_BYTES = 64 << 10
 BLOCK_BYTES = 1 << 20
 LEVEL = 1
-CACHED_WORDS = 600_000  # in a Python worker; when full, further words aren't kept
+CACHED_WORDS = 500_000  # in a Python worker; when full, further words aren't kept
 
-# Where a space has text on both sides, no token reaches across its left edge.
+# Fixed value: how a byte-level vocabulary of this kind splits text before its merges.
+PIECES = regex.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+)
+SPACE = "\u0120"  # a space in the byte-level alphabet
+STOPS = (".", ",", ";", ":", "!", "?")
+# White space other than single spaces and line breaks between visible characters.
 _ODD_SPACE = regex.compile(r"\s\s|^\s|\s$|[^\S \n]")
 
 
+def _visible_bytes() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, others follow 255."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: 256 + k for k, b in enumerate(others)}
+
+
 class Encoder:
-    """Ids by the tokenizers library, which sees every distinct word once per worker.
+    """Ids by the tokenizers library, whose merges see a word once per worker.
 
     A byte-level vocabulary splits text before each space that stands between two
-    visible characters, so a word's ids don't depend on its neighbours.  Texts with
-    runs of white space, or with a special token's string, are encoded in one piece.
+    visible characters, so a word's ids don't depend on its neighbours: texts are cut
+    there, and the library's model merges the pieces of words that are new.  Texts
+    with other white space, or with a special token's string, are encoded in one
+    piece; so are all texts of vocabularies that split in another way.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        # One process per core is Spark's business; the library must not add threads.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.type.itemsize == 2 else "I"
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.special = [t.content for t in added]
         self.words: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.type).tobytes() for e in found]
+        self.marks: dict[str, bytes] = {}
+        self.merge = self.tokenizer.model.tokenize
+        self.visible = _visible_bytes()
+        split = self.tokenizer.pre_tokenizer
+        self.by_word = (
+            isinstance(self.tokenizer.model, models.BPE)
+            and isinstance(split, pre_tokenizers.ByteLevel)
+            and not split.add_prefix_space
+            and split.use_regex
+            and self.tokenizer.normalizer is None
+        )
+
+    def _whole(self, text: str) -> bytes:
+        found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
+        return np.array(found.ids, dtype=self.type).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        shown = piece.encode().decode("latin-1").translate(self.visible)
+        return self._packed([t.id for t in self.merge(shown)])
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+    def _after_space(self, word: str) -> bytes:
+        """The ids of a space and the word; plain words need no further splitting."""
+        if word.isalpha() and word.isascii():
+            return self._packed([t.id for t in self.merge(SPACE + word)])
+        body, end = word[:-1], word[-1:]
+        if end in STOPS and body.isalpha():  # a mark after letters is a piece of its own
+            ids = self.words.get(body)
+            return (self._after_space(body) if ids is None else ids) + self._word(end)
+        return self._word(" " + word)
+
+    def _word(self, word: str) -> bytes:
+        out = []
+        for piece in PIECES.findall(word):
+            ids = self.marks.get(piece)
+            if ids is None:
+                ids = self._piece(piece)
+                if len(piece) < 4 and len(self.marks) < CACHED_WORDS:
+                    self.marks[piece] = ids
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole, split = [], {}
-        for k, text in enumerate(texts):
-            if _ODD_SPACE.search(text) or any(s in text for s in self.special):
-                whole.append(k)
-            elif text:
-                head, *rest = text.split(" ")
-                split[k] = [head, *[" " + w for w in rest]]
-        out = [b""] * len(texts)
-        for k, ids in zip(whole, self._encode([texts[k] for k in whole])):
-            out[k] = ids
-        known = self.words
-        new = list({w for pieces in split.values() for w in pieces if w not in known})
-        fresh = dict(zip(new, self._encode(new)))
-        if len(known) + len(fresh) <= CACHED_WORDS:
-            known.update(fresh)
-            fresh = known
-        else:
-            fresh = {w: fresh[w] if w in fresh else known[w] for p in split.values() for w in p}
-        for k, pieces in split.items():
-            out[k] = b"".join(map(fresh.__getitem__, pieces))
+        known, out = self.words, []
+        for text in texts:
+            if not text:
+                out.append(b"")
+                continue
+            odd = _ODD_SPACE.search(text) or any(s in text for s in self.special)
+            if odd or not self.by_word:
+                out.append(self._whole(text))
+                continue
+            head, *rest = text.split(" ")
+            ids = [self._word(head)]
+            for word in rest:
+                found = known.get(word)
+                if found is None:
+                    found = self._after_space(word)
+                    if len(known) < CACHED_WORDS:
+                        known[word] = found
+                ids.append(found)
+            out.append(b"".join(ids))
         return out
 
 
@@ -114,11 +172,15 @@ def _texts(column: pa.Array) -> list[str]:
 def train_dictionary(docs: DataFrame, text_column: str, tokenizer: str, end_id: int) -> dict:
     """A zstandard dictionary from a bounded sample of documents, and its hash.
 
-    The sample is the first ``SAMPLE_DOCS`` documents in hash order of their text, so
-    it is the same for every layout of the table.  Too few ids give no dictionary.
+    The sample follows the hash of the texts, so it is the same for every layout of the
+    table, and copies enter once.  Only rows below a hash bound, about twice the sample,
+    leave the scan.  Too few ids give no dictionary.
     """
-    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    rows = docs.select(F.substring(text, 1, 20_000).alias("t")).orderBy(F.xxhash64("t"), "t")
+    text = F.substring(F.coalesce(F.col(text_column).cast("string"), F.lit("")), 1, 20_000)
+    share = min(1.0, 2 * SAMPLE_DOCS / max(1, docs.count()))
+    low = F.shiftrightunsigned(F.xxhash64(text), 1) <= F.lit(min(int(share * 2.0**63), (1 << 63) - 1))
+    texts = docs.select(text.alias("t")).where(low).groupBy(F.xxhash64("t").alias("h"))
+    rows = texts.agg(F.min("t").alias("t")).orderBy("h")
     found = encoder(tokenizer)
     samples, total = [], 0
     for part in _batches([r["t"] for r in rows.limit(SAMPLE_DOCS).collect()]):
