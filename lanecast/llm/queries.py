@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_folder
 from .decontamination import contaminated
+from .embeddings import near_vectors
 from .mixing import mix
 from .simhash import simhash_components
 from .tables import table
@@ -65,12 +66,18 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and representative of every vector."""
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_token_output": op3_token_output,
     "op4_decontamination": op4_decontamination,
     "op5_mix_sources": op5_mix_sources,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
 }
 
 # DuckDB statements for the queries that SQL can express.
