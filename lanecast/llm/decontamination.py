@@ -44,7 +44,7 @@ EDIT_SHARE = 0.2  # edits allowed per word of the item
 RECALL = 0.95  # of windows with as many edits as allowed, by their aligned start alone
 POSITIONS = 4  # sampled positions of an embedding in a table
 WALKS = 8  # tables share them
-FIRST_POSITIONS = 8  # the first sampled position is among so many
+FIRST_POSITIONS = (0, 2, 4, 6)  # the first sampled position; tables of a walk share it
 MOST_TABLES = 96
 LENGTH_RATIO = 1.25  # longest to shortest item of a length group
 RARE_MASSES = (0.005, 0.01, 0.02, 0.04, 0.08)  # shares of a text that its rarest words make up
@@ -171,7 +171,7 @@ class LengthGroup:
 
 def _reach(shortest: int) -> int:
     """Positions to sample from: a walk that far rarely leaves the shortest item."""
-    return max(POSITIONS + FIRST_POSITIONS, int(1.6 * shortest))
+    return max(POSITIONS + FIRST_POSITIONS[-1], int(1.6 * shortest))
 
 
 class Chunk:
@@ -213,7 +213,7 @@ class Chunk:
         rng = np.random.default_rng(shortest)
         drawn = []
         for t in range(MOST_TABLES):
-            first = int(rng.integers(min(FIRST_POSITIONS, shortest)))
+            first = int(rng.choice(FIRST_POSITIONS))
             rest = rng.choice(np.arange(first + 1, _reach(shortest)), POSITIONS - 1, replace=False)
             drawn.append((t % WALKS, [first, *np.sort(rest).tolist()]))
         n = self._tables_needed(items, drawn, recall, rng)
@@ -305,27 +305,37 @@ class Chunk:
         found = []
         for number in range(WALKS if len(starts) else 0):
             walk = Walk(words, starts, self.bits[number])
-            own = sorted((t for t in group.tables if t.walk == number), key=lambda t: t.positions)
-            for table in own:
-                rows = np.flatnonzero(table.first[walk.symbols(table.positions[0])])
-                part = walk.subset(rows)
-                taken: list[np.ndarray] = []
-                for k, position in enumerate(table.positions):
-                    if not len(rows):
-                        break
-                    taken.append(part.symbols(position))
-                    h, fits = _mix(taken), table.known[k]
-                    good = np.flatnonzero(fits[np.minimum(np.searchsorted(fits, h), len(fits) - 1)] == h)
-                    rows, part, taken = rows[good], part.subset(good), [t[good] for t in taken]
-                if len(rows):
-                    h = _mix(taken)
-                    low = np.searchsorted(table.hashes, h, "left")
-                    reps = np.searchsorted(table.hashes, h, "right") - low
-                    inner = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-                    items = table.items[np.repeat(low, reps) + inner]
-                    found.append(np.stack([np.repeat(starts[rows], reps), items], axis=1))
+            by_first: dict[int, list[Table]] = {}
+            for table in group.tables:
+                if table.walk == number:
+                    by_first.setdefault(table.positions[0], []).append(table)
+            for first, tables in sorted(by_first.items()):
+                symbols = walk.symbols(first)
+                alive = np.flatnonzero(tables[0].first[symbols])
+                begun = walk.subset(alive)
+                for table in tables:
+                    self._follow(table, begun, starts[alive], symbols[alive], found)
         return np.unique(np.concatenate(found), axis=0) if found else found
 
+    def _follow(self, table: Table, walk: Walk, starts, symbols, found: list) -> None:
+        """Add the (start, item) pairs that agree at the table's further positions too."""
+        taken = [symbols]
+        for k, position in enumerate(table.positions[1:], 1):
+            if not len(starts):
+                return
+            if k == 1:  # other tables go on from the same place
+                walk = Walk(walk.words, walk.at, walk.bits, walk.step)
+            taken.append(walk.symbols(position))
+            h, fits = _mix(taken), table.known[k]
+            good = np.flatnonzero(fits[np.minimum(np.searchsorted(fits, h), len(fits) - 1)] == h)
+            starts, walk, taken = starts[good], walk.subset(good), [t[good] for t in taken]
+        h = _mix(taken)
+        low = np.searchsorted(table.hashes, h, "left")
+        reps = np.searchsorted(table.hashes, h, "right") - low
+        inner = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+        items = table.items[np.repeat(low, reps) + inner]
+        found.append(np.stack([np.repeat(starts, reps), items], axis=1))
+
     def matches(self, texts: list[str]) -> list[tuple]:
         """(text, item key, edits, item words, begin word, end word), the best passage of each pair."""
         docs = [split_words(t) for t in texts]
@@ -358,6 +368,16 @@ class Chunk:
                 at = lo[:, None] + np.arange(width)
                 shared = (member[flat[np.minimum(at, len(flat) - 1)]] & (at < hi[:, None])).sum(axis=1)
                 good = shared >= len(own) - edits
+                inside = starts[good, None] + np.arange(len(own))
+                exact = good.copy()
+                exact[good] = (flat[np.minimum(inside, len(flat) - 1)] == own).all(axis=1)
+                for a in starts[exact].tolist():
+                    doc = int(owner[a])
+                    place = (0, a - int(begins[doc]), a - int(begins[doc]) + len(own))
+                    best[doc, item] = min(place, best.get((doc, item), place))
+                # A text that holds the item itself has its closest passage already.
+                done = np.isin(owner[starts], owner[starts[exact]])
+                good &= ~done
                 for a, b in _merged(lo[good], hi[good], owner):
                     doc = int(owner[a])
                     cost, begin, end = banded_distances(own, flat[a:b])
