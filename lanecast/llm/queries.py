@@ -11,6 +11,7 @@ from ..session import shared_folder
 from .decontamination import contaminated
 from .embeddings import near_vectors
 from .mixing import mix
+from .sharding import shard_documents
 from .simhash import simhash_components
 from .tables import table
 from .toxicity import fit, toxicity
@@ -71,6 +72,11 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document; equal texts are neighbours."""
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_token_output": op3_token_output,
@@ -78,6 +84,7 @@ QUERIES = {
     "op5_mix_sources": op5_mix_sources,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
+    "op8_sharding": op8_sharding,
 }
 
 # DuckDB statements for the queries that SQL can express.
