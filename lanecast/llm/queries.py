@@ -15,6 +15,7 @@ from .sharding import shard_documents
 from .simhash import simhash_components
 from .tables import table
 from .toxicity import fit, toxicity
+from .urls import judge_urls
 from .tokens import read_digests, write_tokens
 
 # The contract's tokenizer and end id.
@@ -77,6 +78,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's URL."""
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_token_output": op3_token_output,
@@ -85,6 +91,7 @@ QUERIES = {
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_sharding": op8_sharding,
+    "op9_url_filter": op9_url_filter,
 }
 
 # DuckDB statements for the queries that SQL can express.
