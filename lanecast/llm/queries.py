@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..session import shared_folder
 from .decontamination import contaminated
 from .embeddings import near_vectors
+from .html import extracted
+from .html import fit as fit_field
 from .mixing import mix
 from .sharding import shard_documents
 from .simhash import simhash_components
@@ -43,6 +45,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    text = extracted(F.col("html"), fit_field(pages), spark)
+    found = pages.select("page_id", "url", text.alias("text"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids, read back from the written files."""
     import public_tokenizers
@@ -85,6 +95,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_html_extraction": op2_html_extraction,
     "op3_token_output": op3_token_output,
     "op4_decontamination": op4_decontamination,
     "op5_mix_sources": op5_mix_sources,
