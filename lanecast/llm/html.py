@@ -368,7 +368,8 @@ class Layouts:
             elif role == "form":
                 body += self._leaf(r.choice(("button", "div", "p", "legend")), self._line(), 0)
             else:
-                body += self._leaf(r.choice(("p", "div", "p", "h3")), self._line(), 0)
+                titles = ("h1", "h2", "p", "div") if role == "header" else ("p", "div", "p", "h3")
+                body += self._leaf(r.choice(titles), self._line(), 0)
         if tag == "p":  # a single leaf
             del self.labels[-body.count("</") :]
             return self._named_leaf(name)

@@ -13,6 +13,7 @@ from .embeddings import near_vectors
 from .html import extracted
 from .html import fit as fit_field
 from .mixing import mix
+from .pitman_yor import language_model_scores
 from .sharding import shard_documents
 from .simhash import simhash_components
 from .tables import table
@@ -93,6 +94,11 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model and base scores of every document, learned from those outside fold 1."""
+    return language_model_scores(table(spark, sf_dir, "documents"), ~fold(1))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_html_extraction": op2_html_extraction,
@@ -103,6 +109,7 @@ QUERIES = {
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_sharding": op8_sharding,
     "op9_url_filter": op9_url_filter,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 # DuckDB statements for the queries that SQL can express.
