@@ -1 +1 @@
-"""Order lead-time and delivery-promise analytics as Spark DataFrame jobs."""
+"""Order lead-time analytics and training-text operators as Spark DataFrame jobs."""

@@ -39,7 +39,7 @@ PARTS = {
                    86400 * (2 + (sn + cn) % 9)
                    + (k * 32452) % (86400 * (1 + (sn * cn) % 17))
                    + CASE WHEN k % 19 = 0 THEN (k * 99991) % (86400 * 25) ELSE 0 END) END AS arrived,
-               d0 + to_seconds(86400 * (12 + (sn + cn) % 9 + k % 5)) AS due
+               CASE WHEN k % 503 <> 0 THEN d0 + to_seconds(86400 * (12 + (sn + cn) % 9 + k % 5)) END AS due
         FROM handoffs""",
     "c_src": """
         SELECT c_custkey AS cid, c_custkey - c_custkey % 2 AS person,
@@ -52,19 +52,20 @@ PARTS = {
         FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey""",
     "r_src": """
         SELECT oid, oid * 10 + r AS rid, due + to_seconds(86400 * CASE WHEN oid % 58 = 0 THEN 1 ELSE r END) AS written,
-               CASE WHEN arrived > due THEN 1 + (oid * 31 + r) % 3 ELSE 3 + (oid * 17 + r) % 3 END AS stars
+               CASE WHEN r = 1 AND oid % 143 = 0 THEN NULL
+                    WHEN arrived > due THEN 1 + (oid * 31 + r) % 3 ELSE 3 + (oid * 17 + r) % 3 END AS stars
         FROM o_src, (VALUES (1), (2)) AS copies(r)
-        WHERE CASE r WHEN 1 THEN oid % 143 <> 0 ELSE oid % 29 = 0 END""",
+        WHERE r = 1 OR oid % 29 = 0""",
     "kept": """
         SELECT *, date_diff('day', bought, arrived) AS days, date_diff('day', due, arrived) AS err,
                arrived > due AS late, scanned < okayed AS odd,
                date_diff('hour', bought, okayed) AS h1, date_diff('hour', okayed, scanned) AS h2,
                date_diff('hour', scanned, arrived) AS h3
         FROM o_src
-        WHERE status = 'delivered' AND bought BETWEEN TIMESTAMP '1995-07-01' AND TIMESTAMP '2000-12-31 23:59:59.999999'
-          AND COALESCE(okayed, scanned, arrived) IS NOT NULL AND okayed IS NOT NULL
-          AND scanned IS NOT NULL AND arrived IS NOT NULL
-          AND NOT date_diff('hour', scanned, okayed) > 168""",
+        WHERE status = 'delivered'
+          AND bought >= TIMESTAMP '1995-07-01' AND bought < TIMESTAMP '2001-01-01'
+          AND okayed IS NOT NULL AND scanned IS NOT NULL AND arrived IS NOT NULL
+          AND date_diff('hour', scanned, okayed) <= 168""",
     "sold": """
         SELECT l_orderkey AS oid, l_suppkey AS sid, state, l_shipdate AS lim,
                dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey) AS seller_no,
@@ -110,8 +111,9 @@ PARTS = {
         LEFT JOIN c_src c ON c.cid = f.cid
         LEFT JOIN (SELECT oid, stars, row_number() OVER (PARTITION BY oid ORDER BY written DESC NULLS LAST, rid DESC) AS k
                    FROM r_src) r ON r.oid = f.oid AND r.k = 1
-        LEFT JOIN (SELECT l_orderkey, SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS paid
-                   FROM lineitem WHERE l_orderkey % 113 <> 0 GROUP BY l_orderkey) p ON p.l_orderkey = f.oid""",
+        LEFT JOIN (SELECT l_orderkey,
+                          SUM(CASE WHEN l_orderkey % 113 <> 0 THEN CAST(l_extendedprice AS DECIMAL(18,2)) END) AS paid
+                   FROM lineitem GROUP BY l_orderkey) p ON p.l_orderkey = f.oid""",
 }
 
 # Band label and the first and last whole day (or hour) it holds.
@@ -132,6 +134,8 @@ REVIEW_CHART = """(VALUES
     ('d) 1-3 late', 1, 3), ('e) 4-7 late', 4, 7), ('f) 8-14 late', 8, 14),
     ('g) 15+ late', 15, 1000000)) AS bands(label, lo, hi)"""
 
+# An order without a promise falls into the last band, which takes what is left.
+_LAST = "COALESCE(err, 1000000)"
 _LATE = "round(100.0 * COUNT(*) FILTER (WHERE late) / NULLIF(COUNT(late), 0), 6)"
 _PLACE = f"""COUNT(*) AS n_orders, round(median(h3) / 24.0, 6) AS median_transit,
     round(quantile_cont(h3, 0.95) / 24.0, 6) AS p95_transit,
@@ -170,7 +174,7 @@ REPORTS = {
                CAST(COALESCE(SUM(CASE WHEN arrived < scanned THEN 1 END), 0) AS BIGINT) AS delivered_before_shipped
         FROM o_src WHERE status = 'delivered'""",
     "monthly_volume": """
-        SELECT strftime(date_trunc('month', bought), '%Y-%m') AS month, COUNT(*) AS n_orders
+        SELECT strftime(bought, '%Y-%m') AS month, COUNT(*) AS n_orders
         FROM o_src GROUP BY 1""",
     "violation_gap_summary": """
         SELECT COUNT(*) AS n_orders, MIN(h) AS min_hours, round(median(h), 6) AS median_hours,
@@ -185,14 +189,17 @@ REPORTS = {
         SELECT IF(scanned < okayed, 'violation', 'clean') AS grp, COUNT(*) AS n_orders,
                round(median(date_diff('day', bought, arrived)), 6) AS median_total_days,
                round(quantile_cont(date_diff('day', bought, arrived), 0.95), 6) AS p95_total_days
-        FROM o_src WHERE status = 'delivered' AND arrived - bought IS NOT NULL
-          AND scanned - okayed IS NOT NULL GROUP BY 1""",
+        FROM o_src
+        WHERE status = 'delivered' AND okayed IS NOT NULL AND scanned IS NOT NULL AND arrived IS NOT NULL
+        GROUP BY 1""",
     "category_mix": """
         SELECT COALESCE(en, raw, 'unknown') AS category, COUNT(*) AS items_sold,
                round(CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / COUNT(l_extendedprice), 6) AS avg_price_brl,
                round(AVG(p_size * 100) / 1000.0, 6) AS avg_weight_kg
         FROM lineitem
-        LEFT JOIN (SELECT p_partkey, p_size, CASE WHEN p_partkey % 23 <> 0 THEN lower(p_type) END AS raw FROM part)
+        LEFT JOIN (SELECT p_partkey, p_size, CASE WHEN p_partkey % 23 = 0 THEN NULL
+                          WHEN p_partkey % 3 = 0 THEN lower(p_type)
+                          ELSE lower(p_type) || '_' || (p_size % 5) END AS raw FROM part)
                ON p_partkey = l_partkey
         LEFT JOIN (SELECT unnest(['economy', 'promo', 'large', 'small']) AS word, word || '_en' AS en) ON word = raw
         GROUP BY 1 ORDER BY items_sold DESC, category LIMIT 15""",
@@ -216,7 +223,7 @@ REPORTS = {
     "promise_error_bands": f"""
         SELECT label AS bucket, COUNT(*) AS n_orders,
                round(100.0 * COUNT(*) / (SELECT COUNT(*) FROM kept), 6) AS pct
-        FROM kept JOIN {PROMISE} ON err BETWEEN lo AND hi GROUP BY label""",
+        FROM kept JOIN {PROMISE} ON {_LAST} BETWEEN lo AND hi GROUP BY label""",
     "orders_segments": """
         SELECT oid AS order_id, bought AS purchased_at, days AS total_days, err AS promise_error_days,
                late AS is_late, odd AS approval_suspect, round(h1 / 24.0, 6) AS approval_days,
@@ -306,7 +313,7 @@ REPORTS = {
                      median(h3) OVER (PARTITION BY lane) AS by_pair FROM facts WHERE NOT odd)
         WHERE dstate IS NOT NULL AND lane IS NOT NULL""",
     "train_test_split": """
-        SELECT IF(day >= DATE '1999-07-01', '2_test', '1_train') AS split, COUNT(*) AS n_orders,
+        SELECT IF(day < DATE '1999-07-01', '1_train', '2_test') AS split, COUNT(*) AS n_orders,
                CAST(MIN(day) AS VARCHAR) AS first_date, CAST(MAX(day) AS VARCHAR) AS last_date
         FROM facts GROUP BY 1""",
     "lane_threshold_coverage": """
@@ -349,13 +356,13 @@ REPORTS = {
     "review_by_lateness": """
         SELECT late AS is_late, COUNT(*) AS n_orders, round(AVG(stars), 6) AS mean_score,
                round(100.0 * COUNT(*) FILTER (WHERE stars = 1) / COUNT(*), 6) AS pct_1_star,
-               round(100.0 * COUNT(*) FILTER (WHERE stars IN (1, 2)) / COUNT(*), 6) AS pct_1_or_2,
+               round(100.0 * COUNT(*) FILTER (WHERE stars <= 2) / COUNT(*), 6) AS pct_1_or_2,
                round(100.0 * COUNT(*) FILTER (WHERE stars = 5) / COUNT(*), 6) AS pct_5_star
         FROM results WHERE stars IS NOT NULL GROUP BY late""",
     "review_dose_response": f"""
         SELECT label AS bucket, COUNT(*) AS n_orders, round(AVG(stars), 6) AS mean_score,
                round(100.0 * COUNT(*) FILTER (WHERE stars = 1) / COUNT(*), 6) AS pct_1_star
-        FROM results JOIN {REVIEW} ON err BETWEEN lo AND hi WHERE stars IS NOT NULL GROUP BY label""",
+        FROM results JOIN {REVIEW} ON {_LAST} BETWEEN lo AND hi WHERE stars IS NOT NULL GROUP BY label""",
     "repeat_within_90d": """
         SELECT late AS is_late, COUNT(*) AS n_customers,
                round(100.0 * COUNT(*) FILTER (WHERE again) / COUNT(*), 6) AS pct_repeat_90d
@@ -375,8 +382,9 @@ REPORTS = {
         SELECT lane, n, round(s_now, 6) AS ot_current, round(s_95, 6) AS ot_recal
         FROM service WHERE n >= 8 AND s_95 < s_now""",
     "promise_error_histogram": """
-        SELECT err AS promise_error_days, COUNT(*) AS n_orders FROM facts
-        WHERE err >= -45 AND err <= 25 GROUP BY err""",
+        SELECT day_error AS promise_error_days, COUNT(err) AS n_orders
+        FROM generate_series(-45, 25) AS bins(day_error) LEFT JOIN facts ON err = day_error
+        GROUP BY day_error""",
     "lateness_segment_medians": """
         SELECT late AS is_late, round(median(h1) / 24.0, 6) AS approval, round(median(h2) / 24.0, 6) AS handoff,
                round(median(h3) / 24.0, 6) AS transit FROM facts WHERE NOT odd GROUP BY late""",
@@ -389,14 +397,15 @@ REPORTS = {
         FROM service WHERE n >= 8 ORDER BY s_now, lane LIMIT 20""",
     "review_timing_bands": f"""
         SELECT label AS bucket, round(AVG(stars), 6) AS mean_score
-        FROM results JOIN {REVIEW_CHART} ON err BETWEEN lo AND hi WHERE stars IS NOT NULL GROUP BY label""",
+        FROM results JOIN {REVIEW_CHART} ON {_LAST} BETWEEN lo AND hi WHERE stars IS NOT NULL GROUP BY label""",
     "inclusion_funnel": """
-        SELECT '1 raw orders' AS stage, COUNT(*) AS n FROM o_src
-        UNION ALL SELECT '2 delivered orders', COUNT(*) FROM o_src WHERE status = 'delivered'
-        UNION ALL SELECT '3 analysis base', COUNT(*) FROM kept
-        UNION ALL SELECT '4 test orders', COUNT(*) FROM judged
-        UNION ALL SELECT '5 lanes with history', COUNT(lane) FROM by_lane
-        UNION ALL SELECT '6 measurable lanes', COUNT(*) FROM service WHERE n >= 8""",
+        SELECT stage, n, CASE WHEN stage[1] IN ('2', '3', '6') THEN lag(n) OVER (ORDER BY stage) - n END AS dropped
+        FROM (SELECT '1 raw orders' AS stage, COUNT(*) AS n FROM o_src
+              UNION ALL SELECT '2 delivered orders', COUNT(*) FROM o_src WHERE status = 'delivered'
+              UNION ALL SELECT '3 analysis base', COUNT(*) FROM kept
+              UNION ALL SELECT '4 test orders', COUNT(*) FROM judged
+              UNION ALL SELECT '5 lanes with history', COUNT(lane) FROM by_lane
+              UNION ALL SELECT '6 measurable lanes', COUNT(*) FROM service WHERE n >= 8)""",
     "tail_lateness_correlation": """
         SELECT COUNT(*) AS n_lanes, round(corr(late_rate, tail), 6) AS corr_tail_spread,
                round(corr(late_rate, mid), 6) AS corr_median_transit

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from datetime import date
+from decimal import Decimal
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -85,8 +86,32 @@ def threshold_coverage(fact: DataFrame, cutoff: date, thresholds: Sequence[int])
     )
 
 
+def mark(fraction: float) -> str:
+    """A quantile as it stands in names: 0.9 is 90, 0.994 is 99_4."""
+    percent = (Decimal(str(fraction)) * 100).normalize()
+    return f"{percent:f}".replace(".", "_")
+
+
+def checked(fractions: Sequence[float]) -> list[float]:
+    """The quantiles in ascending order; none, equal or impossible ones are refused."""
+    found = sorted(fractions)
+    if not found or len(set(found)) < len(found) or not 0 < found[0] <= found[-1] <= 1:
+        raise ValueError(f"quantiles must be different and within (0, 1]: {tuple(fractions)}")
+    return found
+
+
 def promise_name(fraction: float) -> str:
-    return f"promise_{round(fraction * 100)}"
+    return f"promise_{mark(fraction)}"
+
+
+def new_name(fraction: float) -> str:
+    return f"new_{mark(fraction)}"
+
+
+def policies(fractions: Sequence[float]) -> dict[str, str]:
+    """Policy names and the promise column each one quotes."""
+    found = {f"recal_p{mark(f)}": new_name(f) for f in checked(fractions)}
+    return {"current": "current_promise_days", **found}
 
 
 def calibrate(
@@ -170,23 +195,14 @@ def apply_promises(
         [Tier("1_lane", "lane", lane), Tier("2_state", "customer_state", state)],
         "3_national",
         national,
-        {f"new_{round(f * 100)}": promise_name(f) for f in fractions},
+        {new_name(f): promise_name(f) for f in checked(fractions)},
         "promise_source",
     )
 
 
-# Policy names and the promise column each one quotes.
-POLICIES = {
-    "current": "current_promise_days",
-    "recal_p90": "new_90",
-    "recal_p92": "new_92",
-    "recal_p95": "new_95",
-}
-
-
 def evaluate_policies(
     cells: DataFrame,
-    policies: Mapping[str, str] = POLICIES,
+    policies: Mapping[str, str],
     keys: Sequence[str] = (),
     actual: str = "total_days",
 ) -> DataFrame:
@@ -212,9 +228,9 @@ def evaluate_policies(
     )
 
 
-def policy_headline(cells: DataFrame) -> DataFrame:
+def policy_headline(cells: DataFrame, quoted: Mapping[str, str]) -> DataFrame:
     """Per policy: mean promise, mean days saved, share on time."""
-    sums = evaluate_policies(cells).orderBy("policy")
+    sums = evaluate_policies(cells, quoted).orderBy("policy")
     return sums.select(
         "policy",
         ratio(F.col("promised"), F.col("judged")).alias("mean_promise_days"),
@@ -228,10 +244,14 @@ def fallback_usage(cells: DataFrame) -> DataFrame:
     return share_of_total(used, "n_orders", "pct").orderBy("promise_source")
 
 
-def lane_service(cells: DataFrame) -> DataFrame:
-    """One row per lane of the lane tier: orders, promised days, on-time percentages."""
+def lane_service(cells: DataFrame, fractions: Sequence[float]) -> DataFrame:
+    """One row per lane of the lane tier: orders, promised days, on-time percentages.
+
+    ``ot_<quantile>`` for every quantile; ``recal`` columns quote the highest one.
+    """
+    fractions = checked(fractions)
     n, actual = F.col("n"), F.col("total_days")
-    now, p90, p95 = (F.col(c) for c in ("current_promise_days", "new_90", "new_95"))
+    now, top = F.col("current_promise_days"), F.col(new_name(fractions[-1]))
     known = F.sum(F.when(now.isNotNull(), n))
 
     def on_time(promise: Column) -> Column:
@@ -243,12 +263,15 @@ def lane_service(cells: DataFrame) -> DataFrame:
         .agg(
             F.sum("n").alias("n"),
             ratio(F.sum(now * n), known).alias("current_days"),
-            ratio(F.sum(p95 * n), F.sum("n")).alias("recal_days"),
-            ratio(F.sum((now - p95) * n), known).alias("days_saved"),
+            ratio(F.sum(top * n), F.sum("n")).alias("recal_days"),
+            ratio(F.sum((now - top) * n), known).alias("days_saved"),
             pct(on_time(now), known).alias("ot_current"),
-            pct(on_time(p90), F.sum("n")).alias("ot_90"),
-            pct(on_time(p95), F.sum("n")).alias("ot_95"),
+            *[
+                pct(on_time(F.col(new_name(f))), F.sum("n")).alias(f"ot_{mark(f)}")
+                for f in fractions
+            ],
         )
+        .withColumn("ot_recal", F.col(f"ot_{mark(fractions[-1])}"))
     )
 
 
@@ -263,15 +286,17 @@ def lane_effect(lanes: DataFrame, k: int) -> DataFrame:
             "recal_days",
             "days_saved",
             F.col("ot_current").alias("on_time_current"),
-            F.col("ot_95").alias("on_time_recal"),
+            F.col("ot_recal").alias("on_time_recal"),
         )
     )
 
 
-def service_dispersion(lanes: DataFrame, min_orders: int) -> DataFrame:
+def service_dispersion(
+    lanes: DataFrame, min_orders: int, fractions: Sequence[float]
+) -> DataFrame:
     """Worst, best, spread and deviation of lane on-time percentages, per policy."""
-    # Policy names and their lane columns.
-    shares = {"current": "ot_current", "recal_p90": "ot_90", "recal_p95": "ot_95"}
+    shares = {"current": "ot_current"}
+    shares |= {f"recal_p{mark(f)}": f"ot_{mark(f)}" for f in checked(fractions)}
     quoted = [F.struct(F.lit(p).alias("policy"), F.col(c).alias("ot")) for p, c in shares.items()]
     return (
         lanes.where(F.col("n") >= min_orders)
@@ -288,10 +313,10 @@ def service_dispersion(lanes: DataFrame, min_orders: int) -> DataFrame:
 
 
 def regressed_lanes(lanes: DataFrame, min_orders: int) -> DataFrame:
-    """Lanes that arrive on time less often under the p95 promise, worst first."""
+    """Lanes that arrive on time less often under the highest promise, worst first."""
     return (
-        lanes.where((F.col("n") >= min_orders) & (F.col("ot_95") < F.col("ot_current")))
-        .select("lane", "n", "ot_current", F.col("ot_95").alias("ot_recal"))
+        lanes.where((F.col("n") >= min_orders) & (F.col("ot_recal") < F.col("ot_current")))
+        .select("lane", "n", "ot_current", "ot_recal")
         .orderBy(F.col("ot_recal") - F.col("ot_current"), "lane")
     )
 
@@ -301,5 +326,5 @@ def worst_served(lanes: DataFrame, min_orders: int, k: int) -> DataFrame:
         lanes.where(F.col("n") >= min_orders)
         .orderBy(F.asc_nulls_last("ot_current"), "lane")
         .limit(k)
-        .select("lane", "ot_current", F.col("ot_95").alias("ot_recal"))
+        .select("lane", "ot_current", "ot_recal")
     )

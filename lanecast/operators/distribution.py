@@ -105,12 +105,15 @@ def distribution(
 def first_per_key(
     df: DataFrame, key: str, order: Sequence[Column | str], values: Sequence[str]
 ) -> DataFrame:
-    """The values of each key's first row in ``order``.
+    """The values of each key's first row in ``order``, NULLs last.
 
     A minimum over structs: combined before the shuffle, so a key with very many
     rows sends one per task, and no window holds them.
     """
-    ranked = [(F.col(c) if isinstance(c, str) else c).alias(f"by_{i}") for i, c in enumerate(order)]
+    ranked = []
+    for i, c in enumerate(order):
+        column = F.col(c) if isinstance(c, str) else c
+        ranked += [column.isNull().alias(f"null_{i}"), column.alias(f"by_{i}")]
     first = F.min(F.struct(*ranked, *[F.col(v).alias(f"is_{v}") for v in values]))
     picked = [F.col(f"first.is_{v}").alias(v) for v in values]
     return df.groupBy(key).agg(first.alias("first")).select(key, *picked)

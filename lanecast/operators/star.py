@@ -41,7 +41,9 @@ def order_sellers(items: DataFrame, sellers: DataFrame, bucketed: bool = False)
     placed = pairs.join(sellers.select("seller_id", "seller_state"), "seller_id", "left")
     if not bucketed:
         placed = placed.repartition("order_id")
-    latest = F.min(F.struct(latest_first(F.col("limit")), "seller_id", "seller_state"))
+    # Structs put NULLs first; a missing seller must lose a tie.
+    nameless = F.col("seller_id").isNull()
+    latest = F.min(F.struct(latest_first(F.col("limit")), nameless, "seller_id", "seller_state"))
     return (
         placed.groupBy("order_id")
         .agg(

@@ -129,7 +129,7 @@ class Marts:
     @cached_property
     def lanes(self) -> DataFrame:
         """On-time service per lane of the lane tier, on the test orders."""
-        return calibration.lane_service(self.evaluated_cells)
+        return calibration.lane_service(self.evaluated_cells, self.settings.quantiles)
 
     @cached_property
     def test_eval(self) -> DataFrame:
@@ -156,7 +156,7 @@ class Marts:
             national,
             s.quantiles,
         )
-        new = [f"new_{round(q * 100)}" for q in s.quantiles]
+        new = [calibration.new_name(q) for q in calibration.checked(s.quantiles)]
         return judged.select(
             "order_id", "lane", "customer_state", "total_days", "is_late",
             "current_promise_days", *new, "promise_source",
@@ -164,7 +164,9 @@ class Marts:
 
     @cached_property
     def fact_orders(self) -> DataFrame:
-        """The fact's orders without places, at the price of one join."""
+        """The fact's orders: the stored fact, or without a store one join without places."""
+        if self.store is not None:
+            return self.fact
         return star.fact_orders(self.segments, self.sources.items)
 
     @cached_property
@@ -176,7 +178,7 @@ class Marts:
 
     @cached_property
     def reviewed(self) -> DataFrame:
-        return outcomes.with_review(self.fact_orders, self.sources.reviews)
+        return self._kept("reviewed", outcomes.with_review(self.fact_orders, self.sources.reviews))
 
     @cached_property
     def valued(self) -> DataFrame:

@@ -349,9 +349,9 @@ def lane_promise(m: Marts) -> DataFrame:
 
 @report
 def state_promise(m: Marts) -> DataFrame:
-    placed = star.join_customers(
-        _history(m, m.fact_orders), m.sources.customers, ["customer_state"]
-    )
+    placed = _history(m, m.fact_orders)
+    if "customer_state" not in placed.columns:
+        placed = star.join_customers(placed, m.sources.customers, ["customer_state"])
     counted = cal.count_days(placed, ["customer_state"])
     return cal.calibrate(counted, ["customer_state"], m.settings.quantiles)
 
@@ -374,7 +374,7 @@ def fallback_usage(m: Marts) -> DataFrame:
 
 @report
 def policy_headline(m: Marts) -> DataFrame:
-    return cal.policy_headline(m.evaluated_cells)
+    return cal.policy_headline(m.evaluated_cells, cal.policies(m.settings.quantiles))
 
 
 @report
@@ -384,7 +384,8 @@ def lane_effect_p95(m: Marts) -> DataFrame:
 
 @report
 def service_dispersion(m: Marts) -> DataFrame:
-    return cal.service_dispersion(m.lanes, m.settings.min_dispersion_orders)
+    s = m.settings
+    return cal.service_dispersion(m.lanes, s.min_dispersion_orders, s.compared_quantiles)
 
 
 # Outcome cost
@@ -442,13 +443,16 @@ def regressed_lanes(m: Marts) -> DataFrame:
 
 @report
 def promise_error_histogram(m: Marts) -> DataFrame:
-    """The figure's one-day bins, counted on the cluster."""
+    """The figure's one-day bins, counted on the cluster; days without orders are zero."""
     low, high = m.settings.histogram_days
-    return (
+    found = (
         m.fact_orders.where(F.col("promise_error_days").between(low, high))
         .groupBy("promise_error_days")
         .agg(F.count("*").alias("n_orders"))
     )
+    bins = found.sparkSession.range(low, high + 1)
+    bins = bins.select(F.col("id").cast("int").alias("promise_error_days"))
+    return bins.join(found, "promise_error_days", "left").fillna(0, ["n_orders"])
 
 
 @report
@@ -480,7 +484,11 @@ def review_timing_bands(m: Marts) -> DataFrame:
 
 @derived
 def inclusion_funnel(m: Marts) -> DataFrame:
-    """Orders kept at each step, then the lanes that can be priced and measured."""
+    """Orders kept and dropped at each step, then the lanes that can be priced and measured.
+
+    Drops are told where a step narrows the one before: orders up to the base, lanes
+    from priced to measured.
+    """
     s = m.settings
     kept = quality.funnel(
         m.sources.orders,
@@ -503,7 +511,10 @@ def inclusion_funnel(m: Marts) -> DataFrame:
         F.count_if(priced).alias("5 lanes with history"),
         F.count_if(measured).alias("6 measurable lanes"),
     )
-    return kept.unionByName(lanes.unpivot([], lanes.columns, "stage", "n"))
+    steps = kept.unionByName(lanes.unpivot([], lanes.columns, "stage", "n"))
+    before = F.lag("n").over(dist.Window.orderBy("stage"))
+    narrows = F.substring("stage", 1, 1).isin("2", "3", "6")
+    return steps.withColumn("dropped", F.when(narrows, before - F.col("n")))
 
 
 @derived
@@ -520,7 +531,8 @@ def tail_lateness_correlation(m: Marts) -> DataFrame:
 @derived
 def late_rate_reduction(m: Marts) -> DataFrame:
     """Late rate per policy and its change against the current one."""
-    late = cal.evaluate_policies(m.evaluated_cells).select(
+    quoted = cal.policies(m.settings.quantiles)
+    late = cal.evaluate_policies(m.evaluated_cells, quoted).select(
         "policy", (F.col("judged") - F.col("on_time")).alias("late"), "judged"
     )
     pct_late = pct(F.col("late"), F.col("judged"))
@@ -531,7 +543,8 @@ def late_rate_reduction(m: Marts) -> DataFrame:
 @derived
 def dispersion_reduction(m: Marts) -> DataFrame:
     """Deviation of lane service per policy and its change against the current one."""
-    spread = cal.service_dispersion(m.lanes, m.settings.min_measured_orders)
+    s = m.settings
+    spread = cal.service_dispersion(m.lanes, s.min_measured_orders, s.compared_quantiles)
     return _against_current(spread.select("policy", "stddev"), "stddev", "pct_change")
 
 
@@ -545,24 +558,25 @@ def _against_current(df: DataFrame, value: str, name: str) -> DataFrame:
 def regression_summary(m: Marts) -> DataFrame:
     """How many measurable lanes lost service, by how much, and from where."""
     measured = m.lanes.where(F.col("n") >= m.settings.min_measured_orders)
-    worse = F.col("ot_95") < F.col("ot_current")
+    worse = F.col("ot_recal") < F.col("ot_current")
     return measured.agg(
         F.count("*").alias("n_lanes"),
         F.count_if(worse).alias("n_regressed"),
         pct(F.count_if(worse), F.count("*")).alias("pct_regressed"),
-        F.avg(F.when(worse, F.col("ot_95") - F.col("ot_current"))).alias("mean_change"),
+        F.avg(F.when(worse, F.col("ot_recal") - F.col("ot_current"))).alias("mean_change"),
         F.min(F.when(worse, F.col("ot_current"))).alias("min_before"),
-        F.min(F.when(worse, F.col("ot_95"))).alias("min_after"),
+        F.min(F.when(worse, F.col("ot_recal"))).alias("min_after"),
     )
 
 
 @derived
 def late_to_ontime_conversion(m: Marts) -> DataFrame:
-    """Orders a p95 promise turns on time over p90, and the one-star reviews that saves."""
-    missed_90 = F.col("total_days") > F.col("new_90")
-    met_95 = F.col("total_days") <= F.col("new_95")
+    """Orders the highest promise turns on time over the lowest, and the one-star reviews that saves."""
+    low, *_, high = cal.checked(m.settings.quantiles) * 2
+    missed = F.col("total_days") > F.col(cal.new_name(low))
+    met = F.col("total_days") <= F.col(cal.new_name(high))
     converted = m.evaluated_cells.agg(
-        F.sum(F.when(missed_90 & met_95, F.col("n")).otherwise(0)).alias("converted_orders")
+        F.sum(F.when(missed & met, F.col("n")).otherwise(0)).alias("converted_orders")
     )
     stars = outcomes.review_by_lateness(m.reviewed).agg(
         F.max(F.when(F.col("is_late"), F.col("pct_1_star"))).alias("late"),

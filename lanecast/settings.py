@@ -16,6 +16,8 @@ class Settings:
     max_gap_hours: int = 168
     train_end: date = date(2018, 3, 1)
     quantiles: tuple[float, ...] = (0.90, 0.92, 0.95)
+    # Of those, the ones whose spread across lanes is not reported.
+    uncompared_quantiles: tuple[float, ...] = (0.92,)
     min_lane_orders: int = 100
     coverage_thresholds: tuple[int, ...] = (30, 50, 100, 200, 400)
     min_dispersion_orders: int = 50
@@ -31,6 +33,10 @@ class Settings:
     extreme_states: int = 5
     worst_lanes: int = 20
 
+    @property
+    def compared_quantiles(self) -> tuple[float, ...]:
+        return tuple(q for q in self.quantiles if q not in self.uncompared_quantiles)
+
 
 MARKETPLACE = Settings()
 

@@ -109,7 +109,7 @@ class TpchSources:
                 f"if(k % 211 <> 0, {_at('approved')}, NULL) AS order_approved_at",
                 f"if(k % 307 <> 0, {_at('shipped')}, NULL) AS order_delivered_carrier_date",
                 f"if(k % 401 <> 0, {_at('delivered')}, NULL) AS order_delivered_customer_date",
-                f"{_at(f'{DAY} * (12 + (sn + cn) % 9 + k % 5)')} "
+                f"if(k % 503 <> 0, {_at(f'{DAY} * (12 + (sn + cn) % 9 + k % 5)')}, NULL) "
                 "AS order_estimated_delivery_date",
             )
         )
@@ -157,7 +157,8 @@ class TpchSources:
     def products(self) -> DataFrame:
         return self.read("part").selectExpr(
             "p_partkey AS product_id",
-            "if(p_partkey % 23 <> 0, lower(p_type), NULL) AS product_category_name",
+            "CASE WHEN p_partkey % 23 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN lower(p_type) "
+            "ELSE concat(lower(p_type), '_', p_size % 5) END AS product_category_name",
             "p_size * 100.0D AS product_weight_g",
         )
 
@@ -171,16 +172,20 @@ class TpchSources:
 
     @cached_property
     def reviews(self) -> DataFrame:
-        """Up to two reviews per order; both may carry one date, so the id breaks the tie."""
+        """One or two reviews per order; both may carry one date, so the id breaks the tie.
+
+        Some first reviews have no score.
+        """
         late = "order_delivered_customer_date > order_estimated_delivery_date"
         wait = f"{DAY} * if(order_id % 58 = 0, 1, r)"
         return (
             self.orders.withColumn("r", F.explode(F.array(F.lit(1), F.lit(2))))
-            .where("if(r = 1, order_id % 143 <> 0, order_id % 29 = 0)")
+            .where("r = 1 OR order_id % 29 = 0")
             .selectExpr(
                 "order_id * 10 + r AS review_id",
                 "order_id",
-                f"int(if({late}, 1 + (order_id * 31 + r) % 3, 3 + (order_id * 17 + r) % 3)) "
+                f"int(CASE WHEN r = 1 AND order_id % 143 = 0 THEN NULL WHEN {late} "
+                "THEN 1 + (order_id * 31 + r) % 3 ELSE 3 + (order_id * 17 + r) % 3 END) "
                 "AS review_score",
                 f"{_at(wait, 'order_estimated_delivery_date')} AS review_creation_date",
             )
@@ -188,10 +193,9 @@ class TpchSources:
 
     @cached_property
     def payments(self) -> DataFrame:
-        return (
-            self.read("lineitem")
-            .where("l_orderkey % 113 <> 0")
-            .selectExpr(
-                "l_orderkey AS order_id", "CAST(l_extendedprice AS decimal(18,2)) AS payment_value"
-            )
+        """One payment per item; some orders' payments have no value."""
+        return self.read("lineitem").selectExpr(
+            "l_orderkey AS order_id",
+            "if(l_orderkey % 113 <> 0, CAST(l_extendedprice AS decimal(18,2)), NULL) "
+            "AS payment_value",
         )
