@@ -42,8 +42,8 @@ class Settings:
     grams: tuple[int, ...] = (3, 4, 5)
     hidden: int = 10
     attention: int = 10
-    docs_per_class: int = 3000  # the bound of the training sample
-    chars_per_doc: int = 30_000  # of a training document; scoring reads whole texts
+    docs_per_class: int = 1500  # the bound of the training sample
+    chars_per_doc: int = 12_000  # of a training document; scoring reads whole texts
     steps: int = 700
     batch: int = 160
     rate: float = 0.01
@@ -70,11 +70,11 @@ def word_rows(words: list[str], rows: int) -> np.ndarray:
 def gram_rows(words: list[str], sizes: tuple[int, ...], rows: int) -> tuple[np.ndarray, np.ndarray]:
     """(word, row) of all character n-grams of ``<word>``, hashed together for all words."""
     if not words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
     joined = "<" + "><".join(words) + ">"
     codes = np.frombuffer(joined.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    owner = np.repeat(np.arange(len(words)), lengths)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
     found, at = [], []
     for n in sizes:
         if len(codes) < n:
@@ -85,7 +85,7 @@ def gram_rows(words: list[str], sizes: tuple[int, ...], rows: int) -> tuple[np.n
             h ^= h >> np.uint64(29)
         inside = owner[: len(h)] == owner[n - 1 :]
         at.append(owner[: len(h)][inside])
-        found.append((h[inside] % np.uint64(rows)).astype(np.int64))
+        found.append((h[inside] % np.uint64(rows)).astype(np.int32))
     at, found = np.concatenate(at), np.concatenate(found)
     order = np.argsort(at, kind="stable")
     return at[order], found[order]
