@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import days, month_label
 from ..operators import calibration, lead_time, outcomes, star
-from ..session import freeze
+from ..session import delete_folder, freeze
 from ..settings import MARKETPLACE, Settings
 from ..sources import Sources
 
@@ -17,10 +18,12 @@ from ..sources import Sources
 class Marts:
     """Lineage of the analysis over one set of sources.
 
-    Tables are lazy frames.  With ``store`` (a folder on shared storage) the
-    shared intermediates are written there on first use and read back, so a
-    batch of reports computes each once.  Without it only the promise cells are
-    written: they are small and feed every calibration report several times.
+    Tables are frames, built on first use.  With ``store`` (a folder on shared
+    storage) the shared intermediates are written there, under this run's own id, and
+    read back, so a batch of reports computes each once and runs do not touch each
+    other; ``close`` deletes them.  Without it only the calibration tables are written:
+    they are small and feed every calibration report several times.  Written tables
+    make building a frame run jobs; all others are lazy.
     """
 
     # Names of the published tables.
@@ -46,15 +49,23 @@ class Marts:
         self.sources = sources
         self.settings = settings
         self.store = store.rstrip("/") if store else None
+        self.run_id = uuid.uuid4().hex
+        self._written: SparkSession | None = None
 
     def _kept(self, name: str, df: DataFrame, always: bool = False) -> DataFrame:
         """``df`` from the store; without one as it is, or frozen if ``always``."""
         if self.store is None:
             return freeze(df, name) if always else df
-        path = f"{self.store}/work/{name}"
-        df.write.mode("overwrite").parquet(path)
+        path = f"{self.store}/work/{self.run_id}/{name}"
+        self._written = df.sparkSession
+        df.write.parquet(path)
         return df.sparkSession.read.schema(df.schema).parquet(path)
 
+    def close(self) -> None:
+        """Delete this run's intermediates from the store."""
+        if self._written is not None:
+            delete_folder(self._written, f"{self.store}/work/{self.run_id}")
+
     @cached_property
     def base(self) -> DataFrame:
         return lead_time.build_base(self.sources.orders, self.settings)

@@ -9,18 +9,22 @@ import argparse
 
 from lanecast.plans import DERIVED, REPORTS, Marts
 from lanecast.plans.display import as_printed
-from lanecast.session import build_session
+from lanecast.session import build_session, drop_frozen
 from lanecast.settings import MARKETPLACE, TPCH
 from lanecast.sources import TpchSources, read_landed, read_marketplace_csv
 
 
 def run(marts: Marts, out: str, reports: list[str] | None = None) -> None:
-    """Tables go to ``out/tables``, reports as printed to ``out/reports``."""
+    """Tables go to ``out/tables``, reports as printed to ``out/reports``.
+
+    Intermediates are deleted at the end.
+    """
     marts.publish(f"{out}/tables")
     every = {**REPORTS, **DERIVED}
     for name in reports or [r for r in every if r not in Marts.TABLES]:
         rounded = as_printed(name, every[name](marts))
         rounded.write.mode("overwrite").parquet(f"{out}/reports/{name}")
+    marts.close()
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -41,6 +45,7 @@ def main(argv: list[str] | None = None) -> None:
     else:
         sources, settings = read_marketplace_csv(spark, args.csv), MARKETPLACE
     run(Marts(sources, settings, store=args.out), args.out, args.reports)
+    drop_frozen(spark)
 
 
 if __name__ == "__main__":

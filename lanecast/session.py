@@ -68,3 +68,15 @@ def freeze(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/lanecast/{app}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote, in whatever store it is."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop_frozen(spark: SparkSession) -> None:
+    """Delete all that ``freeze`` wrote in this application; frames that read it end with it."""
+    app = spark.sparkContext.applicationId
+    delete_folder(spark, f"{shared_folder(spark)}/lanecast/{app}")

@@ -6,10 +6,15 @@ from collections.abc import Collection, Mapping
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import month_label
+from ..session import freeze
 from .schemas import SCHEMAS, conform
 
+UNPARSED = "_unparsed"
+
 
 @dataclass(frozen=True)
 class Sources:
@@ -36,30 +41,60 @@ class Sources:
 TABLES = tuple(f.name for f in fields(Sources) if f.name != "bucketed")
 
 
+def csv_options(reader, table: str, multiline: bool = False):
+    """The one way CSV is read, batch or stream: typed, quoted, bad rows kept aside as text."""
+    schema = StructType([*SCHEMAS[table].fields, StructField(UNPARSED, StringType())])
+    return (
+        reader.schema(schema)
+        .option("header", True)
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", UNPARSED)
+        .option("multiLine", multiline)
+    )
+
+
 def read_marketplace_csv(
     spark: SparkSession,
     folder: str,
     files: Mapping[str, str] | None = None,
     multiline: Collection[str] = ("reviews",),
+    most_bad_rows: int = 0,
 ) -> Sources:
     """Read ``<table>.csv`` (or the names in ``files``) with header and explicit types.
 
-    ``multiline`` names the tables whose quoted text may hold newlines; such a
-    file cannot be split, so it is limited to them.
+    A row is bad if a value does not fit its type or the number of fields is wrong.
+    Every file is parsed once in full: bad rows are written as they stand to the shared
+    folder, and more than ``most_bad_rows`` of them over all tables are an error that
+    tells their number by table and their place.  If some are allowed, the good rows of
+    their tables are written too, so that all reports read the same rows.
+
+    ``multiline`` names the tables whose quoted text may hold newlines.  Such a file
+    cannot be split, so one file is one task; its rows are dealt out evenly after the
+    parse.  Split large tables into several files (the name may be a folder or pattern).
     """
     names = {table: f"{table}.csv" for table in TABLES} | dict(files or {})
-    frames = {
-        table: (
-            spark.read.schema(SCHEMAS[table])
-            .option("header", True)
-            .option("enforceSchema", False)
-            .option("quote", '"')
-            .option("escape", '"')
-            .option("multiLine", table in multiline)
-            .csv(f"{folder.rstrip('/')}/{names[table]}")
-        )
-        for table in TABLES
-    }
+    frames, told, total = {}, [], 0
+    for table in TABLES:
+        reader = csv_options(spark.read, table, table in multiline).option("enforceSchema", False)
+        path = f"{folder.rstrip('/')}/{names[table]}"
+        rows = reader.csv(path)
+        # Without bad rows the plain reader gives the same and prunes columns.
+        good = reader.schema(SCHEMAS[table]).csv(path)
+        bad = freeze(rows.where(F.col(UNPARSED).isNotNull()), f"unparsed-{table}")
+        n = bad.count()
+        if n:
+            place = bad.inputFiles()[0].rpartition("/")[0]
+            told.append(f"{n} rows of {table}, see {place}")
+            total += n
+            every = csv_options(spark.read, table, table in multiline).csv(path)
+            good = freeze(every.where(F.col(UNPARSED).isNull()).drop(UNPARSED), f"parsed-{table}")
+        if table in multiline:
+            good = good.repartition(spark.sparkContext.defaultParallelism)
+        frames[table] = good
+    if total > most_bad_rows:
+        raise ValueError(f"{total} rows do not parse: " + "; ".join(told))
     return Sources(**frames)
 
 

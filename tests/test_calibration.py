@@ -75,7 +75,7 @@ def test_no_test_row_feeds_a_lookup(spark):
 def test_policies_ignore_missing_promises(spark):
     cells, tables, q = tiers(spark, ROWS)
     judged = cal.apply_promises(cal.side(cells, cal.TEST), *tables, q)
-    got = {r.policy: r for r in cal.policy_headline(judged).collect()}
+    got = {r.policy: r for r in cal.policy_headline(judged, cal.policies(q)).collect()}
     assert list(got) == ["current", "recal_p90", "recal_p92", "recal_p95"]
     assert got["current"].mean_promise_days == pytest.approx((6 + 13 + 5) / 3)
     assert got["current"].mean_days_saved == 0
@@ -98,12 +98,13 @@ def test_split_boundary(spark):
 
 
 def service(spark, rows):
-    return spark.createDataFrame(rows, "lane string, n long, ot_current double, ot_90 double, ot_95 double")
+    lanes = spark.createDataFrame(rows, "lane string, n long, ot_current double, ot_90 double, ot_95 double")
+    return lanes.withColumn("ot_recal", F.col("ot_95"))
 
 
 def test_lane_reports(spark):
     lanes = service(spark, [("a", 10, 100.0, 90.0, 90.0), ("b", 10, 80.0, 85.0, 95.0), ("c", 2, 0.0, 0.0, 0.0), ("d", 12, 80.0, 80.0, 70.0)])
-    spread = {r.policy: (r.worst_lane, r.best_lane, r.spread) for r in cal.service_dispersion(lanes, 10).collect()}
+    spread = {r.policy: (r.worst_lane, r.best_lane, r.spread) for r in cal.service_dispersion(lanes, 10, (0.90, 0.95)).collect()}
     assert spread == {"current": (80.0, 100.0, 20.0), "recal_p90": (80.0, 90.0, 10.0), "recal_p95": (70.0, 95.0, 25.0)}
     assert [r.lane for r in cal.regressed_lanes(lanes, 10).collect()] == ["a", "d"]
     assert [r.lane for r in cal.worst_served(lanes, 10, 2).collect()] == ["b", "d"]
@@ -119,3 +120,26 @@ def test_promises_never_fall_with_the_quantile(spark, rows):
         days = [d for k, d in rows if k == r.lane]
         assert r.promise_90 <= r.promise_92 <= r.promise_95
         assert r.promise_95 == int(np.ceil(round(float(np.quantile(days, 0.95)), 9)))
+
+
+@pytest.mark.parametrize("fractions", [(0.8, 0.9), (0.95, 0.90, 0.92, 0.99), (0.99, 0.994), (0.5,), (1.0,)])
+def test_any_quantiles_list_every_policy(spark, fractions):
+    cells, _, _ = tiers(spark, ROWS)
+    train, test = (cal.side(cells, side) for side in (cal.TRAIN, cal.TEST))
+    tables = [cal.calibrate(train, keys, fractions) for keys in (["lane"], ["customer_state"], [])]
+    judged = cal.apply_promises(test, *tables, fractions)
+    names = ["current", *(f"recal_p{cal.mark(f)}" for f in sorted(fractions))]
+    assert [r.policy for r in cal.policy_headline(judged, cal.policies(fractions)).collect()] == sorted(names)
+    lanes = cal.lane_service(judged, fractions)
+    assert {r.policy for r in cal.service_dispersion(lanes, 0, fractions).collect()} == set(names)
+    assert cal.regressed_lanes(lanes, 0).columns == ["lane", "n", "ot_current", "ot_recal"]
+
+
+@pytest.mark.parametrize("fractions", [(), (0.9, 0.9), (0.0, 0.5), (0.5, 1.2)])
+def test_impossible_quantiles_are_refused(fractions):
+    with pytest.raises(ValueError):
+        cal.policies(fractions)
+
+
+def test_quantile_names_do_not_collide():
+    assert [cal.mark(f) for f in (0.9, 0.99, 0.994, 1.0, 0.05)] == ["90", "99", "99_4", "100", "5"]

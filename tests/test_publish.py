@@ -1,12 +1,15 @@
+import os
 import shutil
 
+import pytest
+
 import __spark_entry__ as contract
 from lanecast.checks import oracle
 from frames import simple_order
 from test_oracle import FOLDERS, connect
 from test_sources import write_csv
 from lanecast.operators import lead_time
-from lanecast.plans import REPORTS, Marts
+from lanecast.plans import DERIVED, REPORTS, Marts
 from lanecast.plans.display import PLACES, as_printed
 from lanecast.plans.marts import read_table
 from lanecast.run import run
@@ -33,15 +36,53 @@ def test_run_writes_tables_and_reports(spark, tmp_path):
     assert same(printed, as_printed("policy_headline", REPORTS["policy_headline"](lazy)))
 
 
-def test_stored_marts_give_the_same_reports(spark, tmp_path):
+# Reports that read fact orders; with a store none of them builds the fact again.
+ON_STORED_FACT = [
+    "train_test_split", "state_promise", "national_promise", "promise_error_histogram",
+    "lateness_segment_medians", "review_by_lateness", "review_dose_response",
+    "review_timing_bands", "repeat_within_90d", "revenue_exposure", "order_outcomes",
+    "outcome_coverage", "late_to_ontime_conversion",
+]
+
+
+def test_stored_marts_give_the_same_reports_and_do_not_scan_items(spark, tmp_path):
     lazy = Marts(TpchSources(spark, FOLDER), TPCH)
     kept = Marts(TpchSources(spark, FOLDER), TPCH, store=str(tmp_path))
-    for name in ("service_dispersion", "lane_coverage", "repeat_within_90d", "multi_seller_effect"):
-        assert same(REPORTS[name](kept), REPORTS[name](lazy)), name
+    # The fixture derives payments, and the reviews' dates, from lineitems.
+    derived = {"revenue_exposure", "order_outcomes", "outcome_coverage"}
+    for name, report in {**REPORTS, **DERIVED}.items():
+        stored = report(kept)
+        assert same(stored, report(lazy)), name
+        if name in ON_STORED_FACT:
+            files = stored.inputFiles()
+            assert any("/work/" in f for f in files), name
+            assert name in derived or not any("lineitem" in f for f in files), name
+    assert (tmp_path / "work").exists()
+    kept.close()
+    assert list((tmp_path / "work").iterdir()) == []
+
+
+def test_two_runs_in_one_store_leave_each_other_alone(spark, tmp_path):
+    first = Marts(TpchSources(spark, FOLDER), TPCH, store=str(tmp_path))
+    rows = first.fact.count()
+    second = Marts(TpchSources(spark, FOLDER), TPCH, store=str(tmp_path))
+    second.fact.count()
+    second.close()
+    assert first.fact.count() == rows
+
+
+def test_frozen_tables_can_be_dropped(spark):
+    from lanecast.session import drop_frozen, freeze
+
+    kept = freeze(spark.range(3), "three")
+    (place,) = {f.removeprefix("file://").rpartition("/")[0] for f in kept.inputFiles()}
+    assert os.path.isdir(place)
+    drop_frozen(spark)
+    assert not os.path.exists(place)
 
 
 def test_display_names_exist():
-    assert set(PLACES) <= set(contract.queries())
+    assert set(PLACES) <= {*REPORTS, *DERIVED}
 
 
 def test_printed_figures_round_as_sql_does(spark):
@@ -58,8 +99,8 @@ def test_feed_appends_the_same_base(spark, tmp_path):
     feed.mkdir()
     first, second = tmp_path / "first", tmp_path / "second"
     batches = [
-        [simple_order("1"), simple_order("2", status="canceled")],
-        [simple_order("3", bought="2018-02-10 09:00:00")],
+        [simple_order("1"), simple_order("2", status="canceled"), simple_order("1")],
+        [simple_order("3", bought="2018-02-10 09:00:00"), simple_order("1")],  # delivered again
     ]
     for folder, rows in zip((first, second), batches):
         folder.mkdir()
@@ -70,5 +111,14 @@ def test_feed_appends_the_same_base(spark, tmp_path):
     assert sorted(r.order_id for r in saved.collect()) == ["1", "3"]
     assert {r.purchase_month for r in saved.collect()} == {"2018-01", "2018-02"}
     everything = spark.read.schema(SCHEMAS["orders"]).option("header", True).csv(str(feed))
-    batch = lead_time.with_segments(lead_time.build_base(everything, MARKETPLACE))
+    batch = lead_time.with_segments(lead_time.build_base(everything.distinct(), MARKETPLACE))
     assert same(saved.select(batch.columns), batch)
+
+
+def test_feed_stops_at_a_row_that_does_not_parse(spark, tmp_path):
+    feed = tmp_path / "feed"
+    feed.mkdir()
+    write_csv(feed, "orders", [{**simple_order("1"), "order_approved_at": "10/01/2018 10:00"}])
+    query = append_base(read_order_feed(spark, str(feed)), str(tmp_path / "base"), str(tmp_path / "log"))
+    with pytest.raises(Exception, match="does not parse"):
+        query.awaitTermination()

@@ -60,6 +60,45 @@ def test_csv_types_quotes_and_empty_times(spark, csv_folder):
     assert reviews[0].review_comment_message == 'two\nlines, and a ""quote"'
 
 
+def add_line(folder, table, line):
+    with open(f"{folder}/{table}.csv", "a") as f:
+        f.write(line + "\n")
+
+
+@pytest.mark.parametrize(
+    "table, line",
+    [
+        ("orders", "9,c1,delivered,2018-01-10 09:00:00,10/01/2018 10:00,,,2018-01-30 00:00:00"),
+        ("orders", "9,c1,delivered,2018-01-10 09:00:00"),
+        ("payments", "1,1,card,1,12.5,extra"),
+        ("payments", "1,1,card,1,a lot"),
+        ("reviews", "r9,1,five,,,2018-01-20 00:00:00,"),
+    ],
+)
+def test_rows_that_do_not_parse_are_counted_and_kept(spark, csv_folder, table, line):
+    add_line(csv_folder, table, line)
+    with pytest.raises(ValueError, match=f"1 rows do not parse: 1 rows of {table}, see ") as e:
+        read_marketplace_csv(spark, csv_folder)
+    kept = spark.read.parquet(str(e.value).rpartition("see ")[2])
+    assert [r["_unparsed"] for r in kept.collect()] == [line]
+    allowed = read_marketplace_csv(spark, csv_folder, most_bad_rows=1)
+    assert allowed.orders.count() == 2 and allowed.payments.count() == 1
+    assert allowed.orders.select("order_id").count() == 2
+    assert allowed.reviews.count() == 2
+
+
+def test_a_table_in_many_files(spark, csv_folder, tmp_path):
+    import os
+
+    parts = tmp_path / "parts"
+    parts.mkdir()
+    for k in range(5):
+        write_csv(parts, "reviews", [{"review_id": f"r{k}", "order_id": "1", "review_score": 4, "review_comment_message": "a\nb", "review_creation_date": "2018-01-20 00:00:00"}])
+        os.rename(parts / "reviews.csv", parts / f"{k}.csv")
+    got = read_marketplace_csv(spark, csv_folder, files={"reviews": "parts/*.csv"}).reviews
+    assert got.count() == 5 and {r.review_comment_message for r in got.collect()} == {"a\nb"}
+
+
 def test_csv_to_reports(spark, csv_folder):
     marts = Marts(read_marketplace_csv(spark, csv_folder))
     fact = REPORTS["fct_orders"](marts).collect()

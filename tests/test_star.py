@@ -174,3 +174,17 @@ def test_multi_seller_uses_trusted_orders_only(spark):
     assert suspect.where("approval_suspect").count() == 0
     got = {r.grp: r.n_orders for r in REPORTS["multi_seller_effect"](marts).collect()}
     assert got == {"single seller": 3, "multi seller": 1}
+
+
+def test_a_missing_seller_loses_a_tie(spark):
+    from lanecast.operators.distribution import first_per_key
+
+    src = sources(
+        spark,
+        items=[item("1", None, "2018-01-12 00:00:00"), item("1", "a", "2018-01-12 00:00:00"), item("2", None, "2018-01-12 00:00:00")],
+        sellers=[seller("a", "RJ")],
+    )
+    got = {r.order_id: r.seller_id for r in star.order_sellers(src.items, src.sellers).collect()}
+    assert got == {"1": "a", "2": None}
+    rows = spark.createDataFrame([("k", None, 1), ("k", 5, 2), ("k", 3, 3)], "key string, at long, v long")
+    assert first_per_key(rows, "key", ["at"], ["v"]).first().v == 3
