@@ -22,7 +22,7 @@ from .tables import freeze
 
 SHARDS = 40
 ROUNDS = 12  # rounds at most; groups that fit a shard settle in two or three
-SLICE_ROWS = 50_000
+SLICE_ROWS = 50_000  # numbered by one task at most, on average
 OVERHEAD = 16  # fixed value: bytes beside the text
 
 
@@ -47,6 +47,12 @@ def numbered(rows: DataFrame, groups: list[str], order: Column, slices: int, nam
     )
 
 
+def slices_for(rows: DataFrame, total: int, groups: int = 1) -> int:
+    """Slices per group: small enough, and at least two for each shuffle partition."""
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-max(-(-total // SLICE_ROWS), 2 * partitions) // groups))
+
+
 def _mixed(*parts: Column) -> Column:
     return F.xxhash64(F.lit(29), *parts)
 
@@ -58,14 +64,14 @@ def label_propagation(nodes: DataFrame, shards: int, rounds: int = ROUNDS) -> Da
     unique.
     """
     total = nodes.count()
-    slices = max(1, -(-total // SLICE_ROWS))
+    slices = slices_for(nodes, total, shards)
     sizes = nodes.where("group IS NOT NULL").groupBy("group").agg(F.count("*").alias("members"))
     linked = freeze(sizes.where("members > 1"), "groups")
     # Only documents with neighbours keep their group; the others are free to give way.
     known = nodes.join(linked.select("group", F.lit(True).alias("held")), "group", "left")
     known = known.select("row", F.when(F.col("held"), F.col("group")).alias("group"))
     start = known.withColumn("_all", F.lit(0))
-    start = numbered(start, ["_all"], _mixed(F.col("row")), slices, "rank")
+    start = numbered(start, ["_all"], _mixed(F.col("row")), slices_for(nodes, total), "rank")
     state = start.select("row", "group", (F.col("rank") % shards).cast("int").alias("shard"))
     state = freeze(state, "shards")
     for number in range(rounds):
@@ -140,7 +146,7 @@ def shard_documents(
         ).withColumn("row", F.monotonically_increasing_id()),
         "documents",
     )
-    slices = max(1, -(-own.count() // (SLICE_ROWS * 4)))
+    slices = slices_for(own, own.count(), shards)
     placed = freeze(label_propagation(own.select("row", "group"), shards), "placed")
     whole = own.drop("group").join(placed, "row")
     whole = numbered(whole, ["shard"], _mixed(F.col("row"), F.lit("slot")), slices, "slot")
