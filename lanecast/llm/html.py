@@ -54,7 +54,6 @@ CLOSES = {
     "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
 }
 SCOPES = frozenset("table ul ol dl body html article section div main".split())
-SPACE = re.compile(r"[\x20\x09-\x0D\x85\xa0  -     　]+")
 NAME = re.compile(r"[a-z]+")
 
 
@@ -78,7 +77,7 @@ class _Reader(HTMLParser):
         self.anchors = 0
 
     def flush(self) -> None:
-        text = SPACE.sub(" ", "".join(self.parts)).strip(" ")
+        text = " ".join("".join(self.parts).split())
         if text:
             path = tuple(tag for tag, _ in self.stack if tag not in INLINE)
             names = tuple(dict.fromkeys(n for _, own in self.stack for n in own))

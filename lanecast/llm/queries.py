@@ -32,8 +32,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def fold(remainder: int):
-    """Whether a document's fold, crc32 of its id as text modulo 5, is ``remainder``."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == remainder
+    """Whether a document's fold, crc32 of its id as text modulo 5, is ``remainder``.
+
+    A null id is in no fold.
+    """
+    own = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    return F.coalesce(own == remainder, F.lit(False))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
