@@ -40,7 +40,7 @@ SAMPLE_BYTES = 8 << 20
 DICTIONARY_BYTES = 64 << 10
 BLOCK_BYTES = 1 << 20
 LEVEL = 1
-CACHED_WORDS = 500_000  # in a Python worker; when full, further words aren't kept
+CACHED_WORDS = 900_000  # in a Python worker; when full, further words aren't kept
 
 # Fixed value: how a byte-level vocabulary of this kind splits text before its merges.
 PIECES = regex.compile(
@@ -48,8 +48,16 @@ PIECES = regex.compile(
 )
 SPACE = "\u0120"  # a space in the byte-level alphabet
 STOPS = (".", ",", ";", ":", "!", "?")
-# White space other than single spaces and line breaks between visible characters.
-_ODD_SPACE = regex.compile(r"\s\s|^\s|\s$|[^\S \n]")
+
+
+def plainly_spaced(text: str) -> bool:
+    """Whether all white space is single spaces and line breaks between visible characters."""
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+        return False
+    if text[0].isspace() or text[-1].isspace():
+        return False
+    # Other white space would cut words without adding to the counts.
+    return len(text.split()) == text.count(" ") + text.count("\n") + 1
 
 
 def _visible_bytes() -> dict[int, int]:
@@ -130,19 +138,19 @@ class Encoder:
             if not text:
                 out.append(b"")
                 continue
-            odd = _ODD_SPACE.search(text) or any(s in text for s in self.special)
-            if odd or not self.by_word:
+            special = any(s in text for s in self.special)
+            if special or not self.by_word or not plainly_spaced(text):
                 out.append(self._whole(text))
                 continue
             head, *rest = text.split(" ")
-            ids = [self._word(head)]
-            for word in rest:
-                found = known.get(word)
-                if found is None:
-                    found = self._after_space(word)
-                    if len(known) < CACHED_WORDS:
-                        known[word] = found
-                ids.append(found)
+            ids = list(map(known.get, rest))
+            if None in ids:
+                for k, found in enumerate(ids):
+                    if found is None:
+                        ids[k] = found = self._after_space(rest[k])
+                        if len(known) < CACHED_WORDS:
+                            known[rest[k]] = found
+            ids.insert(0, self._word(head))
             out.append(b"".join(ids))
         return out
 
