@@ -113,8 +113,9 @@ class Encoder:
 
     def _after_space(self, word: str) -> bytes:
         """The ids of a space and the word; plain words need no further splitting."""
-        if word.isalpha() and word.isascii():
-            return self._packed([t.id for t in self.merge(SPACE + word)])
+        if word.isalpha():  # letters alone are one piece
+            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.visible)
+            return self._packed([t.id for t in self.merge(SPACE + shown)])
         body, end = word[:-1], word[-1:]
         if end in STOPS and body.isalpha():  # a mark after letters is a piece of its own
             ids = self.words.get(body)
