@@ -37,7 +37,7 @@ def numbered(rows: DataFrame, groups: list[str], order: Column, slices: int, nam
     sizes = at.groupBy(*groups, "_slice").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*groups).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    offsets = freeze(offsets.drop("_n"), "offsets")
+    offsets = offsets.drop("_n")
     inside = Window.partitionBy(*groups, "_slice").orderBy("_order", "row")
     ranked = at.withColumn("_rank", F.row_number().over(inside) - 1)
     return (
@@ -88,7 +88,7 @@ def _round(state: DataFrame, shards: int, slices: int, number: int) -> DataFrame
     counts = freeze(counts, "neighbours")
     room = state.where("group IS NULL").groupBy("shard").agg(F.count("*").alias("free"))
     every = state.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
-    room = freeze(every.join(room, "shard", "left").fillna(0, ["free"]), "room")
+    room = every.join(room, "shard", "left").fillna(0, ["free"])
     # The target is the group's fullest shard that still has room.  From a shard with
     # as many or more of the group nothing moves.
     best = Window.partitionBy("group").orderBy(F.col("n").desc(), "shard")
@@ -102,7 +102,7 @@ def _round(state: DataFrame, shards: int, slices: int, number: int) -> DataFrame
     leave = counts.join(target, "group").where(
         "shard <> target AND (n < there OR (n = there AND shard > target))"
     )
-    leave = freeze(leave.select("group", "shard", "target"), "leave")
+    leave = leave.select("group", "shard", "target")
     movers = state.join(leave, ["group", "shard"]).select("row", "group", "shard", "target")
     movers = numbered(movers, ["target"], _mixed(F.col("group"), F.lit(number)), slices, "turn")
     quota = room.select(F.col("shard").alias("target"), "free")
@@ -115,7 +115,6 @@ def _round(state: DataFrame, shards: int, slices: int, number: int) -> DataFrame
     free = numbered(free, ["target"], _mixed(F.col("row"), F.lit(number)), slices, "turn")
     swapped = free.join(movers.select("target", "turn", F.col("shard").alias("to")), ["target", "turn"])
     changes = movers.select("row", F.col("target").alias("to")).unionByName(swapped.select("row", "to"))
-    changes = freeze(changes, "changes")
     return state.join(changes, "row", "left").select(
         "row", "group", F.coalesce("to", "shard").alias("shard")
     )
