@@ -1,12 +1,18 @@
 """Sharding by balanced label propagation.
 
 Every document starts in a shard by its hash rank, so counts differ by one at most.
-In each round a document looks at the shards of its neighbours (the members of its
-group) and wants to go to the one where most of them are.  Moves are exchanges: a
-place opens in a shard only as a document without neighbours there leaves it for the
-place that the mover gives up.  So every round keeps every shard's count, and the
-quota of a shard is its number of documents that nothing holds there.  Rounds stop when no
-document moves.  A group larger than a shard fills one and then the next.
+In each round a group (the documents that are each other's neighbours) looks at the
+shards its members are in.  If the whole group fits one of them, counting the documents there that
+nothing holds, all members want to go to the fullest of those; if it fits none of them but the
+shard with the most room, to that one.  A group that fits nowhere keeps its fullest shards, as many
+as hold it, and the members in its other shards want to go to the open ones of these, as many to
+each as it has room.  Moves are exchanges: a place opens in a shard only as a document
+without neighbours there leaves it for the place that the mover gives up.  So every round keeps
+every shard's count, and the quota of a shard is its number of documents that nothing holds there.
+
+Rounds go on until no group has a move left.  They end: a move goes to a shard with as many or
+more of the group than the one it leaves, or makes the group whole (then all members move or
+none), so each raises the sum over groups and shards of squared counts.
 
 Ranks and numbers within a shard are made in hashed slices: rows are numbered in their
 slice, and slices get offsets from a small table of counts, so no shard is one task.
@@ -21,7 +27,6 @@ from pyspark.sql.window import Window
 from .tables import freeze
 
 SHARDS = 40
-ROUNDS = 12  # rounds at most; groups that fit a shard settle in two or three
 SLICE_ROWS = 50_000  # numbered by one task at most, on average
 OVERHEAD = 16  # fixed value: bytes beside the text
 
@@ -57,7 +62,7 @@ def _mixed(*parts: Column) -> Column:
     return F.xxhash64(F.lit(29), *parts)
 
 
-def label_propagation(nodes: DataFrame, shards: int, rounds: int = ROUNDS) -> DataFrame:
+def label_propagation(nodes: DataFrame, shards: int) -> DataFrame:
     """(row, shard) for nodes (row, group); counts of shards differ by one at most.
 
     Members of a group are each other's neighbours; a null group has none.  ``row`` is
@@ -74,43 +79,97 @@ def label_propagation(nodes: DataFrame, shards: int, rounds: int = ROUNDS) -> Da
     start = numbered(start, ["_all"], _mixed(F.col("row")), slices_for(nodes, total), "rank")
     state = start.select("row", "group", (F.col("rank") % shards).cast("int").alias("shard"))
     state = freeze(state, "shards")
-    for number in range(rounds):
-        moved = _round(state, shards, slices, number)
-        if moved is None:
-            break
-        state = freeze(moved, "shards")
+    most = max(1, total // (shards * slices))
+    number = 0
+    while (moved := _round(state, shards, slices, number, most)) is not None:
+        state, number = freeze(moved, "shards"), number + 1
     return state.select("row", "shard")
 
 
-def _round(state: DataFrame, shards: int, slices: int, number: int) -> DataFrame | None:
-    """The next state, or none if no document gains by a move that has room."""
-    counts = state.where("group IS NOT NULL").groupBy("group", "shard").agg(F.count("*").alias("n"))
-    counts = freeze(counts, "neighbours")
-    room = state.where("group IS NULL").groupBy("shard").agg(F.count("*").alias("free"))
-    every = state.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
-    room = every.join(room, "shard", "left").fillna(0, ["free"])
-    # The target is the group's fullest shard that still has room.  From a shard with
-    # as many or more of the group nothing moves.
-    best = Window.partitionBy("group").orderBy(F.col("n").desc(), "shard")
-    open_ = counts.join(room.where("free > 0"), "shard")
-    target = (
-        open_.withColumn("k", F.row_number().over(best))
-        .where("k = 1")
-        .select("group", F.col("shard").alias("target"), F.col("n").alias("there"))
+def _plan(counts: DataFrame, room: list[int]) -> DataFrame:
+    """(group, shard) to leave, with the targets' shares of the movers.
+
+    ``targets`` holds (first seat, shard); the members in ``shard`` take the seats from
+    ``begin``.  ``together`` groups move as a whole or not at all.
+    """
+    widest = max(range(len(room)), key=room.__getitem__)
+    own = Window.partitionBy("group")
+    at = (
+        counts.withColumn("free", F.array(*map(F.lit, room))[F.col("shard")])
+        .withColumn("members", F.sum("n").over(own))
+        .withColumn("fullest", F.max("n").over(own))
+        .where(F.col("n") < F.col("members"))
+        .withColumn("fits", F.expr("free > 0 AND n + free >= members"))
     )
-    # A fuller shard, room or not, is not left; ties go to the lower shard.
-    leave = counts.join(target, "group").where(
-        "shard <> target AND (n < there OR (n = there AND shard > target))"
+    best = own.orderBy(
+        F.desc("fits"), F.desc("n"), F.expr("free > 0").desc(), _mixed(F.col("group"), F.col("shard")), "shard"
     )
-    leave = leave.select("group", "shard", "target")
-    movers = state.join(leave, ["group", "shard"]).select("row", "group", "shard", "target")
-    movers = numbered(movers, ["target"], _mixed(F.col("group"), F.lit(number)), slices, "turn")
-    quota = room.select(F.col("shard").alias("target"), "free")
-    # A shard that takes and gives at once keeps its count as each move is an exchange.
-    movers = movers.join(quota, "target").where("turn < free")
-    movers = freeze(movers.select("row", "shard", "target", "turn"), "movers")
-    if movers.isEmpty():
+    first = F.first(F.struct("fits", "shard", "n")).over(best)
+    before = best.rowsBetween(Window.unboundedPreceding, -1)
+    all_ = best.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    at = (
+        at.withColumn("top", first)
+        .withColumn(
+            "home",
+            F.when(F.col("top.fits"), F.col("top.shard")).when(
+                F.lit(room[widest]) >= F.col("members"), F.lit(widest)
+            ),
+        )
+        .withColumn("held", F.coalesce(F.sum(F.expr("n + free")).over(before), F.lit(0)))
+        .withColumn("kept", F.expr("CASE WHEN home IS NULL THEN held < members ELSE shard = home END"))
+        .withColumn("seat", F.coalesce(F.sum(F.expr("int(kept) * free")).over(before), F.lit(0)))
+        .withColumn("begin", F.coalesce(F.sum(F.expr("int(NOT kept) * n")).over(before), F.lit(0)))
+    )
+    share = F.struct(F.col("seat").alias("seat"), F.col("shard").alias("shard"))
+    at = at.withColumn("open", F.collect_list(F.when(F.expr("kept AND free > 0"), share)).over(all_))
+    # Only a fuller shard's members must not be split by a move; see above.
+    together = F.expr("home IS NOT NULL AND NOT (top.fits AND top.n >= fullest)")
+    alone = F.array(F.struct(F.lit(0).cast("long").alias("seat"), F.col("home").alias("shard")))
+    return at.where("NOT kept").select(
+        "group",
+        "shard",
+        "begin",
+        "members",
+        F.when(F.col("home").isNull(), F.col("open")).otherwise(alone).alias("targets"),
+        together.alias("together"),
+    )
+
+
+def _round(
+    state: DataFrame, shards: int, slices: int, number: int, most: int = SLICE_ROWS
+) -> DataFrame | None:
+    """The next state, or none if no document gains by a move that has room.
+
+    Groups of more than ``most`` members move by their rows' hashes, where they may be parted.
+    """
+    counts = freeze(state.groupBy("group", "shard").agg(F.count("*").alias("n")), "neighbours")
+    room = [0] * shards
+    for shard, free in counts.where("group IS NULL").select("shard", "n").collect():
+        room[shard] = free
+    plan = freeze(_plan(counts.where("group IS NOT NULL"), room), "plan")
+    if plan.isEmpty():
         return None
+    movers = state.join(plan, ["group", "shard"])
+    if plan.where("size(targets) > 1").isEmpty():
+        movers = movers.withColumn("target", F.col("targets")[0]["shard"])
+    else:
+        one = movers.where("size(targets) = 1").withColumn("target", F.col("targets")[0]["shard"])
+        many = movers.where("size(targets) > 1")
+        many = numbered(many, ["group", "shard"], _mixed(F.col("row"), F.lit(number)), slices, "inner")
+        last = F.expr("element_at(filter(targets, t -> t.seat <= begin + inner), -1).shard")
+        movers = one.unionByName(many.withColumn("target", last).drop("inner"))
+    # Members of a group get turns in a row, unless they may be parted and are too many for a slice.
+    parted = F.expr(f"NOT together AND members > {most}")
+    turn = F.when(parted, _mixed(F.col("row"), F.lit(number)))
+    turn = turn.otherwise(_mixed(F.col("group"), F.lit(number)))
+    movers = movers.select("row", "group", "shard", "target", "together", turn.alias("by"))
+    movers = numbered(movers, ["target"], F.col("by"), slices, "turn")
+    # A shard that takes and gives at once keeps its count as each move is an exchange.
+    movers = movers.withColumn("free", F.array(*map(F.lit, room))[F.col("target")])
+    movers = freeze(movers.drop("by").where("turn <= free"), "movers")
+    # At most one group per target reaches over its room.
+    cut = movers.where("together AND turn = free").select("group", "target")
+    movers = movers.where("turn < free").join(cut, ["group", "target"], "left_anti")
     free = state.where("group IS NULL").select("row", F.col("shard").alias("target"))
     free = numbered(free, ["target"], _mixed(F.col("row"), F.lit(number)), slices, "turn")
     swapped = free.join(movers.select("target", "turn", F.col("shard").alias("to")), ["target", "turn"])
