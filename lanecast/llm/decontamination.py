@@ -12,7 +12,14 @@ sensitive hash for it.  Each table is one walk with one sample of positions; the
 number of tables follows from the target recall, measured on the items
 themselves with as many random edits as are allowed.
 
-Items are grouped by length.  For each group every document position starts a window
+Walks lose their step over long items, so an item of more than ``PIECE_WORDS`` words is
+searched by pieces of nearly equal length.  At least one piece of a leaked item is edited in no more
+than the share that is allowed, so it is found as an item of its length would be; the
+whole item is compared around it.  Should a length group miss the recall with ``MOST_TABLES``
+tables, its pieces are searched without tables: every window that meets the conditions below is
+compared.
+
+Items (or pieces) are grouped by length.  For each group every document position starts a window
 of the items' size; the windows whose sampled words all agree with an item's, in some
 table, are compared with it by exact edit distance.  Conditions that every true match meets
 drop most windows first.  A passage keeps all but the allowed edits of the item's words,
@@ -45,7 +52,8 @@ RECALL = 0.95  # of windows with as many edits as allowed, by their aligned star
 POSITIONS = 4  # sampled positions of an embedding in a table
 WALKS = 8  # tables share them
 FIRST_POSITIONS = (0, 2, 4, 6)  # the first sampled position; tables of a walk share it
-MOST_TABLES = 96
+MOST_TABLES = 96  # a length group that needs more is searched without tables
+PIECE_WORDS = 60  # longer items are searched by pieces
 LENGTH_RATIO = 1.25  # longest to shortest item of a length group
 RARE_MASSES = (0.005, 0.01, 0.02, 0.04, 0.08)  # shares of a text that its rarest words make up
 SHORT = 5  # an item of fewer words matches only a document that is the item
@@ -160,13 +168,18 @@ class Table:
 
 @dataclass
 class LengthGroup:
-    """Items of similar length with their hash tables."""
+    """Pieces (whole items, if short) of similar length with their hash tables, or none if these miss the recall."""
 
     items: np.ndarray
     shortest: int
     longest: int
     known_words: int  # words of any item that a true match has at least
-    tables: list[Table]
+    tables: list[Table] | None
+
+
+def pieces(words: np.ndarray) -> list[np.ndarray]:
+    """The words in as few pieces of at most ``PIECE_WORDS`` as there can be, of nearly equal length."""
+    return np.array_split(words, -(-len(words) // PIECE_WORDS))
 
 
 def _reach(shortest: int) -> int:
@@ -175,12 +188,16 @@ def _reach(shortest: int) -> int:
 
 
 class Chunk:
-    """Some items, ready for matching: word ids, item sequences, tables by length group."""
+    """Some items, ready for matching: word ids, item sequences, tables by length group.
+
+    ``words``, ``sizes`` and ``edits`` are the pieces', ``item_words`` the items'.
+    """
 
     def __init__(self, items: list[tuple], share: float = EDIT_SHARE, recall: float = RECALL):
         self.share = share
         self.ids: dict[str, int] = {}
-        self.keys, self.words = [], []
+        self.keys, self.item_words, self.words = [], [], []
+        owners, offsets = [], []
         self.whole: dict[tuple, list] = {}
         for key, text in items:
             words = split_words(text)
@@ -189,9 +206,16 @@ class Chunk:
             if len(words) < SHORT:
                 self.whole.setdefault(tuple(words), []).append(key)
                 continue
-            self.keys.append(key)
             row = [self.ids.setdefault(w, len(self.ids) + OTHER + 1) for w in words]
-            self.words.append(np.array(row, dtype=np.int32))
+            at = 0
+            for piece in pieces(np.array(row, dtype=np.int32)):
+                self.words.append(piece)
+                owners.append(len(self.keys))
+                offsets.append(at)
+                at += len(piece)
+            self.keys.append(key)
+            self.item_words.append(np.array(row, dtype=np.int32))
+        self.owners, self.offsets = np.array(owners, dtype=np.int64), np.array(offsets, dtype=np.int64)
         self.n_symbols = len(self.ids) + OTHER + 1
         self.sizes = np.array([len(w) for w in self.words], dtype=np.int64)
         self.edits = np.array([allowed_edits(n, share) for n in self.sizes], dtype=np.int64)
@@ -217,6 +241,9 @@ class Chunk:
             rest = rng.choice(np.arange(first + 1, _reach(shortest)), POSITIONS - 1, replace=False)
             drawn.append((t % WALKS, [first, *np.sort(rest).tolist()]))
         n = self._tables_needed(items, drawn, recall, rng)
+        keep = int((sizes - self.edits[items]).min())
+        if n is None:
+            return LengthGroup(np.array(items), shortest, int(sizes[-1]), keep, None)
         tables = []
         for table in drawn[:n]:
             taken = self.sampled([self.words[k] for k in items], table)
@@ -227,7 +254,6 @@ class Chunk:
             by_hash = np.argsort(last, kind="stable")
             own = np.array(items)[by_hash]
             tables.append(Table(*table, first, known, last[by_hash], own))
-        keep = int((sizes - self.edits[items]).min())
         return LengthGroup(np.array(items), shortest, int(sizes[-1]), keep, tables)
 
     def sampled(self, sequences, table) -> list[np.ndarray]:
@@ -235,8 +261,8 @@ class Chunk:
         walk = Walk(*joined(list(sequences)), self.bits[table[0]])
         return [walk.symbols(p) for p in table[1]]
 
-    def _tables_needed(self, items, drawn, recall, rng) -> int:
-        """Tables until edited copies of (a bounded number of) the items meet the recall."""
+    def _tables_needed(self, items, drawn, recall, rng) -> int | None:
+        """Tables until edited copies of (a bounded number of) the items meet the recall, if they do."""
         probes = [items[k] for k in rng.permutation(len(items))[:64]]
         pairs = []
         for k in probes:
@@ -261,7 +287,7 @@ class Chunk:
             met |= hashes(originals, table) == hashes(edited, table)
             if met.mean() >= recall:
                 return n + 1
-        return len(drawn)
+        return None
 
     def promising(self, words: np.ndarray, limits: np.ndarray) -> Iterator[np.ndarray]:
         """Per length group, the starts of windows that may hold a true match.
@@ -301,7 +327,9 @@ class Chunk:
             yield starts[good & some]
 
     def candidates(self, words: np.ndarray, starts: np.ndarray, group: LengthGroup):
-        """(start, item) of windows that agree with an item in some table."""
+        """(start, piece) of windows that agree with a piece in some table."""
+        if group.tables is None:
+            return self.every_candidate(words, starts, group)
         found = []
         for number in range(WALKS if len(starts) else 0):
             walk = Walk(words, starts, self.bits[number])
@@ -317,6 +345,19 @@ class Chunk:
                     self._follow(table, begun, starts[alive], symbols[alive], found)
         return np.unique(np.concatenate(found), axis=0) if found else found
 
+    def every_candidate(self, words: np.ndarray, starts: np.ndarray, group: LengthGroup):
+        """(start, piece) of all windows with enough words of the piece, whatever tables say."""
+        found = []
+        for k in group.items.tolist():
+            member = np.zeros(self.n_symbols, dtype=bool)
+            member[self.words[k]] = True
+            running = np.concatenate([[0], np.cumsum(member[words], dtype=np.int32)])
+            reach = np.minimum(starts + self.sizes[k] + self.edits[k], len(words))
+            good = starts[running[reach] - running[starts] >= self.sizes[k] - self.edits[k]]
+            if len(good):
+                found.append(np.stack([good, np.full(len(good), k)], axis=1))
+        return np.unique(np.concatenate(found), axis=0) if found else found
+
     def _follow(self, table: Table, walk: Walk, starts, symbols, found: list) -> None:
         """Add the (start, item) pairs that agree at the table's further positions too."""
         taken = [symbols]
@@ -352,27 +393,41 @@ class Chunk:
         owner = np.repeat(np.arange(len(docs)), ends - begins + 1)
         limits = ends[owner]
         best: dict[tuple, tuple] = {}
-        for group, starts in zip(self.groups, self.promising(flat, limits)):
-            pairs = self.candidates(flat, starts, group)
-            if not len(pairs):
-                continue
-            for item in np.unique(pairs[:, 1]).tolist():
-                own = self.words[item]
-                edits = int(self.edits[item])
-                starts = pairs[pairs[:, 1] == item, 0]
+        pairs = [
+            self.candidates(flat, starts, group)
+            for group, starts in zip(self.groups, self.promising(flat, limits))
+        ]
+        pairs = [p for p in pairs if len(p)]
+        if pairs:
+            starts, units = np.concatenate(pairs).T
+            origin = self.owners[units]
+            by_item = np.lexsort((starts, origin))
+            starts, units, origin = starts[by_item], units[by_item], origin[by_item]
+            found, firsts = np.unique(origin, return_index=True)
+            for item, starts, units in zip(
+                found.tolist(), np.split(starts, firsts[1:]), np.split(units, firsts[1:])
+            ):
+                own = self.item_words[item]
+                edits = allowed_edits(len(own), self.share)
+                # Where the item would begin; a window may be off its piece by the piece's edits.
+                inner = len(own) > PIECE_WORDS
+                slack = edits + (int(self.edits[units].max()) if inner else 0)
+                heads = starts - self.offsets[units]
+                if inner:
+                    by_head = np.argsort(heads, kind="stable")
+                    heads, starts = heads[by_head], starts[by_head]
                 member = np.zeros(self.n_symbols, dtype=bool)
                 member[own] = True
-                lo = np.maximum(starts - edits, begins[owner[starts]])
-                hi = np.minimum(starts + len(own) + edits, limits[starts])
-                width = len(own) + 2 * edits
+                lo = np.maximum(heads - slack, begins[owner[starts]])
+                hi = np.minimum(heads + len(own) + slack, limits[starts])
+                width = len(own) + 2 * slack
                 at = lo[:, None] + np.arange(width)
                 shared = (member[flat[np.minimum(at, len(flat) - 1)]] & (at < hi[:, None])).sum(axis=1)
                 good = shared >= len(own) - edits
-                inside = starts[good, None] + np.arange(len(own))
-                exact = good.copy()
-                exact[good] = (flat[np.minimum(inside, len(flat) - 1)] == own).all(axis=1)
-                for a in starts[exact].tolist():
-                    doc = int(owner[a])
+                exact = good & (heads >= begins[owner[starts]])
+                inside = heads[exact, None] + np.arange(len(own))
+                exact[exact] = (flat[np.minimum(inside, len(flat) - 1)] == own).all(axis=1)
+                for a, doc in zip(heads[exact].tolist(), owner[starts[exact]].tolist()):
                     place = (0, a - int(begins[doc]), a - int(begins[doc]) + len(own))
                     best[doc, item] = min(place, best.get((doc, item), place))
                 # A text that holds the item itself has its closest passage already.
@@ -386,7 +441,7 @@ class Chunk:
                         if best.get((doc, item), place) >= place:
                             best[doc, item] = place
         for (doc, item), (cost, begin, end) in sorted(best.items()):
-            out.append((doc, self.keys[item], cost, len(self.words[item]), begin, end))
+            out.append((doc, self.keys[item], cost, len(self.item_words[item]), begin, end))
         return out
 
 

@@ -75,8 +75,36 @@ def test_matches_are_exact_and_recall_is_reached():
     assert len(hits) >= 0.95 * len(want)
 
 
+def far(n, count=40):
+    """Items of n words and, for each, a text that holds it with as many edits as are allowed."""
+    rng = random.Random(n)
+    items = [[f"w{rng.randrange(3000)}" for _ in range(n)] for _ in range(count)]
+    around = lambda: [f"w{rng.randrange(3000)}" for _ in range(30)]
+    texts = [around() + edited(rng, x, D.allowed_edits(n)) + around() for x in items]
+    return [(k, " ".join(x)) for k, x in enumerate(items)], [" ".join(t) for t in texts]
+
+
+def test_recall_at_the_largest_distance_at_every_length():
+    for n in (20, 60, 61, 100, 200, 400, 700):
+        items, texts = far(n)
+        hits = D.Chunk(items).matches(texts)
+        found = {h[0] for h in hits if h[0] == h[1]}
+        assert len(found) >= 0.95 * len(items), n
+        assert all(h[3] == n and h[2] <= D.allowed_edits(n) for h in hits)
+
+
+def test_groups_whose_tables_miss_the_recall_are_searched_without(monkeypatch):
+    monkeypatch.setattr(D, "MOST_TABLES", 1)
+    for n in (40, 150):
+        items, texts = far(n, 10)
+        chunk = D.Chunk(items)
+        assert [g.tables for g in chunk.groups] == [None] * len(chunk.groups)
+        assert [(h[0], h[1]) for h in chunk.matches(texts)] == [(k, k) for k in range(10)]
+
+
 def test_passages_are_found_whatever_surrounds_them():
     items, _ = made(3, 8, 0)
+    items += [(k, edge.prose(n, k).split()) for k, n in ((8, 61), (9, 300))]
     chunk = D.Chunk([(k, " ".join(w)) for k, w in items])
     for k, words in items:
         shown = " ".join(w.title() + "," for w in words)
