@@ -48,6 +48,10 @@ VOID = frozenset(
 UNSEEN = frozenset(
     "script style noscript template head title svg math iframe object canvas audio video".split()
 )
+# Start tags that leave an open head open; the end tag may be missing.
+IN_HEAD = frozenset(
+    "html head base basefont bgsound link meta noframes noscript script style template title".split()
+)
 # A start tag that ends an open element of the same group.
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"),
@@ -74,6 +78,7 @@ class _Reader(HTMLParser):
         self.parts: list[str] = []
         self.linked = 0
         self.unseen = 0
+        self.heads = 0
         self.anchors = 0
 
     def flush(self) -> None:
@@ -87,10 +92,20 @@ class _Reader(HTMLParser):
     def _drop(self, at: int) -> None:
         for tag, _ in self.stack[at:]:
             self.unseen -= tag in UNSEEN
+            self.heads -= tag == "head"
             self.anchors -= tag == "a"
         del self.stack[at:]
 
+    def _leave_head(self, everything: bool) -> None:
+        """Close the head; not while an element in it that may hold any tag is open, if not asked to."""
+        tags = [tag for tag, _ in self.stack]
+        at = tags.index("head")
+        if everything or not {"noscript", "template"} & set(tags[at:]):
+            self._drop(at)
+
     def handle_starttag(self, tag, attrs):
+        if self.heads and tag not in IN_HEAD:
+            self._leave_head(tag == "body")
         if tag not in INLINE:
             self.flush()
             groups = CLOSES.get(tag, ())
@@ -112,6 +127,7 @@ class _Reader(HTMLParser):
                 names += tuple(NAME.findall(value.lower()))
         self.stack.append((tag, names))
         self.unseen += tag in UNSEEN
+        self.heads += tag == "head"
         self.anchors += tag == "a"
 
     def handle_endtag(self, tag):
@@ -125,6 +141,8 @@ class _Reader(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.heads and self.stack[-1][0] == "head" and data.strip():
+            self._leave_head(True)
         if not self.unseen:
             self.parts.append(data)
             if self.anchors:

@@ -34,6 +34,24 @@ def test_blocks():
     assert read("a < b <") == ["a < b <"]
 
 
+def test_a_head_without_its_end_tag():
+    read = lambda s: [b.text for b in H.blocks_of(s)]
+    assert read("<html><head><title>t</title><body><p>a</p><div>b</div></body></html>") == ["a", "b"]
+    assert read("<head><meta name=x><title>t</title><link rel=y><p>a<p>b") == ["a", "b"]
+    assert read("<head><title>t</title><style>p{}</style><a href=/>a</a> b") == ["a b"]
+    assert read("<head><title>t</title>\n plain <b>text</b>") == ["plain text"]
+    assert read("<head><title>t<body>a") in (["a"], [])  # newer parsers read a title up to its end tag
+    assert read("<head><head><title>t</title></head><body>a") == ["a"]
+    # What stands in a head, or in an element there that may hold any tag, leaves it open.
+    assert read("<head><script>x</script><template><p>t</p></template><title>t</title></head>a") == ["a"]
+    assert read("<head><noscript><img src=x><p>n</p></noscript><title>t</title></head><body>a") == ["a"]
+
+
+def test_pages_without_the_heads_end_tag_give_their_text(model):
+    for k in range(60, 80):
+        assert H.main_text(page(k).replace("</head>", ""), model) == H.main_text(page(k), model) != ""
+
+
 def test_viterbi_equals_all_labellings():
     rng = np.random.default_rng(0)
     model = H.Field({}, np.zeros(0), 0.0, rng.standard_normal((2, 2)))
