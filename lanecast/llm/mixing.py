@@ -41,7 +41,7 @@ def word_count(text: Column) -> Column:
 def source_targets(
     sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST_COPIES
 ) -> DataFrame:
-    """(source, source_size, target) for rows (source, size).
+    """(source, source_size, target, rows) for rows (source, size, m), ``size`` of ``m`` documents.
 
     Sources by code point, null last, weigh ``weights`` in turn and share the sum of
     all sizes.  A target stops at ``most`` times its source's size; the excess is
@@ -50,7 +50,7 @@ def source_targets(
     level that the words still to share would reach without it exceeds its own.
     """
     totals = sizes.groupBy("source").agg(
-        F.sum("size").alias("source_size"), F.count("*").alias("rows")
+        F.sum("size").alias("source_size"), F.sum("m").alias("rows")
     )
     by_name = Window.orderBy(F.col("source").isNull(), "source")
     turn = (F.row_number().over(by_name) - 1) % len(weights)

@@ -86,3 +86,20 @@ def test_no_python_in_the_plan(spark, capsys):
 
 def test_no_rows(spark):
     assert M.mix(edge.none(spark)).collect() == []
+
+
+def test_repeated_rows_get_as_many_buckets_as_they_need(spark, monkeypatch):
+    largest, fold = [], M._fold
+
+    def counted(docs, seed):
+        largest.append(docs.groupBy("source", "bucket").count().agg(M.F.max("count")).first()[0] or 0)
+        return fold(docs, seed)
+
+    monkeypatch.setattr(M, "_fold", counted)
+    n = 20 * M.FAN
+    docs = spark.range(n).selectExpr("1L AS doc_id", "'one two three' AS text", "'a' AS source")
+    docs = docs.unionByName(spark.range(900).selectExpr("id + 2 AS doc_id", "'one two' AS text", "'b' AS source"))
+    found = M.mix(docs).where("source = 'a'").collect()
+    assert len(found) == n
+    assert abs(sum(r["taken"] for r in found) - found[0]["target"]) <= 3
+    assert max(largest) <= 2 * M.FAN
