@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_folder
 from .decontamination import contaminated
+from .divergence import source_divergence
 from .embeddings import near_vectors
 from .html import extracted
 from .html import fit as fit_field
@@ -103,6 +104,11 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model_scores(table(spark, sf_dir, "documents"), ~fold(1))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far every source's words differ from other sources' and from its language's."""
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_html_extraction": op2_html_extraction,
@@ -114,7 +120,55 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_url_filter": op9_url_filter,
     "op10_lm_scoring": op10_lm_scoring,
+    "op13_source_divergence": op13_source_divergence,
 }
 
+_OP13 = """
+WITH docs AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS doc,
+         regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms
+  FROM documents
+), hits AS (
+  SELECT lang, source, doc, unnest(terms) AS term FROM docs
+), kept AS (
+  SELECT lang, term, count(*) AS everywhere FROM hits
+  GROUP BY lang, term HAVING count(DISTINCT doc) >= 10
+), groups AS (
+  SELECT DISTINCT lang, source FROM docs
+), langs AS (
+  SELECT g.lang, coalesce(k.v, 0) AS v, coalesce(k.n, 0) AS n
+  FROM (SELECT DISTINCT lang FROM groups) g
+  LEFT JOIN (SELECT lang, count(*) AS v, sum(everywhere) AS n FROM kept GROUP BY lang) k USING (lang)
+), counts AS (
+  SELECT h.lang, h.source, h.term, count(*) AS c FROM hits h JOIN kept k USING (lang, term) GROUP BY ALL
+), totals AS (
+  SELECT g.lang, g.source, coalesce(sum(c.c), 0) AS n
+  FROM groups g LEFT JOIN counts c USING (lang, source) GROUP BY ALL
+), dense AS (
+  SELECT t.lang, t.source, k.term, coalesce(c.c, 0) AS c,
+         (1 + 1000000000::HUGEINT * (coalesce(c.c, 0) + 2) // (t.n + 2 * l.v))::HUGEINT AS p,
+         (1 + 1000000000::HUGEINT * (k.everywhere + 2) // (l.n + 2 * l.v))::HUGEINT AS whole
+  FROM totals t JOIN langs l USING (lang) JOIN kept k USING (lang)
+  LEFT JOIN counts c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term
+), differences AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY ALL
+), parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(d.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN differences d ON d.lang = a.lang AND d.source = a.source AND d.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - whole) * (p - whole) // (p + whole))::BIGINT
+  FROM dense WHERE c > 0 AND p > whole
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+  FROM parts
+)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
 # DuckDB statements for the queries that SQL can express.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op13_source_divergence": _OP13}
