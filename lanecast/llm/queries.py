@@ -14,6 +14,7 @@ from .embeddings import near_vectors
 from .html import extracted
 from .html import fit as fit_field
 from .mixing import mix
+from .packing import packed_documents
 from .pitman_yor import language_model_scores
 from .sharding import shard_documents
 from .simhash import simhash_components
@@ -25,6 +26,8 @@ from .urls import judge_urls
 # The contract's tokenizer and end id.
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
+PACKING_TOKENIZER = "word_bpe_49k.json"
+PACKING_END_ID = 0
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -104,6 +107,15 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model_scores(table(spark, sf_dir, "documents"), ~fold(1))
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence and place of every piece of every document."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    path = public_tokenizers.path(PACKING_TOKENIZER)
+    return packed_documents(docs, path, PACKING_END_ID).drop("row")
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far every source's words differ from other sources' and from its language's."""
     return source_divergence(table(spark, sf_dir, "documents"))
@@ -120,6 +132,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_url_filter": op9_url_filter,
     "op10_lm_scoring": op10_lm_scoring,
+    "op12_best_fit_packing": op12_best_fit_packing,
     "op13_source_divergence": op13_source_divergence,
 }
 
