@@ -18,6 +18,7 @@ from .packing import packed_documents
 from .pitman_yor import language_model_scores
 from .sharding import shard_documents
 from .simhash import simhash_components
+from .spelling import spelling_variants
 from .tables import table
 from .tokens import read_digests, write_tokens
 from .toxicity import fit, toxicity
@@ -107,6 +108,11 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model_scores(table(spark, sf_dir, "documents"), ~fold(1))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with the more frequent word that it is a variant of."""
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequence and place of every piece of every document."""
     import public_tokenizers
@@ -132,10 +138,65 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_url_filter": op9_url_filter,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_best_fit_packing": op12_best_fit_packing,
     "op13_source_divergence": op13_source_divergence,
 }
 
+_OP11 = """
+WITH RECURSIVE runs AS (
+  SELECT doc_id, run, count(*) AS n
+  FROM (
+    SELECT coalesce(doc_id::VARCHAR, '') AS doc_id, unnest(regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[A-Za-z\\x{C0}-\\x{FF}]+')) AS run
+    FROM documents)
+  WHERE length(run) >= 7 GROUP BY doc_id, run
+), bytes AS (
+  SELECT *, hex(encode(doc_id || ':' || run)) AS h FROM runs
+), steps AS (
+  -- A byte is added, then eight bits are divided off (steps of -1).
+  SELECT doc_id, run, n, flatten(list_transform(range(1, length(h), 2),
+    lambda k: [('0x' || substr(h, k, 2))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])) AS s
+  FROM bytes
+), sums AS (
+  SELECT run, n, xor(list_reduce(s, lambda c, b:
+    CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, 3988292384 * (c & 1)) END, 4294967295::BIGINT),
+    4294967295::BIGINT) AS crc
+  FROM steps
+), thinned AS (
+  SELECT n, CASE WHEN crc % 31 = 0 THEN
+      substr(run, 1, (crc % length(run))::INT) || substr(run, (crc % length(run))::INT + 2)
+    ELSE run END AS word
+  FROM sums
+), words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM thinned WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), shorter AS (
+  SELECT DISTINCT word, k, substr(word, 1, k - 1) || substr(word, k + 1) AS rest
+  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS k FROM words)
+), near AS (
+  SELECT a.word, b.word AS other FROM shorter a JOIN shorter b ON a.rest = b.rest AND a.k = b.k AND a.word <> b.word
+  UNION SELECT word, rest FROM shorter WHERE rest IN (SELECT word FROM words)
+  UNION SELECT rest, word FROM shorter WHERE rest IN (SELECT word FROM words)
+), ranked AS (
+  SELECT e.word, e.other, o.n AS other_n, count(*) OVER (PARTITION BY e.word) AS n_near,
+         row_number() OVER (PARTITION BY e.word ORDER BY o.n DESC, e.other) AS place
+  FROM near e JOIN words o ON o.word = e.other
+), formed AS (
+  SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near,
+         CASE WHEN r.other_n >= 10 * w.n THEN r.other END AS form,
+         CASE WHEN r.other_n >= 10 * w.n THEN r.other_n END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.place = 1
+), chains AS (
+  SELECT word, word AS root FROM formed
+  UNION ALL
+  SELECT c.word, f.form FROM chains c JOIN formed f ON f.word = c.root WHERE f.form IS NOT NULL
+), ends AS (
+  SELECT c.word, c.root FROM chains c JOIN formed f ON f.word = c.root WHERE f.form IS NULL
+)
+SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n FROM formed f JOIN ends e ON e.word = f.word
+"""
+
 _OP13 = """
 WITH docs AS (
   SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS doc,
@@ -184,4 +245,4 @@ SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR
 """
 
 # DuckDB statements for the queries that SQL can express.
-SQL: dict[str, str] = {"op13_source_divergence": _OP13}
+SQL: dict[str, str] = {"op11_spelling_variants": _OP11, "op13_source_divergence": _OP13}
