@@ -5,9 +5,10 @@ at least k times.  An inserted or deleted letter changes one component, a replac
 two, so words one edit apart are vectors at a Hamming distance of at most two.  The
 components are dealt to ``parts`` parts by hash.  Two such vectors differ in at most two
 parts, so leaving out some two parts makes the rest equal: a word has one signature for
-each pair of parts, a hash of the components outside it.  Equal signatures are joined,
-pairs verified.  More parts make signatures more selective and more of them; the result is
-the same.
+each pair of parts, a hash of the components outside it.  One edit also leaves the first or
+the last three of seven letters alone, so every signature is made twice, with either.  Equal
+signatures are joined, pairs verified.  More parts make signatures more selective and more
+of them; the result is the same.
 
 A pair is passed on only from the first signature that it must share, so no pair comes
 twice.  A signature of very many words is compared in blocks (``blocks``).
@@ -36,8 +37,10 @@ LETTERS = bytes([*range(0x61, 0x7B), *range(0xC0, 0x100)])
 
 HELD_WORDS = 500_000  # distinct words that a task holds before it passes counts on
 WORDS_PER_TASK = 50_000
-SIGNATURE_BITS = 7  # of a key, which tell its pair of parts
-FEWEST_PARTS, MOST_PARTS = 6, 16
+ROWS_AT_ONCE = 100_000  # of the signature table, in a comparison
+SIGNATURE_BITS = 8  # of a key, which tell its pair of parts and its end
+END_LETTERS = (LEAST_LETTERS - 1) // 2
+FEWEST_PARTS, MOST_PARTS = 4, 16
 
 _FOLDED = bytes(
     b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256)
@@ -141,8 +144,19 @@ class Words:
     def owners(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.lengths)), self.lengths)
 
+    def ends(self, last: bool) -> np.ndarray:
+        """The first or last letters as one number; words must not be shorter."""
+        first = self.starts + (self.lengths - END_LETTERS if last else 0)
+        found = np.full(len(self.starts), 1 + last, np.uint64)
+        for k in range(END_LETTERS):
+            found = (found << np.uint64(8)) | self.data[first + k]
+        return _mix(found * np.uint64(0x9E3779B97F4A7C15))
+
     def signatures(self, parts: int) -> np.ndarray:
-        """Keys, one column for each pair of parts; the low bits are the pair's number."""
+        """Keys, two columns for each pair of parts: with the first and with the last letters.
+
+        The low bits of a key are the number of its column.
+        """
         owner = self.owners()
         order = np.lexsort((self.data, owner))
         letter, owner = self.data[order], owner[order]
@@ -153,11 +167,14 @@ class Words:
         sums = np.zeros((len(self.lengths), parts), np.uint64)
         np.add.at(sums, (owner, part_of(found, parts)), found)
         whole = sums.sum(axis=1, dtype=np.uint64)
-        keys = np.empty((len(sums), len(left_out(parts))), np.uint64)
+        keys = np.empty((len(sums), 2 * len(left_out(parts))), np.uint64)
         low = np.uint64(SIGNATURE_BITS)
+        ends = self.ends(False), self.ends(True)
         for number, (a, b) in enumerate(left_out(parts)):
-            rest = _mix(whole - sums[:, a] - sums[:, b] + np.uint64(number * 0x632BE59BD9B4E019 & (1 << 64) - 1))
-            keys[:, number] = (rest >> low << low) | np.uint64(number)
+            for last in (0, 1):
+                rest = _mix(whole - sums[:, a] - sums[:, b] + ends[last])
+                column = 2 * number + last
+                keys[:, column] = (rest >> low << low) | np.uint64(column)
         return keys.view(np.int64)
 
     def alike(self, i: np.ndarray, j: np.ndarray, end: bool) -> np.ndarray:
@@ -204,6 +221,9 @@ def _changes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 _DIFFERENCE, _GOES, _COMES = _changes()
+# One bit per letter; some letters above ASCII share one.
+_BITS = np.zeros(256, np.uint64)
+_BITS[list(LETTERS)] = [1 << (k if k < 26 else 26 + (k - 26) % 38) for k in range(len(LETTERS))]
 
 
 class Verifier:
@@ -212,8 +232,17 @@ class Verifier:
     def __init__(self, words: Words, numbers: np.ndarray, parts: int):
         self.words, self.numbers, self.parts = words, numbers, parts
         self.first = _pair_numbers(parts)
-        self.weights = np.zeros(len(words.lengths), np.uint64)
-        np.add.at(self.weights, words.owners(), _WEIGHTS[words.data])
+        self.weights = np.add.reduceat(_WEIGHTS[words.data], words.starts)
+        self.odd = np.bitwise_xor.reduceat(_BITS[words.data], words.starts)
+
+    def maybe(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """A quick test that near words pass.
+
+        At most two letters occur odd times in one word and even times in the other, and
+        the letters aren't the same.
+        """
+        few = np.bitwise_count(self.odd[i] ^ self.odd[j]) <= 2
+        return few & (self.weights[i] != self.weights[j])
 
     def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         w, out = self.words, np.zeros(len(i), bool)
@@ -224,14 +253,16 @@ class Verifier:
         hit = _DIFFERENCE[at] == difference
         own, at = own[hit], at[hit]
         a, b = i[own], j[own]
-        same = w.alike(a, b, False) + w.alike(a, b, True)
-        hit = same >= np.maximum(w.lengths[a], w.lengths[b]) - 1
+        first, last = w.alike(a, b, False), w.alike(a, b, True)
+        hit = first + last >= np.maximum(w.lengths[a], w.lengths[b]) - 1
+        # Words that begin alike are taken from the signatures with the first letters only.
+        hit &= (self.numbers[a] & 1 == 0) | (first < END_LETTERS)
         own, at, a, b = own[hit], at[hit], a[hit], b[hit]
         goes, comes = _GOES[at], _COMES[at]
         lost = part_of(component(goes, w.times(a, goes)), self.parts)
         won = part_of(component(comes, w.times(b, comes)), self.parts)
         lost, won = np.where(goes == 0, won, lost), np.where(comes == 0, lost, won)
-        out[own[self.first[lost, won] == self.numbers[a]]] = True
+        out[own[self.first[lost, won] == self.numbers[a] >> 1]] = True
         return out
 
 
@@ -250,16 +281,31 @@ def _sign(parts: int):
     return run
 
 
+def _larger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together, as a comparison's cost is partly by batch."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= ROWS_AT_ONCE:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _compare(parts: int):
     low = (1 << SIGNATURE_BITS) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, starts in whole_groups(batches):
+        for rows, starts in whole_groups(_larger(batches)):
             word, n = rows["word"].combine_chunks(), rows["n"].combine_chunks()
             numbers = rows["key"].to_numpy() & low
             check = Verifier(Words(word.to_pylist()), numbers, parts)
             blocks = rows["block_a"].to_numpy(), rows["block_b"].to_numpy()
-            for i, j in close_pairs(starts, rows["side"].to_numpy(), blocks, check.near):
+            for i, j in close_pairs(starts, rows["side"].to_numpy(), blocks, check.maybe):
+                near = check.near(i, j)
+                i, j = i[near], j[near]
                 one, two = pa.array(np.append(i, j)), pa.array(np.append(j, i))
                 yield pa.RecordBatch.from_arrays(
                     [word.take(one), word.take(two), n.take(two)], ["word", "near", "near_n"]
@@ -271,12 +317,12 @@ def _compare(parts: int):
 def near_words(words: DataFrame, parts: int | None = None) -> DataFrame:
     """(word, near, near_n), every ordered pair of different words (word, n) one edit apart.
 
-    ``words`` must be a written table of different words of the contract's letters.
-    Without ``parts`` their number follows the number of words: signatures grow with the
-    square of its logarithm, and what meets by chance under one stays rare.
+    ``words`` must be a written table of different words of the contract's letters and
+    length.  Without ``parts`` their number follows the number of words: signatures grow with
+    the square of its logarithm, and what meets by chance under one stays rare.
     """
     if parts is None:
-        parts = round(math.log2(max(2, words.count())) / 2)
+        parts = 2 * round(math.log2(max(2, words.count())) / 4 - 3)
         parts = min(MOST_PARTS, max(FEWEST_PARTS, parts))
     if not 3 <= parts <= MOST_PARTS:
         raise ValueError(f"parts must be between 3 and {MOST_PARTS}")
