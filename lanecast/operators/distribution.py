@@ -137,40 +137,70 @@ def band_profile(
 def variance_explained(
     df: DataFrame,
     measure: str,
-    keys: Mapping[str, str],
+    keys: Mapping[str, str | Sequence[str]],
 ) -> DataFrame:
     """Share of a measure's variance left out by subtracting each group's median.
 
-    ``keys`` maps a name to a grouping column.  Medians come from windows over
-    counted values, so a window partition holds distinct values and not rows, and
-    the input is read once.  Sums are of doubled integers (a median of whole
-    numbers is a multiple of one half) over the rows that belong to a group under
-    every key.  Returns one row: size, total variance, and per name the within
-    variance.
+    ``keys`` maps a name to a grouping column or a set of them.  All sets are grouped by
+    one expansion of the counted values, so the input is read once and no window holds
+    rows.  A group needs its size, sums and median only: the squares about a median
+    follow from those.  Sums are of doubled integers (a median of whole numbers is a
+    multiple of one half) over the rows that belong to a group under every key.
+    Returns one row: size, total variance, and per name the within variance.
     """
-    groups = list(dict.fromkeys(keys.values()))
-    middle = quantiles(F.col("value"), 0.5)
-    centres = {
-        f"centre_{name}": (2 * middle.over(Window.partitionBy(column))[0]).cast("long")
-        for name, column in keys.items()
+    sets = {name: [key] if isinstance(key, str) else list(key) for name, key in keys.items()}
+    if not sets or not all(sets.values()):
+        raise ValueError("every key needs a column")
+    columns = list(dict.fromkeys(c for key in sets.values() for c in key))
+    distinct = list(dict.fromkeys(tuple(sorted(key, key=columns.index)) for key in sets.values()))
+    # Of a grouping id, the bits of the columns that a set leaves out.
+    ids = {
+        key: sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in key)
+        for key in distinct
     }
-    placed = (
-        value_counts(df, [measure], groups)
-        .withColumns({"twice": 2 * F.col("value"), **centres})
-        .dropna(subset=groups)
+    counted = value_counts(df, [measure], columns)
+    complete = F.lit(True)
+    for c in columns:
+        complete &= F.col(c).isNotNull()
+    kept = F.when(complete & F.col("value").isNotNull(), F.col("n")).otherwise(0)
+    counted = counted.withColumn("kept", kept)
+    # Columns are grouped under other names, as a grouping set blanks them.
+    marked = counted.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(columns)], "value", "n", "kept")
+    named = [f"_{i}" for i in range(len(columns))]
+    grouped = marked.groupingSets([[f"_{columns.index(c)}" for c in key] for key in distinct], *named).agg(
+        F.grouping_id().alias("set"),
+        (2 * quantiles(F.col("value"), 0.5)[0]).cast("long").alias("centre"),
+        *[c.alias(k) for k, c in moments(2 * F.col("value"), "kept").items()],
     )
-    sums = {f"all_{k}": c for k, c in moments(F.col("twice")).items()}
-    for name in keys:
-        rest = F.col("twice") - F.col(f"centre_{name}")
-        sums |= {f"{name}_{k}": c for k, c in moments(rest).items()}
-    exact = placed.agg(*[c.alias(k) for k, c in sums.items()])
+    wide = F.col("centre").cast("decimal(19,0)")
+    size = F.col("size").cast("decimal(19,0)")
+    total, squares = F.coalesce("total", F.lit(0)), F.coalesce("squares", F.lit(0))
+    about = {
+        "size": F.col("size"),
+        "total": total,
+        "squares": squares,
+        "rest": (total - size * wide).cast("decimal(38,0)"),
+        "rest_squares": (squares - 2 * wide * total + size * wide * wide).cast("decimal(38,0)"),
+    }
+    rows = grouped.where(F.col("size") > 0).select("set", *[c.alias(k) for k, c in about.items()])
+    sums = {}
+    for key, number in ids.items():
+        for part in about:
+            sums[f"{number}_{part}"] = F.sum(F.when(F.col("set") == number, F.col(part)))
+    exact = rows.agg(*[c.alias(k) for k, c in sums.items()])
+    first = ids[distinct[0]]
+    n = F.coalesce(F.col(f"{first}_size"), F.lit(0))
 
     def spread(prefix: str) -> Column:
-        parts = [F.col(f"{prefix}_{part}") for part in ("size", "total", "squares")]
+        parts = [F.col(f"{first}_size"), *[F.col(f"{prefix}{part}") for part in ("", "_squares")]]
         return variance(*parts) / 4
 
+    whole = variance(*[F.col(f"{first}_{part}") for part in ("size", "total", "squares")]) / 4
     return exact.select(
-        F.col("all_size").alias("n_orders"),
-        spread("all").alias("total_variance"),
-        *[spread(name).alias(f"within_{name}") for name in keys],
+        n.alias("n_orders"),
+        whole.alias("total_variance"),
+        *[
+            spread(f"{ids[tuple(sorted(key, key=columns.index))]}_rest").alias(f"within_{name}")
+            for name, key in sets.items()
+        ],
     )

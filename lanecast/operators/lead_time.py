@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import day_diff, days, hour_boundaries, pct, ratio
 from ..settings import Settings
@@ -40,7 +44,8 @@ def build_base(orders: DataFrame, s: Settings) -> DataFrame:
     Orders landed by month are read for the window's months only.
     """
     if "purchase_month" in orders.columns:
-        first, last = (f"{t:%Y-%m}" for t in (s.window_start, s.window_end))
+        # The end is exclusive: a window that ends with a month does not read the next.
+        first, last = (f"{t:%Y-%m}" for t in (s.window_start, s.window_end - timedelta(microseconds=1)))
         orders = orders.where(F.col("purchase_month").between(first, last))
     delivered = F.col("order_delivered_customer_date")
     promised = F.col("order_estimated_delivery_date")
@@ -73,6 +78,52 @@ def with_segments(base: DataFrame) -> DataFrame:
     )
 
 
+def base_events(base: DataFrame, steps: Mapping[str, str], key: str = "order_id") -> DataFrame:
+    """(key, step, at) rows from a table with a column per step; ``steps`` maps step to column."""
+    rows = [F.struct(F.lit(step).alias("step"), F.col(c).alias("at")) for step, c in steps.items()]
+    return base.select(key, F.inline(F.array(*rows))).where(F.col("at").isNotNull())
+
+
+def chain_segments(
+    events: DataFrame, chain: Sequence[str], unit: str = "day", key: str = "order_id"
+) -> DataFrame:
+    """Time between the steps of a chain of any length, from event rows (key, step, at).
+
+    One row per key and step that has a predecessor: ``from_step``, ``to_step``, ``length``
+    in ``unit`` (day, hour or minute) and ``n_skipped``, the steps of the chain between the
+    two that have no event.  Boundaries of hours (minutes) are counted, so a key's
+    segments add up to the whole from its first to its last step, whatever is
+    missing.  Steps follow the chain, not the clock: a step before its predecessor
+    gives a negative length.  Of several events of a step the first counts.  Events of other
+    steps, and those without a moment or a key, are left out.  One shuffle by key.
+    """
+    if len(set(chain)) < len(chain) or len(chain) < 2:
+        raise ValueError(f"a chain needs two or more different steps: {tuple(chain)}")
+    if unit not in ("day", "hour", "minute"):
+        raise ValueError(f"unknown unit {unit}")
+    place = F.array_position(F.array(*map(F.lit, chain)), F.col("step")).cast("int")
+    known = events.where(F.col("step").isin(*chain) & F.col("at").isNotNull() & F.col(key).isNotNull())
+    # Repeated events of a step are combined before they move.
+    first = known.groupBy(key, place.alias("place")).agg(F.min("at").alias("at"))
+    along = Window.partitionBy(key).orderBy("place")
+    paired = first.select(
+        key, "place", "at", F.lead("place").over(along).alias("next"), F.lead("at").over(along).alias("next_at")
+    ).where(F.col("next").isNotNull())
+    if unit == "minute":
+        length = F.timestamp_diff("MINUTE", F.date_trunc("minute", "at"), F.date_trunc("minute", "next_at"))
+    else:
+        hours = hour_boundaries("at", "next_at")
+        length = days(hours) if unit == "day" else hours
+    names = F.array(*map(F.lit, chain))
+    return paired.select(
+        key,
+        names[F.col("place") - 1].alias("from_step"),
+        names[F.col("next") - 1].alias("to_step"),
+        length.alias("length"),
+        (F.col("next") - F.col("place") - 1).alias("n_skipped"),
+    )
+
+
 def segments_in_days(df: DataFrame) -> DataFrame:
     """Replace the hour columns by days."""
     converted = {f"{s}_hours": days(F.col(f"{s}_hours")).alias(f"{s}_days") for s in SEGMENTS}

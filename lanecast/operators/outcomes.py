@@ -7,6 +7,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import Band, exact_mean, pct, ratio
 from . import star
@@ -145,6 +146,39 @@ def followup_within(
     )
 
 
+def followup_by_frame(
+    firsts: DataFrame,
+    per_day: DataFrame,
+    key: str,
+    window_days: int,
+    eligible_until: date,
+) -> DataFrame:
+    """``followup_within`` without a join: a RANGE frame over first orders and order days together.
+
+    Both sides are dealt by person once and sorted by day; a person with any number of
+    order days is read along once.  Rows of a person without an eligible first order
+    are dropped after the frame.  NULL persons have no follow-ups, as in a join.
+    """
+    first = F.col("purchase_date")
+    none = F.lit(None)
+    both = firsts.where(first <= F.lit(eligible_until)).select(
+        key, first.alias("day"), "is_late", F.lit(True).alias("starts"), F.lit(0).cast("long").alias("n")
+    ).unionByName(
+        per_day.select(
+            key, "day", none.cast("boolean").alias("is_late"), F.lit(False).alias("starts"), F.col("n").cast("long")
+        )
+    )
+    number = F.unix_date("day")
+    ahead = Window.partitionBy(key).orderBy("number").rangeBetween(1, window_days)
+    later = F.when(F.col(key).isNotNull(), F.coalesce(F.sum("n").over(ahead), F.lit(0))).otherwise(0)
+    return (
+        both.withColumn("number", number)
+        .withColumn("n_repeat", later)
+        .where("starts")
+        .select(key, "is_late", "n_repeat")
+    )
+
+
 def repeat_rate(followups: DataFrame, name: str) -> DataFrame:
     again = F.count_if(F.col("n_repeat") > 0)
     return followups.groupBy("is_late").agg(

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import days, latest_first, pct
 from .distribution import quantiles, rows_of, share_of_total, value_counts, value_of
@@ -129,11 +130,54 @@ def join_integrity(
     ).select(base_rows.alias("base_rows"), "*")
 
 
+# Kinds of keys that an integrity audit names.
+LOST, FOREIGN, DOUBLED, FANNED_OUT = "lost", "foreign", "doubled", "fanned_out"
+
+
+def integrity_keys(base: DataFrame, fact: DataFrame, key: str, most: int = 20) -> DataFrame:
+    """Per kind of fault: ``n_keys``, ``n_rows`` and the first ``most`` keys (NULL first).
+
+    ``lost`` keys are missing from the fact, ``foreign`` ones from the base; ``doubled``
+    keys stand in the base several times; ``fanned_out`` keys have more fact rows than base
+    rows.  A key may have several faults.  Rows are counted by key on both sides, so a
+    key with any number of rows moves as one; the counts are joined once, full outer.
+    """
+
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(F.col(key).alias(f"{name}_key")).agg(F.count("*").alias(name))
+
+    before, after = counted(base, "before"), counted(fact, "after")
+    both = before.join(after, F.col("before_key").eqNullSafe(F.col("after_key")), "full_outer")
+    faults = {
+        LOST: F.col("after").isNull(),
+        FOREIGN: F.col("before").isNull(),
+        DOUBLED: F.col("before") > 1,
+        FANNED_OUT: F.col("after") > F.col("before"),
+    }
+    kinds = F.array(*[F.when(c, F.lit(kind)) for kind, c in faults.items()])
+    rows = F.greatest(F.coalesce("before", F.lit(0)), F.coalesce("after", F.lit(0)))
+    found = both.where(F.array_size(F.array_compact(kinds)) > 0).select(
+        F.when(F.col("before").isNull(), F.col("after_key")).otherwise(F.col("before_key")).alias("key"),
+        rows.alias("rows"),
+        F.explode(F.array_compact(kinds)).alias("kind"),
+    )
+    totals = found.groupBy("kind").agg(F.count("*").alias("n_keys"), F.sum("rows").alias("n_rows"))
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.asc_nulls_first("key")))
+    first = found.withColumn("place", place).where(F.col("place") <= most)
+    listed = first.groupBy("kind").agg(F.sort_array(F.collect_list(F.struct("place", "key"))).alias("l"))
+    return totals.join(listed.select("kind", F.col("l.key").alias("keys")), "kind").orderBy("kind")
+
+
 def require_integrity(base: DataFrame, fact: DataFrame, key: str) -> None:
-    """Raise when the joins duplicated rows; run before building on a new fact."""
+    """Raise when the joins duplicated rows, naming keys; run before building on a new fact.
+
+    Counts come first; the keys are looked for only where those fail.
+    """
     check = join_integrity(base, fact, key, {}).first()
     if check.fact_rows != check.distinct_orders or check.fact_rows > check.base_rows:
-        raise ValueError(f"fact does not hold one row per order: {check.asDict()}")
+        faults = integrity_keys(base, fact, key).where(F.col("kind") != LOST).collect()
+        told = "; ".join(f"{r['kind']}: {r['n_keys']} keys, first {r['keys']}" for r in faults)
+        raise ValueError(f"fact does not hold one row per order: {check.asDict()}; {told}")
 
 
 def items_coverage(base: DataFrame, items: DataFrame) -> DataFrame:

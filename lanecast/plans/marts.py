@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
+from datetime import date, datetime
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,7 @@ from ..operators import calibration, lead_time, outcomes, star
 from ..session import delete_folder, freeze
 from ..settings import MARKETPLACE, Settings
 from ..sources import Sources
+from .snapshots import Snapshots
 
 
 class Marts:
@@ -227,21 +230,36 @@ class Marts:
         )
         return dict(zip(self.TABLES, frames, strict=True))
 
-    def publish(self, folder: str) -> None:
-        """Check the fact's grain, then write every table.
+    def publish(self, folder: str) -> int:
+        """Check the fact's grain, write every table, then switch readers over; the version.
 
         Tables with a purchase date are partitioned by its month; ``rebalance``
-        splits a month that holds most rows and merges the small ones.
+        splits a month that holds most rows and merges the small ones.  A run that
+        fails leaves the published set as it was.
         """
         star.require_integrity(self.segments, self.fact, "order_id")
+        snapshots = Snapshots(self.segments.sparkSession, folder)
+        run, schemas = snapshots.begin(), {}
         for name, df in self.tables().items():
-            target = f"{folder.rstrip('/')}/{name}"
+            target = snapshots.place(run, name)
             if "purchase_date" in df.columns:
                 df = df.withColumn("purchase_month", month_label("purchase_date"))
                 df = df.hint("rebalance", "purchase_month")
-                df.write.mode("overwrite").partitionBy("purchase_month").parquet(target)
+                df.write.partitionBy("purchase_month").parquet(target)
             else:
-                df.write.mode("overwrite").parquet(target)
+                df.write.parquet(target)
+            schemas[name] = df.schema
+        return snapshots.commit(run, schemas)
+
+    def before(self, cutoff: date) -> Marts:
+        """Marts of the orders bought before a date, whose scan skips the months after it.
+
+        With a store the tables are shared already, so the same marts are returned.
+        """
+        end = min(self.settings.window_end, datetime.combine(cutoff, datetime.min.time()))
+        if self.store is not None or end == self.settings.window_end:
+            return self
+        return Marts(self.sources, replace(self.settings, window_end=end))
 
 
 def geo_in_days(geo: DataFrame) -> DataFrame:
@@ -256,6 +274,12 @@ def geo_in_days(geo: DataFrame) -> DataFrame:
     )
 
 
-def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A saved table without its partition column."""
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}").drop("purchase_month")
+def read_table(
+    spark: SparkSession, folder: str, name: str, version: int | None = None
+) -> DataFrame:
+    """A published table without its partition column, by default of the newest version.
+
+    Readers of several tables that must fit together pass one version of
+    ``Snapshots(spark, folder).versions()`` to all of them.
+    """
+    return Snapshots(spark, folder).read(name, version).drop("purchase_month")

@@ -19,7 +19,7 @@ from ..functions import (
 )
 from ..operators import calibration as cal
 from ..operators import distribution as dist
-from ..operators import lead_time, outcomes, quality, star
+from ..operators import lead_time, outcomes, quality, selection, sketches, star
 from .marts import Marts, geo_in_days
 
 Report = Callable[[Marts], DataFrame]
@@ -340,16 +340,21 @@ def _history(m: Marts, orders: DataFrame) -> DataFrame:
     return orders.where(F.col("purchase_date") < F.lit(m.settings.train_end))
 
 
+def _trained(m: Marts) -> Marts:
+    """Marts whose scan ends with the training window."""
+    return m.before(m.settings.train_end)
+
+
 @report
 def lane_promise(m: Marts) -> DataFrame:
     s = m.settings
-    counted = cal.count_days(_history(m, m.fact), ["lane"])
+    counted = cal.count_days(_history(m, _trained(m).fact), ["lane"])
     return cal.calibrate(counted, ["lane"], s.quantiles, s.min_lane_orders)
 
 
 @report
 def state_promise(m: Marts) -> DataFrame:
-    placed = _history(m, m.fact_orders)
+    placed = _history(m, _trained(m).fact_orders)
     if "customer_state" not in placed.columns:
         placed = star.join_customers(placed, m.sources.customers, ["customer_state"])
     counted = cal.count_days(placed, ["customer_state"])
@@ -358,7 +363,7 @@ def state_promise(m: Marts) -> DataFrame:
 
 @report
 def national_promise(m: Marts) -> DataFrame:
-    counted = cal.count_days(_history(m, m.fact_orders), [])
+    counted = cal.count_days(_history(m, _trained(m).fact_orders), [])
     return cal.calibrate(counted, [], m.settings.quantiles)
 
 
@@ -588,3 +593,86 @@ def late_to_ontime_conversion(m: Marts) -> DataFrame:
         gap.alias("one_star_gap"),
         (F.col("converted_orders") * gap / 100).alias("one_star_reviews_avoided"),
     )
+
+
+@derived
+def order_value_quantiles(m: Marts) -> DataFrame:
+    """What late and on-time orders are worth: exact quantiles of a continuous amount."""
+    marks = {"median_value": 0.5, "p90_value": 0.9, "p95_value": 0.95, "p99_value": 0.99}
+    found = selection.exact_quantiles(m.valued, "order_value", marks, ["is_late"])
+    return found.withColumnsRenamed({"n": "n_orders", "mean": "mean_value"}).orderBy("is_late")
+
+
+@derived
+def lane_promise_sketched(m: Marts) -> DataFrame:
+    """Lane promises from mergeable daily sketches; lanes of up to ``SKETCH_SIZE`` orders are exact."""
+    s = m.settings
+    days = sketches.day_sketches(_history(m, _trained(m).fact), ["lane"])
+    return sketches.calibrate_sketched(days, ["lane"], s.quantiles, end=s.train_end, min_orders=s.min_lane_orders)
+
+
+@derived
+def lane_coverage_curve(m: Marts) -> DataFrame:
+    """``lane_threshold_coverage`` at every history that a lane has."""
+    return cal.threshold_coverage(m.fact, m.settings.train_end)
+
+
+@derived
+def variance_by_key_set(m: Marts) -> DataFrame:
+    """How much of the transit time's variance places and months explain, alone and together."""
+    placed = lead_time.trusted(m.fact).withColumn("purchase_month", F.date_format("purchase_date", "yyyy-MM"))
+    sets = {
+        "destination": ["customer_state"],
+        "origin": ["seller_state"],
+        "lane": ["lane"],
+        "destination_and_month": ["customer_state", "purchase_month"],
+    }
+    spread = dist.variance_explained(placed, "transit_hours", sets)
+    total = F.col("total_variance")
+    rows = [
+        F.struct(F.lit(name).alias("key_set"), F.col(f"within_{name}").alias("within")) for name in sets
+    ]
+    return spread.select("n_orders", total, F.inline(F.array(*rows))).select(
+        "key_set",
+        "n_orders",
+        (F.col("within") / 576).alias("within_variance"),
+        (100 * (1 - ratio(F.col("within"), total))).alias("pct_explained"),
+    ).orderBy("key_set")
+
+
+@derived
+def order_key_audit(m: Marts) -> DataFrame:
+    """Which orders the joins of the fact lost, doubled or fanned out, and how many."""
+    faults = star.integrity_keys(m.base, m.fact, "order_id", 5)
+    return faults.select("kind", "n_keys", "n_rows", F.concat_ws(",", F.col("keys").cast("array<string>")).alias("first_keys"))
+
+
+@derived
+def step_chain(m: Marts) -> DataFrame:
+    """Time between any two steps that follow each other, from order events with gaps."""
+    chain = {
+        "purchased": "purchased_at", "approved": "approved_at", "shipped": "shipped_at",
+        "promised": "promised_at", "delivered": "delivered_at",
+    }
+    hours = lead_time.chain_segments(lead_time.base_events(m.base, chain), list(chain), "hour")
+    return hours.groupBy("from_step", "to_step", "n_skipped").agg(
+        F.count("*").alias("n_orders"),
+        ratio(F.sum("length"), F.count("*")).alias("mean_hours"),
+        F.min("length").alias("min_hours"),
+        F.max("length").alias("max_hours"),
+    )
+
+
+@derived
+def repeat_by_frame(m: Marts) -> DataFrame:
+    """``repeat_within_90d`` by a range frame, without joining people to their orders."""
+    s, src, person = m.settings, m.sources, "customer_unique_id"
+    people = outcomes.with_person(m.fact_orders, src.customers)
+    followups = outcomes.followup_by_frame(
+        outcomes.first_orders(people, person),
+        outcomes.order_days(src.order_headers, src.customers, person),
+        person,
+        s.repeat_days,
+        s.repeat_until,
+    )
+    return outcomes.repeat_rate(followups, "pct_repeat_90d")
