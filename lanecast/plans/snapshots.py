@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -64,10 +65,10 @@ class Snapshots:
     def place(self, run: str, table: str) -> str:
         return f"{self.folder}/data/{run}/{table}"
 
-    def commit(self, run: str, tables: dict[str, StructType]) -> int:
+    def commit(self, run: str, tables: dict[str, StructType], extra: dict | None = None) -> int:
         """Make a run's tables the newest version; its number.
 
-        Publishers that commit at once get different numbers.
+        Publishers that commit at once get different numbers.  ``extra`` is kept in the manifest.
         """
         draft = self._path(f"{self.folder}/versions/.{run}")
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), self._conf)
@@ -76,7 +77,8 @@ class Snapshots:
         version = (self.versions() or [0])[-1]
         while True:
             version += 1
-            body = {"version": version, "run": run, "tables": {n: s.json() for n, s in tables.items()}}
+            schemas = {n: s.json() for n, s in tables.items()}
+            body = {"version": version, "run": run, "tables": schemas, "extra": extra or {}}
             stream = self._files.create(draft, True)
             try:
                 stream.write(json.dumps(body).encode())
@@ -95,31 +97,41 @@ class Snapshots:
     def read(self, table: str, version: int | None = None) -> DataFrame:
         """A table of one version, by default of the newest."""
         found = self.manifest(version)
-        if table not in found["tables"]:
-            raise KeyError(f"version {found['version']} has no table {table}")
-        schema = StructType.fromJson(json.loads(found["tables"][table]))
-        return self.spark.read.schema(schema).parquet(self.place(found["run"], table))
-
-    def expire(self, keep: int = 2, unfinished_hours: float = 24.0) -> list[str]:
+        return self.spark.read.schema(self.schema(table, found)).parquet(self.place(found["run"], table))
+
+    @staticmethod
+    def schema(table: str, manifest: dict) -> StructType:
+        if table not in manifest["tables"]:
+            raise KeyError(f"version {manifest['version']} has no table {table}")
+        return StructType.fromJson(json.loads(manifest["tables"][table]))
+
+    def expire(
+        self,
+        keep: int = 2,
+        unfinished_hours: float = 24.0,
+        needed: Callable[[dict], set[str]] = lambda manifest: set(),
+    ) -> list[str]:
         """Forget all but the newest ``keep`` versions; the runs whose files were deleted.
 
         Manifests go first, so no reader resolves a set that is being deleted.  Runs that no
         manifest names are deleted once they are older than ``unfinished_hours``, as a younger
-        one may still be written.
+        one may still be written.  ``needed`` names further runs that a manifest builds on.
         """
         if keep < 1:
             raise ValueError("the newest version must be kept")
-        found = {v: self.manifest(v)["run"] for v in self.versions()}
-        old = dict(sorted(found.items())[:-keep])
+        manifests = {v: self.manifest(v) for v in self.versions()}
+        runs = {v: {m["run"], *needed(m)} for v, m in manifests.items()}
+        old = sorted(manifests)[:-keep]
         for version in old:
             self._files.delete(self._path(self._manifest_path(version)), False)
-        kept = {run for version, run in found.items() if version not in old}
+        kept = set().union(*[r for v, r in runs.items() if v not in old])
+        released = set().union(*[runs[v] for v in old]) - kept
         gone = []
         for status in self._list("data"):
             run = status.getPath().getName()
             started = run.partition("-")[0]
             age = time.time() - int(started) if started.isdigit() else float("inf")
-            if run not in kept and (run in old.values() or age >= 3600 * unfinished_hours):
+            if run not in kept and (run in released or age >= 3600 * unfinished_hours):
                 self._files.delete(status.getPath(), True)
                 gone.append(run)
         return sorted(gone)
