@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import freeze
@@ -29,10 +32,36 @@ def importable(spark: SparkSession) -> None:
             spark.sparkContext.environment["PYTHONPATH"] = joined
 
 
+def release_memory() -> None:
+    """Give what a Python worker no longer uses back to the system.
+
+    Workers are reused from stage to stage; what allocators keep of one stage would
+    count against the next.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def releasing(run):
+    """``run``, a function of batches, that gives memory back when its task ends."""
+
+    def released(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return released
+
+
 def dealt_evenly(df: DataFrame, rows_per_task: int) -> DataFrame:
     """A written table in enough tasks for rows that expand; counting it reads only footers."""
     tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows_per_task))
     return df.repartition(tasks)
 
 
-__all__ = ["dealt_evenly", "freeze", "importable", "table"]
+__all__ = ["dealt_evenly", "freeze", "importable", "release_memory", "releasing", "table"]
