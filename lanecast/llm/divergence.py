@@ -10,10 +10,12 @@ terms by slot and a look-up compares them.
 Second pass: shards are broadcast in chunks of bounded bytes, each holding neighbouring
 shards of few languages; a chunk's pass reads the texts of those languages only and adds
 up occurrences in one dense vector of slots per group (language, source).  Vectors are
-passed on as their non-zero slots when a bound of cells is reached.
+passed on when a bound of cells is reached, in ranges of slots: a row holds a group's
+non-zero slots of one range.  Rows of a group and range are added up in one vector.
 
 Shares are whole numbers, so no figure depends on the order of addition.  Pairs of
-sources are compared in tiles: a range of slots by two blocks of sources.
+sources are compared in tiles: a range of slots by two blocks of sources.  A group's terms
+are ranked range by range, and the first of every range once more.
 """
 
 from __future__ import annotations
@@ -298,14 +300,20 @@ def _recount(shipped):
         def passed_on():
             for (lang, source), vector in vectors.items():
                 at = np.flatnonzero(vector)
+                slots, counts = lexicons[lang].slots[at], vector[at]
+                part = slots // SLOT_RANGE
+                cuts = np.flatnonzero(np.diff(part)) + 1
+                parts = part[np.append(0, cuts)] if len(part) else part
+                inside = (slots - part * SLOT_RANGE).astype("<u2")
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([lang] * len(at), pa.string()),
-                        pa.array([source] * len(at), pa.string()),
-                        pa.array(lexicons[lang].slots[at]),
-                        pa.array(vector[at]),
+                        pa.array([lang] * len(parts), pa.string()),
+                        pa.array([source] * len(parts), pa.string()),
+                        pa.array(parts.astype(np.int32), pa.int32()),
+                        pa.array([x.tobytes() for x in np.split(inside, cuts)][: len(parts)], pa.binary()),
+                        pa.array([x.tobytes() for x in np.split(counts, cuts)][: len(parts)], pa.binary()),
                     ],
-                    ["lang", "source", "slot", "n"],
+                    ["lang", "source", "range", "slots", "counts"],
                 )
 
         def add(found: dict[tuple[str, str], Counter]) -> None:
@@ -350,8 +358,58 @@ def _recount(shipped):
     return run
 
 
+_CELLS = "lang string, source string, range int, slots binary, counts binary, n long"
+_ARROW_CELLS = pa.schema(
+    [
+        ("lang", pa.string()), ("source", pa.string()), ("range", pa.int32()),
+        ("slots", pa.binary()), ("counts", pa.binary()), ("n", pa.int64()),
+    ]
+)
+
+
+def _vector(slots: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(slots, "<u2"), np.frombuffer(counts, "<i8")
+
+
+def _add_up(keys: tuple[str, ...]):
+    """Rows sorted by ``keys``, added up: one row per key with its non-zero slots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, total, out = None, np.zeros(SLOT_RANGE, np.int64), []
+
+        def finished():
+            at = np.flatnonzero(total)
+            row = dict(zip(keys, own)) | {"slots": at.astype("<u2").tobytes()}
+            return row | {"counts": total[at].tobytes(), "n": int(total.sum())}
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in (*keys, "slots", "counts")]
+            for *key, slots, counts in zip(*columns):
+                if key != own:
+                    if own is not None:
+                        out.append(finished())
+                    own = key
+                    total[:] = 0
+                at, n = _vector(slots, counts)
+                total[at] += n  # slots of a row are different
+            if len(out) > 1000:
+                yield pa.RecordBatch.from_pylist(out, schema=_ARROW_CELLS)
+                out = []
+        if own is not None:
+            out.append(finished())
+        yield pa.RecordBatch.from_pylist(out, schema=_ARROW_CELLS)
+
+    return run
+
+
+def added_up(cells: DataFrame, *keys: str) -> DataFrame:
+    """The cells of each key summed; ``source`` is null where it is not a key."""
+    dealt = cells.repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.select(*keys, "slots", "counts").mapInArrow(_add_up(keys), _CELLS)
+
+
 def recounted(docs: DataFrame, shards: DataFrame) -> DataFrame:
-    """(lang, source, slot, n) for every group's kept terms with occurrences."""
+    """(lang, source, range, slots, counts, n): every group's occurrences of kept terms."""
     spark = docs.sparkSession
     last = shards.agg(F.max("chunk")).first()[0]
     parts = []
@@ -364,44 +422,73 @@ def recounted(docs: DataFrame, shards: DataFrame) -> DataFrame:
         # Tasks skip other languages; a short list of them keeps their texts in the scan.
         own = docs.where(F.col("lang").isin(langs)) if len(langs) <= LISTED_LANGS else docs
         found = own.mapInArrow(
-            _recount(shipped), "lang string, source string, slot long, n long"
+            _recount(shipped), "lang string, source string, range int, slots binary, counts binary"
         )
-        summed = found.groupBy("lang", "source", "slot").agg(F.sum("n").alias("n"))
-        parts.append(freeze(summed, f"recount-{chunk}"))
+        parts.append(freeze(added_up(found, "lang", "source", "range"), f"recount-{chunk}"))
         shipped.unpersist()
     if not parts:
-        return spark.createDataFrame([], "lang string, source string, slot long, n long")
+        return spark.createDataFrame([], _CELLS)
     out = parts[0]
     for part in parts[1:]:
         out = out.union(part)
-    return out
+    # A range that two chunks share has a row from each.
+    return out if len(parts) == 1 else freeze(added_up(out, "lang", "source", "range"), "recounted")
 
 
-def _slot_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _range_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The stored terms by range of slots; a shard may begin and end inside a range."""
     for batch in batches:
         for row in batch.to_pylist():
             own = Shard(row, 0)
+            first = row["base"]
+            cuts = [first, *range((first // SLOT_RANGE + 1) * SLOT_RANGE, first + own.n, SLOT_RANGE), first + own.n]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([row["lang"]] * own.n, pa.string()),
-                    pa.array(row["base"] + np.arange(own.n)),
-                    pa.array([t.decode() for t in own.terms], pa.string()),
+                    pa.array([row["lang"]] * (len(cuts) - 1), pa.string()),
+                    pa.array([a // SLOT_RANGE for a in cuts[:-1]], pa.int32()),
+                    pa.array([a % SLOT_RANGE for a in cuts[:-1]], pa.int32()),
+                    pa.array([own.terms[a - first : b - first] for a, b in zip(cuts, cuts[1:])], pa.list_(pa.binary())),
                 ],
-                ["lang", "slot", "term"],
+                ["lang", "range", "at", "terms"],
             )
 
 
-# --- shares and their comparison --------------------------------------------------------
+def _risen(top_terms: int):
+    """Per row (a group's range) the terms whose share most exceeds the language's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[dict] = []
+            for row in batch.to_pylist():
+                at, counts = _vector(row["slots"], row["counts"])
+                every = np.zeros(SLOT_RANGE, np.int64)
+                where, n = _vector(row["all_slots"], row["all_counts"])
+                every[where] = n
+                p, q = shares(counts, row["n_all"], row["v"]), shares(every[at], row["n_lang"], row["v"])
+                value = (p - q) * (p - q) // (p + q)
+                more = np.flatnonzero(p > q)
+                if len(more) > top_terms:  # ties with the last one stay in
+                    least = np.partition(value[more], -top_terms)[-top_terms]
+                    more = more[value[more] >= least]
+                named = sorted((-int(value[k]), row["terms"][at[k]]) for k in more)[:top_terms]
+                own = {"lang": row["lang"], "source": row["source"]}
+                out += [own | {"item": term.decode(), "value": -less} for less, term in named]
+            yield pa.RecordBatch.from_pylist(out, schema=_ARROW_RISEN)
+
+    return run
 
 
-def share(count: Column, total: Column, v: Column) -> Column:
-    """1 + floor(10^9 * (count + 2) / (total + 2 v)), exact."""
-    whole = F.lit(1_000_000_000).cast("decimal(10,0)") * (count + 2).cast("decimal(19,0)")
-    return 1 + F.call_function("div", whole, (total + 2 * v).cast("decimal(19,0)"))
+_RISEN = "lang string, source string, item string, value long"
+_ARROW_RISEN = pa.schema(
+    [("lang", pa.string()), ("source", pa.string()), ("item", pa.string()), ("value", pa.int64())]
+)
+
+
+# --- shares and their comparison --------------------------------------------------------
 
 
 def shares(counts: np.ndarray, total: int, v: int) -> np.ndarray:
-    """``share`` of whole numbers, by long division so that nothing overflows."""
+    """1 + floor(10^9 * (count + 2) / (total + 2 v)), by long division so that nothing overflows."""
     n, out, rest = total + 2 * v, np.zeros(len(counts), np.int64), counts.astype(np.int64) + 2
     for _ in range(3):
         out = out * 1000 + rest * 1000 // n
@@ -411,14 +498,15 @@ def shares(counts: np.ndarray, total: int, v: int) -> np.ndarray:
 
 def _tile(group: pa.Table) -> pa.Table:
     """Summed differences of the sources of two blocks over a range of slots."""
-    rows = group.select(["source", "side", "n_all", "v", "first", "slots", "counts"]).to_pylist()
+    rows = group.select(["source", "side", "n_all", "v", "range", "slots", "counts"]).to_pylist()
     a, b = group["block_a"][0].as_py(), group["block_b"][0].as_py()
     lang = group["lang"][0].as_py()
-    width = max(0, min(SLOT_RANGE, rows[0]["v"] - rows[0]["first"]))
+    width = max(0, min(SLOT_RANGE, rows[0]["v"] - rows[0]["range"] * SLOT_RANGE))
     p = np.ones((len(rows), width), np.int64)
     for k, row in enumerate(rows):
         counts = np.zeros(width, np.int64)
-        counts[np.array(row["slots"] or [], np.int64) - row["first"]] = row["counts"] or []
+        at, n = _vector(row["slots"] or b"", row["counts"] or b"")
+        counts[at] = n
         if width:
             p[k] = shares(counts, row["n_all"], row["v"])
     side = np.array([r["side"] for r in rows])
@@ -443,7 +531,7 @@ def _tile(group: pa.Table) -> pa.Table:
     )
 
 
-def _pairs(groups: DataFrame, counted: DataFrame) -> DataFrame:
+def _pairs(groups: DataFrame, cells: DataFrame) -> DataFrame:
     """(lang, source, item, value) for all ordered pairs of sources of a language."""
     in_lang = Window.partitionBy("lang")
     blocks = F.ceil(F.count("*").over(in_lang) / F.lit(float(SOURCE_BLOCK))).cast("int")
@@ -454,18 +542,13 @@ def _pairs(groups: DataFrame, counted: DataFrame) -> DataFrame:
         F.floor(number / F.lit(float(SOURCE_BLOCK))).cast("int").alias("side"),
         F.explode(F.sequence(F.lit(0), ranges.cast("int") - 1)).alias("range"),
     )
-    cells = counted.groupBy(
-        "lang", "source", F.floor(F.col("slot") / F.lit(float(SLOT_RANGE))).cast("int").alias("range")
-    ).agg(F.collect_list(F.struct("slot", "n")).alias("cells"))
     dealt = (
-        placed.join(cells, ["lang", "source", "range"], "left")
+        placed.join(cells.drop("n"), ["lang", "source", "range"], "left")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
             "lang", "range",
             F.least("side", "other").alias("block_a"), F.greatest("side", "other").alias("block_b"),
-            "source", "side", "n_all", "v",
-            (F.col("range").cast("long") * SLOT_RANGE).alias("first"),
-            F.col("cells.slot").alias("slots"), F.col("cells.n").alias("counts"),
+            "source", "side", "n_all", "v", "slots", "counts",
         )
     )
     compared = dealt.groupBy("lang", "range", "block_a", "block_b").applyInArrow(
@@ -506,9 +589,9 @@ def source_divergence(
     )
     kept = freeze(kept_terms(own, min_docs), "kept-terms")
     shards = shards_of(kept.select("lang", "term"))
-    counted = recounted(own, shards)
+    cells = recounted(own, shards)
     sizes = shards.groupBy("lang").agg(F.sum(F.col("n").cast("long")).alias("v"))
-    totals = counted.groupBy("lang", "source").agg(F.sum("n").alias("n_all"))
+    totals = cells.groupBy("lang", "source").agg(F.sum("n").alias("n_all"))
     zero = F.lit(0).cast("long")
     groups = (
         own.groupBy("lang", "source").agg(F.lit(1).alias("one"))
@@ -520,24 +603,24 @@ def source_divergence(
         )
     )
     groups = freeze(groups, "groups")
-    pairs = _pairs(groups, counted)
+    pairs = _pairs(groups, cells)
 
     whole = groups.groupBy("lang").agg(F.sum("n_all").alias("n_lang"))
-    everywhere = counted.groupBy("lang", "slot").agg(F.sum("n").alias("n_everywhere"))
-    named = shards.select("lang", "base", "seed", "n", "displacements", "lengths", "terms").mapInArrow(
-        _slot_terms, "lang string, slot long, term string"
+    everywhere = added_up(cells, "lang", "range").select(
+        "lang", "range", F.col("slots").alias("all_slots"), F.col("counts").alias("all_counts")
+    )
+    pieces = shards.select("lang", "base", "seed", "n", "displacements", "lengths", "terms").mapInArrow(
+        _range_terms, "lang string, range int, at int, terms array<binary>"
     )
-    p = share(F.col("n"), F.col("n_all"), F.col("v"))
-    q = share(F.col("n_everywhere"), F.col("n_lang"), F.col("v"))
-    value = F.call_function("div", (F.col("p") - F.col("q")) * (F.col("p") - F.col("q")), F.col("p") + F.col("q"))
+    listed = F.sort_array(F.collect_list(F.struct("at", "terms")))  # a range's terms at most
+    named = pieces.groupBy("lang", "range").agg(F.flatten(F.transform(listed, lambda x: x["terms"])).alias("terms"))
     risen = (
-        counted.join(everywhere, ["lang", "slot"])
+        cells.drop("n")
         .join(groups, ["lang", "source"])
         .join(whole, "lang")
-        .select("lang", "source", "slot", p.alias("p"), q.alias("q"))
-        .where("p > q")
-        .join(named, ["lang", "slot"])
-        .select("lang", "source", F.col("term").alias("item"), value.cast("long").alias("value"))
+        .join(everywhere, ["lang", "range"])
+        .join(named, ["lang", "range"])
+        .mapInArrow(_risen(top_terms), _RISEN)
     )
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
 
