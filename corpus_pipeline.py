@@ -60,23 +60,24 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
     copies = mix(docs).where("copies > 0").select("doc_id", "size", "source", "nth", "copies")
+    # Helper columns have names of their own, whatever the documents' columns are called.
+    mark = uuid.uuid4().hex
+    copies = copies.select([F.col(c).alias(f"{c}_{mark}") for c in copies.columns])
+    words, number = f"words_{mark}", f"number_{mark}"
     # Rows of equal id, size and source are told apart by their number among each other.
-    taken = [F.col(c).alias(f"taken_{c}") for c in copies.columns]
-    numbered = docs.withColumn("taken_words", word_count(F.col("text")))
     alike = (
-        F.col("doc_id").eqNullSafe(F.col("taken_doc_id"))
-        & (F.col("taken_words") == F.col("taken_size"))
-        & F.col("source").eqNullSafe(F.col("taken_source"))
-        & (F.col("taken_number") == F.col("taken_nth"))
+        F.col("doc_id").eqNullSafe(F.col(f"doc_id_{mark}"))
+        & (F.col(words) == F.col(f"size_{mark}"))
+        & F.col("source").eqNullSafe(F.col(f"source_{mark}"))
+        & (F.col(number) == F.col(f"nth_{mark}"))
     )
     window = F.row_number().over(
-        Window.partitionBy("doc_id", "taken_words", "source").orderBy(F.xxhash64("text"))
+        Window.partitionBy("doc_id", words, "source").orderBy(F.xxhash64("text"))
     )
-    joined = numbered.withColumn("taken_number", window.cast("long")).join(
-        copies.select(taken), alike
-    )
-    repeats = F.explode(F.sequence(F.lit(1), F.col("taken_copies")))
-    return joined.withColumn("taken_copy", repeats).select(docs.columns)
+    numbered = docs.withColumn(words, word_count(F.col("text")))
+    joined = numbered.withColumn(number, window.cast("long")).join(copies, alike)
+    repeats = F.explode(F.sequence(F.lit(1), F.col(f"copies_{mark}")))
+    return joined.withColumn(f"copy_{mark}", repeats).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def write_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
