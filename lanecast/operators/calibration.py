@@ -7,6 +7,7 @@ which also takes the weight off any hot lane; everything after works on cells.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from datetime import date
 from decimal import Decimal
@@ -79,8 +80,9 @@ def threshold_coverage(
     if thresholds is None:
         asked = sizes.select(F.col("n_train").alias("min_orders"))
     else:
-        spark = fact.sparkSession
-        asked = spark.createDataFrame([(int(t),) for t in sorted(set(thresholds))], "min_orders long")
+        # One literal, however long the list.
+        listed = F.from_json(F.lit(json.dumps(sorted({int(t) for t in thresholds}))), "array<bigint>")
+        asked = fact.sparkSession.range(1).select(F.explode(listed).alias("min_orders"))
     none = F.lit(0).cast("long")
     marks = sizes.select(
         F.lit(None).cast("long").alias("min_orders"), F.col("n_train").alias("size"), "lanes", "served", "all_test"

@@ -16,6 +16,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, IntegralType
 from pyspark.sql.window import Window
 
 from ..session import freeze
@@ -59,8 +60,11 @@ def _brackets(rows: DataFrame, keys: Sequence[str], fractions: Sequence[float],
         )
 
     wanted = F.array(*[bracket(i, f) for i, f in enumerate(fractions)])
+    mean = F.avg("_value")
+    if "_whole" in rows.columns:  # exact sums don't depend on the order of addition
+        mean = F.sum("_whole").cast("double") / F.count("*")
     grouped = rows.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg("_value").alias("mean"), summary.alias("_marks")
+        F.count("*").alias("n"), mean.alias("mean"), summary.alias("_marks")
     )
     return grouped.select(*keys, "n", "mean", wanted.alias("_wanted"))
 
@@ -107,7 +111,8 @@ def exact_quantiles(
     """Per group: ``n``, ``mean`` and the named interpolated quantiles of a numeric column.
 
     Quantiles are those of ``QUANTILE_CONT``: position ``f * (n - 1)``, interpolated between
-    its neighbours, in double precision.  NULL values do not count; groups without other
+    its neighbours, in double precision; the mean of decimals and whole numbers comes from
+    an exact sum.  NULL values do not count; groups without other
     values are left out.  NULL keys are a group.  NaN is the largest value.  The input
     is read twice, and what moves is a summary per group and task and the values in the
     brackets, about ``2 * MARGIN / accuracy`` of a group per fraction.
@@ -118,7 +123,9 @@ def exact_quantiles(
     groups = [f"_key_{i}" for i in range(max(1, len(keys)))]
     own = [F.col(f"`{k}`") for k in keys] or [F.lit(0)]
     value = F.col(f"`{measure}`").cast("double")
-    rows = df.select(*[c.alias(g) for c, g in zip(own, groups)], value.alias("_value"))
+    kind = df.select(F.col(f"`{measure}`")).schema[0].dataType
+    whole = [F.col(f"`{measure}`").alias("_whole")] if isinstance(kind, (DecimalType, IntegralType)) else []
+    rows = df.select(*[c.alias(g) for c, g in zip(own, groups)], value.alias("_value"), *whole)
     rows = rows.where(F.col("_value").isNotNull())
     if accuracy is None:
         accuracy = accuracy_for(rows.count())
@@ -130,8 +137,8 @@ def exact_quantiles(
         again = brackets.join(lost, _same(brackets, lost, groups), "inner").select(
             *[brackets[g] for g in groups], F.col("_wanted")[F.col("_i")].alias("w")
         )
-        kind = brackets.schema["_wanted"].dataType.elementType["low"].dataType
-        whole = F.col("w").withField("low", F.lit(None).cast(kind)).withField("high", F.lit(None).cast(kind))
+        end = brackets.schema["_wanted"].dataType.elementType["low"].dataType
+        whole = F.col("w").withField("low", F.lit(None).cast(end)).withField("high", F.lit(None).cast(end))
         again = again.groupBy(*groups).agg(F.collect_list(whole).alias("_wanted"))
         found = found.where("low_value IS NOT NULL AND high_value IS NOT NULL").union(
             _read_off(rows, again, groups, "again")
