@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import importable
+from .tables import importable, releasing
 
 WORDS = re.compile(r"[^\W_]+")
 
@@ -537,6 +537,6 @@ def contaminated(
     found = None
     for items in item_chunks(benchmark, item_column, item_text_column):
         shared = spark.sparkContext.broadcast(Chunk(items, share, recall))
-        part = named.mapInArrow(_match(shared, _arrow(kinds[0]), _arrow(kinds[1])), schema)
+        part = named.mapInArrow(releasing(_match(shared, _arrow(kinds[0]), _arrow(kinds[1]))), schema)
         found = part if found is None else found.unionByName(part)
     return spark.createDataFrame([], schema) if found is None else found

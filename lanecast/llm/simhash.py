@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .blocks import close_pairs, forest, paired_blocks, shared_keys, whole_groups
 from .components import connected_components
-from .tables import dealt_evenly, freeze, importable
+from .tables import dealt_evenly, freeze, importable, release_memory, releasing
 
 # The contract's shingles and distance, the hash's seed, the code.
 SHINGLE_WORDS = 4
@@ -68,10 +68,13 @@ def simhash(column: str, shingle_words: int = SHINGLE_WORDS):
     """The fingerprint as a column (long); whole texts, null like empty."""
 
     @F.pandas_udf("long")
-    def of_texts(texts: pd.Series) -> pd.Series:
-        return pd.Series(
-            np.fromiter((fingerprint(t, shingle_words) for t in texts), np.int64, len(texts))
-        )
+    def of_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            for texts in batches:
+                found = (fingerprint(t, shingle_words) for t in texts)
+                yield pd.Series(np.fromiter(found, np.int64, len(texts)))
+        finally:
+            release_memory()
 
     return of_texts(F.col(column).cast("string"))
 
@@ -81,7 +84,7 @@ def codewords() -> np.ndarray:
     """For every 23-bit word, the 12-bit index of the nearest Golay codeword."""
 
     def syndrome(words: np.ndarray) -> np.ndarray:
-        rest = words.astype(np.int64)
+        rest = words.astype(np.int32)
         for bit in range(22, 10, -1):
             rest ^= np.where(rest >> bit & 1, GENERATOR << (bit - 11), 0)
         return rest
@@ -92,13 +95,13 @@ def codewords() -> np.ndarray:
         for b in range(a):
             flips.append(1 << a | 1 << b)
             flips.extend(1 << a | 1 << b | 1 << c for c in range(b))
-    errors = np.zeros(2048, dtype=np.int64)
+    errors = np.zeros(2048, dtype=np.int32)
     errors[syndrome(np.array(flips))] = flips
-    each = syndrome(1 << np.arange(23))
-    syndromes = np.zeros(1, dtype=np.int64)
+    each = syndrome(1 << np.arange(23, dtype=np.int32))
+    syndromes = np.zeros(1, dtype=np.int32)
     for bit in range(23):  # the syndrome is linear: double the table bit by bit
         syndromes = np.concatenate([syndromes, syndromes ^ each[bit]])
-    nearest = np.arange(1 << 23) ^ errors[syndromes]
+    nearest = np.arange(1 << 23, dtype=np.int32) ^ errors[syndromes]
     return (nearest >> 11).astype(np.uint16)
 
 
@@ -173,10 +176,10 @@ def fingerprint_links(fingerprints: DataFrame, max_bits: int = MAX_BITS) -> Data
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError("the keys are complete for at most 4 differing bits")
     spread = dealt_evenly(fingerprints.select("fp"), FINGERPRINTS_PER_TASK)
-    keyed = spread.mapInArrow(_emit_keys, "key long, fp long")
+    keyed = spread.mapInArrow(releasing(_emit_keys), "key long, fp long")
     dealt = paired_blocks(shared_keys(keyed), "fp")
     dealt = dealt.select("key", "block_a", "block_b", "side", "fp")
-    return dealt.mapInArrow(_compare(max_bits), "a long, b long")
+    return dealt.mapInArrow(releasing(_compare(max_bits)), "a long, b long")
 
 
 def simhash_components(

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import importable
+from .tables import importable, release_memory
 
 WORDS = re.compile(r"[^\W_]+")
 
@@ -480,7 +480,11 @@ def toxicity(text: Column, model: Model, spark) -> Column:
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def of_texts(texts: pd.Series) -> pd.Series:
-        return pd.Series(score_texts(texts.tolist(), shared.value), dtype="float64")
+    def of_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            for texts in batches:
+                yield pd.Series(score_texts(texts.tolist(), shared.value), dtype="float64")
+        finally:
+            release_memory()
 
     return of_texts(text.cast("string"))

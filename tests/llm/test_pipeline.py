@@ -111,3 +111,19 @@ def test_no_rows(spark, folder, tmp_path):
         stage(spark, docs, folder).write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
         assert docs.count() == 0
+
+
+def test_columns_named_like_helpers_pass_through_the_mix(spark):
+    rows = [(k, edge.prose(20 + k % 5, k), "en", "ab"[k % 2], 0, 7, 8, 9, 10, 11) for k in range(40)]
+    rows += [(None, edge.prose(12, 3), "en", "a", 0, 7, 8, 9, 10, 11)] * 30  # null ids of one size
+    schema = (
+        "doc_id long, text string, lang string, source string, n_chars long, taken_words long, "
+        "taken_size long, taken_copies long, taken_copy long, `taken.number` long"
+    )
+    docs = spark.createDataFrame(rows, schema)
+    found = C.mix_sources(spark, docs, "")
+    assert found.columns == docs.columns
+    got = found.collect()
+    assert len(got) >= 40 and {tuple(r)[5:] for r in got} == {(7, 8, 9, 10, 11)}
+    known = {tuple(r) for r in rows}
+    assert all(tuple(r) in known for r in got)
