@@ -8,6 +8,11 @@ confidence are pruned, and so is a rule that a part of it makes as sure.  A URL
 fixed rule gets the verdict of the surest mined rule whose tokens it all has; without
 any, the default.
 
+FP-growth lists every frequent combination, so tokens that say the same are folded first:
+those that stand in exactly the same labelled URLs (the segments of one long path) are one
+item, which any of them brings; and a token that always goes with one verdict is a rule by
+itself, of which no combination can be surer.  Rules have no bound on their length.
+
 Mined rules are found by an inverted index on each rule's least frequent token: a URL
 meets only rules whose rarest token it has, then the whole rule is checked.  Equal token
 sets are matched once, so a hot host costs as much as a rare one.
@@ -15,8 +20,10 @@ sets are matched once, so a hot host costs as much as a rare one.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import freeze
@@ -33,7 +40,6 @@ DEFAULT = "allow"
 
 MIN_SUPPORT = 0.002  # of the labelled URLs
 MIN_CONFIDENCE = 0.9
-MOST_TOKENS = 3  # of a mined rule
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_HOST = ""
 
@@ -84,20 +90,68 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.when(host != NO_HOST, F.sort_array(F.array_distinct(tokens)))
 
 
+def fold_tokens(labelled: DataFrame, min_support: float = MIN_SUPPORT) -> DataFrame:
+    """(token, item, sure, verdict, support) of tokens that may be in a rule, from rows (tokens, verdict).
+
+    Such a token has ``min_support`` of all rows with one verdict, so there are at most the
+    tokens of a mean row divided by ``min_support`` of them.  ``item`` is the least token of
+    those in exactly the same token sets (compared by two 64-bit sums and the count of rows);
+    ``sure`` tells that all its rows have the same verdict.
+    """
+    total = labelled.count()
+    least = math.ceil(min_support * total)
+    sets = labelled.groupBy("tokens", "verdict").agg(F.count("*").alias("n"))
+    wide = "decimal(20,0)"  # sums of 64-bit numbers don't overflow
+    marks = [F.xxhash64("verdict", "tokens").cast(wide), F.xxhash64(F.lit(1), "tokens", "verdict").cast(wide)]
+    tokens = sets.select("verdict", "n", *(m.alias(f"m{k}") for k, m in enumerate(marks)), F.explode("tokens").alias("token"))
+    tokens = tokens.groupBy("token", "verdict").agg(
+        F.sum("n").alias("n"), F.sum("m0").alias("m0"), F.sum("m1").alias("m1")
+    )
+    tokens = tokens.groupBy("token").agg(
+        F.sum("n").alias("all"),
+        F.max(F.struct("n", "verdict")).alias("most"),
+        F.sum("m0").alias("m0"),
+        F.sum("m1").alias("m1"),
+    )
+    # A group holds tokens of one URL, as all of them stand in the same ones.
+    alike = Window.partitionBy("m0", "m1", "all")
+    return tokens.where(F.col("most.n") >= least).select(
+        "token",
+        F.min("token").over(alike).alias("item"),
+        (F.col("most.n") == F.col("all")).alias("sure"),
+        F.col("most.verdict").alias("verdict"),
+        (F.col("most.n") / F.lit(float(total))).alias("support"),
+    )
+
+
+def as_items(token_sets: DataFrame, folded: DataFrame) -> DataFrame:
+    """(tokens, items) of distinct token sets: the sorted items its tokens bring; none without any."""
+    found = token_sets.select("tokens", F.explode("tokens").alias("token")).join(
+        folded.select("token", "item"), "token"
+    )
+    return found.groupBy("tokens").agg(F.sort_array(F.collect_set("item")).alias("items"))
+
+
 def mine_rules(
     labelled: DataFrame,
     min_support: float = MIN_SUPPORT,
     min_confidence: float = MIN_CONFIDENCE,
-    most_tokens: int = MOST_TOKENS,
+    folded: DataFrame | None = None,
 ) -> DataFrame:
     """(tokens, verdict, confidence, support) from rows (tokens, verdict).
 
     FP-growth runs over all rows.  Rules are pruned by support and confidence; a rule
-    that has a part with the same verdict and no less confidence is dropped.
+    that has a part with the same verdict and no less confidence is dropped.  ``tokens``
+    are items of ``fold_tokens``; rules of the other tokens of an item are the same.
     """
-    marked = labelled.select(
-        F.array_append("tokens", F.concat(F.lit("verdict:"), F.col("verdict"))).alias("items")
+    folded = freeze(fold_tokens(labelled, min_support), "url-items") if folded is None else folded
+    sure = folded.where("sure AND token = item").select(
+        F.array("item").alias("tokens"), "verdict", F.lit(1.0).alias("confidence"), "support"
     )
+    items = as_items(labelled.select("tokens").distinct(), folded.where("NOT sure"))
+    verdict = F.array(F.concat(F.lit("verdict:"), F.col("verdict")))
+    marked = labelled.join(items.withColumnRenamed("tokens", "own"), F.col("tokens") == F.col("own"), "left")
+    marked = freeze(marked.select(F.concat(F.coalesce("items", F.array()), verdict).alias("items")), "marked-urls")
     tasks = labelled.sparkSession.sparkContext.defaultParallelism
     model = FPGrowth(
         itemsCol="items", minSupport=min_support, minConfidence=min_confidence, numPartitions=tasks
@@ -110,10 +164,9 @@ def mine_rules(
     )
     rules = rules.where(
         F.col("item").startswith("verdict:")
-        & (F.size("tokens") <= most_tokens)
         & ~F.exists("tokens", lambda t: t.startswith("verdict:"))
-    ).select("tokens", F.substring("item", len("verdict:") + 1, 100).alias("verdict"), "confidence", "support")
-    rules = freeze(rules, "mined-rules")
+    ).select("tokens", F.expr(f"substring(item, {len('verdict:') + 1})").alias("verdict"), "confidence", "support")
+    rules = freeze(rules.unionByName(sure), "mined-rules")
     # Parts of a rule with one token less; shorter ones follow step by step.
     parts = rules.select(
         F.col("tokens").alias("whole"), "verdict", F.col("confidence").alias("own"),
@@ -168,7 +221,7 @@ def judge_urls(
     default.  A null URL, or one without ``://``, has empty host and path, and gets the
     default; so do all URLs that no rule covers, and all if the fixed rules label
     nothing to learn from.  Repeated rows and null ids are judged row by row.  No rows
-    give none.
+    give none.  Other columns of ``pages``, whatever their names, are not read.
     """
     own = pages.select(F.col(id_column).alias("id"), F.col(url_column).cast("string").alias("url"))
     own = own.select("id", "url", *(c.alias(n) for c, n in zip(host_and_path(F.col("url")), ("host", "path"))))
@@ -183,7 +236,12 @@ def judge_urls(
         nothing = "tokens array<string>, mined string, mined_rule array<string>, confidence double"
         found = pages.sparkSession.createDataFrame([], nothing)
     else:
-        found = match_rules(freeze(open_, "open-urls"), mine_rules(labelled))
+        folded = freeze(fold_tokens(labelled), "url-items")
+        brought = freeze(as_items(open_, folded), "open-urls")
+        found = match_rules(
+            brought.select(F.col("items").alias("tokens")).distinct(), mine_rules(labelled, folded=folded)
+        )
+        found = brought.join(found.withColumnRenamed("tokens", "items"), "items").drop("items")
     found = found.select(F.col("tokens").alias("own_tokens"), "mined", "mined_rule", "confidence")
     alike = F.col("fixed").isNull() & (F.col("tokens") == F.col("own_tokens"))
     return own.join(found, alike, "left").select(

@@ -99,3 +99,53 @@ def test_nothing_to_learn_from_gives_the_default(spark):
 
 def test_no_rows(spark):
     assert U.judge_urls(spark.createDataFrame([], PAGES)).collect() == []
+
+
+def test_rules_of_any_length_equal_brute_force(spark):
+    # Only all four tokens together are sure; every three of them also stand in the other verdict's URLs.
+    from itertools import combinations
+
+    four = ["label:a", "label:b", "path:c", "path:d"]
+    labelled = [(four, "block")] * 40 + [(list(own), "allow") for own in combinations(four, 3)] * 2
+    labelled += [(["label:e", "path:f"], "allow")] * 9
+    rules = U.mine_rules(spark.createDataFrame(labelled, "tokens array<string>, verdict string"))
+    found = {(tuple(r["tokens"]), r["verdict"], r["confidence"]) for r in rules.collect()}
+    assert (tuple(four), "block", 1.0) in found
+    want = set()
+    total, least = len(labelled), U.MIN_SUPPORT * len(labelled)
+    names = sorted({t for own, _ in labelled for t in own})
+    good = {}
+    for n in range(1, 7):
+        for own in combinations(names, n):
+            rows = [v for tokens, v in labelled if set(own) <= set(tokens)]
+            for v in ("allow", "block"):
+                k = rows.count(v)
+                if k >= max(least, 1) and k / len(rows) >= U.MIN_CONFIDENCE:
+                    good[own, v] = k / len(rows)
+    for (own, v), c in good.items():
+        if not any(good.get((tuple(t for t in own if t != x), v), -1) >= c for x in own):
+            want.add((own, v, c))
+    want.discard((("path:f",), "allow", 1.0))  # stands in the same URLs as label:e: one item
+    assert found == want
+
+
+def test_a_long_path_is_one_item(spark):
+    import time
+
+    def judge(segments):
+        path = "/".join(f"s{j}" for j in range(segments))
+        rows = [(k, f"http://h{k}.net/{'es' if k % 3 else 'fr'}/p{k}/{path}", *X) for k in range(10)]
+        rows += [(10 + k, f"http://h{k}.com/{path}", *X) for k in range(10)]  # the same path, the other verdict
+        rows += [(100 + k, f"http://h{k}.{('com', 'net')[k % 2]}/{('a', 'es')[k % 2]}/x{k}", *X) for k in range(980)]
+        rows += [(5000, f"http://z.org/{path}", *X), (5001, "http://z.org/es/s3", *X)]
+        started = time.monotonic()
+        found = U.judge_urls(spark.createDataFrame(rows, PAGES)).collect()
+        return {r["page_id"]: r for r in found}, time.monotonic() - started
+
+    judge(3)
+    short, few = judge(8)
+    long, many = judge(60)
+    assert many < 2 * few + 5
+    for k in short:
+        assert (short[k]["verdict"], short[k]["method"]) == (long[k]["verdict"], long[k]["method"])
+    assert long[5001]["verdict"] == "block" and long[5001]["method"] == "mined"
