@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .tables import importable
 
 SAMPLE_PAGES = 240  # the bound of the training sample
-SAMPLE_CHARS = 60_000  # of a sampled page; extraction reads whole pages
+SAMPLE_CHARS = 60_000  # longer pages are not sampled, others are read whole
 EPOCHS = 6
 RATE = 0.2
 RIDGE = 1e-4
@@ -40,13 +40,15 @@ SEED = 3
 # How HTML elements are laid out.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp "
-    "small span strike strong sub sup time tt u var wbr br img".split()
+    "small span strike strong sub sup time tt u var wbr br img object canvas audio video "
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover "
+    "mstyle mspace mpadded mphantom menclose mtable mtr mtd semantics".split()
 )
 VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
 UNSEEN = frozenset(
-    "script style noscript template head title svg math iframe object canvas audio video".split()
+    "script style noscript template head title svg iframe annotation annotation-xml".split()
 )
 # Start tags that leave an open head open; the end tag may be missing.
 IN_HEAD = frozenset(
@@ -61,11 +63,36 @@ SCOPES = frozenset("table ul ol dl body html article section div main".split())
 NAME = re.compile(r"[a-z]+")
 
 
+class Place:
+    """An open element with its ancestors, kept once for all blocks in it.
+
+    ``found`` are the features that the element adds to its ancestors': tags, without inline
+    ones, and words of classes and ids, each where it comes up first.  ``tags`` and ``names``
+    number the whole sequences, so that equal ones of a page have equal numbers.
+    """
+
+    __slots__ = ("parent", "tag", "pair", "found", "tags", "names")
+
+    def __init__(self, parent: Place | None, tag: str, pair: str, found: tuple[str, ...], tags: int, names: int):
+        # Parents that add nothing are passed over.
+        while parent is not None and not parent.found:
+            parent = parent.parent
+        self.parent, self.tag, self.pair, self.found = parent, tag, pair, found
+        self.tags, self.names = tags, names
+
+    def features(self) -> list[str]:
+        """Features of a block's ancestors."""
+        parts, at = [], self
+        while at is not None:
+            parts.append(at.found)
+            at = at.parent
+        return [f for found in reversed(parts) for f in found] + [f"own:{self.tag}", f"pair:{self.pair}"]
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]  # tags from the root
-    names: tuple[str, ...]  # words of the ancestors' classes and ids
+    place: Place
     linked: int = 0  # characters inside links
     label: int = 0
 
@@ -74,7 +101,12 @@ class _Reader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.stack: list[tuple[str, Place]] = []
+        self.seen: set[str] = set()  # features of the open elements
+        self.numbers: dict[tuple[int, str], int] = {}
+        self.open: Counter[str] = Counter()
+        self.head_at = 0
+        self.holders: list[int] = []  # places in the stack of elements that may hold any tag
         self.parts: list[str] = []
         self.linked = 0
         self.unseen = 0
@@ -84,24 +116,46 @@ class _Reader(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            path = tuple(tag for tag, _ in self.stack if tag not in INLINE)
-            names = tuple(dict.fromkeys(n for _, own in self.stack for n in own))
-            self.blocks.append(Block(text, path, names, self.linked))
+            place = self.stack[-1][1] if self.stack else Place(None, "", "", (), 0, 0)
+            self.blocks.append(Block(text, place, self.linked))
         self.parts, self.linked = [], 0
 
+    def _place(self, tag: str, words: list[str]) -> Place:
+        parent = self.stack[-1][1] if self.stack else None
+        if parent and not words and tag in INLINE:
+            return parent
+        near, pair, tags, names = (parent.tag, parent.pair, parent.tags, parent.names) if parent else ("", "", 0, 0)
+        found = []
+        if tag not in INLINE:
+            near, pair = tag, f"{near}>{tag}" if near else tag
+            tags = self.numbers.setdefault((tags, tag), len(self.numbers) + 1)
+            found.append(f"in:{tag}")
+        for word in words:
+            if f"named:{word}" not in self.seen:
+                names = self.numbers.setdefault((names, f"named:{word}"), len(self.numbers) + 1)
+                found.append(f"named:{word}")
+        found = tuple(f for f in found if f not in self.seen) if found else ()
+        self.seen.update(found)
+        return Place(parent, near, pair, found, tags, names)
+
     def _drop(self, at: int) -> None:
-        for tag, _ in self.stack[at:]:
+        below = self.stack[at - 1][1] if at else None
+        for tag, place in self.stack[at:]:
+            if place is not below:
+                self.seen.difference_update(place.found)
+            below = place
+            self.open[tag] -= 1
             self.unseen -= tag in UNSEEN
             self.heads -= tag == "head"
             self.anchors -= tag == "a"
         del self.stack[at:]
+        while self.holders and self.holders[-1] >= at:
+            self.holders.pop()
 
     def _leave_head(self, everything: bool) -> None:
         """Close the head; not while an element in it that may hold any tag is open, if not asked to."""
-        tags = [tag for tag, _ in self.stack]
-        at = tags.index("head")
-        if everything or not {"noscript", "template"} & set(tags[at:]):
-            self._drop(at)
+        if everything or not (self.holders and self.holders[-1] > self.head_at):
+            self._drop(self.head_at)
 
     def handle_starttag(self, tag, attrs):
         if self.heads and tag not in IN_HEAD:
@@ -109,7 +163,8 @@ class _Reader(HTMLParser):
         if tag not in INLINE:
             self.flush()
             groups = CLOSES.get(tag, ())
-            for at in range(len(self.stack) - 1, -1, -1):
+            closes = any(self.open[t] for t in ("p", *groups))
+            for at in range(len(self.stack) - 1 if closes else -1, -1, -1):
                 open_ = self.stack[at][0]
                 if open_ == "p" or open_ in groups:
                     self._drop(at)
@@ -121,11 +176,16 @@ class _Reader(HTMLParser):
             self.parts.append(" ")
         if tag in VOID:
             return
-        names = ()
+        words = []
         for key, value in attrs:
             if key in ("class", "id", "role") and value:
-                names += tuple(NAME.findall(value.lower()))
-        self.stack.append((tag, names))
+                words += NAME.findall(value.lower())
+        self.stack.append((tag, self._place(tag, list(dict.fromkeys(words)))))
+        if tag == "head" and not self.heads:
+            self.head_at = len(self.stack) - 1
+        if tag in ("noscript", "template"):
+            self.holders.append(len(self.stack) - 1)
+        self.open[tag] += 1
         self.unseen += tag in UNSEEN
         self.heads += tag == "head"
         self.anchors += tag == "a"
@@ -133,7 +193,7 @@ class _Reader(HTMLParser):
     def handle_endtag(self, tag):
         if tag not in INLINE:
             self.flush()
-        for at in range(len(self.stack) - 1, -1, -1):
+        for at in range(len(self.stack) - 1 if self.open[tag] else -1, -1, -1):
             if self.stack[at][0] == tag:
                 self._drop(at)
                 return
@@ -158,15 +218,6 @@ def blocks_of(html: str | None) -> list[Block]:
     return reader.blocks
 
 
-def place_features(path: tuple[str, ...], names: tuple[str, ...]) -> list[str]:
-    """Features of a block's ancestors."""
-    near = path[-1] if path else ""
-    found = [f"in:{t}" for t in dict.fromkeys(path)]
-    found += [f"named:{n}" for n in names]
-    found += [f"own:{near}", f"pair:{'>'.join(path[-2:])}"]
-    return found
-
-
 def text_features(block: Block, k: int, n: int, before: Block | None) -> list[str]:
     """Features of a block's text and its place among the blocks."""
     text = block.text
@@ -179,14 +230,17 @@ def text_features(block: Block, k: int, n: int, before: Block | None) -> list[st
         f"stops:{min(3, text.count('. ') + text.count(', '))}",
         "first" if k == 0 else "last" if k == n - 1 else "inner",
     ]
-    lower = text[:200].lower()
+    lower = text.lower()
     if "©" in text or "copyright" in lower or "all rights reserved" in lower:
         found.append("rights")
     if "cookie" in lower or "subscribe" in lower or "newsletter" in lower or "sign up" in lower:
         found.append("notice")
     if "advert" in lower or "sponsored" in lower:
         found.append("advert")
-    if before is not None and before.path == block.path and before.names == block.names:
+    if before is not None and (before.place.tags, before.place.names) == (
+        block.place.tags,
+        block.place.names,
+    ):
         found.append("like before")
     return found
 
@@ -201,7 +255,6 @@ class Field:
     pairs: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
 
     def __post_init__(self):
-        self.places: dict[tuple, float] = {}
         self.by_name = dict(zip(self.index, self.weights.tolist()))
 
     def __getstate__(self):
@@ -213,13 +266,18 @@ class Field:
 
     def scores(self, blocks: list[Block]) -> list[float]:
         get, out = self.by_name.get, []
+        above: dict[Place, float] = {}  # sums of what places and their ancestors add
         for k, b in enumerate(blocks):
-            place = (b.path, b.names)
-            known = self.places.get(place)
-            if known is None:
-                known = sum(get(f, 0.0) for f in place_features(*place))
-                if len(self.places) < 50_000:
-                    self.places[place] = known
+            new, at = [], b.place
+            while at is not None and at not in above:
+                new.append(at)
+                at = at.parent
+            known = above[at] if at is not None else 0.0
+            for place in reversed(new):
+                for f in place.found:
+                    known += get(f, 0.0)
+                above[place] = known
+            known += get(f"own:{b.place.tag}", 0.0) + get(f"pair:{b.place.pair}", 0.0)
             features = text_features(b, k, len(blocks), blocks[k - 1] if k else None)
             out.append(self.bias + known + sum(get(f, 0.0) for f in features))
         return out
@@ -254,7 +312,7 @@ def train_field(pages: list[list[Block]], epochs: int = EPOCHS) -> Field:
     for blocks in pages:
         own = []
         for k, b in enumerate(blocks):
-            found = place_features(b.path, b.names)
+            found = b.place.features()
             found += text_features(b, k, len(blocks), blocks[k - 1] if k else None)
             own.append(found)
             counts.update(set(found))
@@ -307,8 +365,9 @@ def train_field(pages: list[list[Block]], epochs: int = EPOCHS) -> Field:
 def marked_labels(blocks: list[Block]) -> list[Block]:
     """Labels by the page's own marks: text stands in ``article`` or ``main``."""
     for b in blocks:
-        inside = "article" in b.path or "main" in b.path
-        apart = {"nav", "aside", "footer", "header", "form"} & set(b.path)
+        places = set(b.place.features())
+        inside = "in:article" in places or "in:main" in places
+        apart = places & {"in:nav", "in:aside", "in:footer", "in:header", "in:form"}
         b.label = int(inside and not apart)
     return blocks
 
@@ -475,19 +534,26 @@ def main_text(html: str | None, model: Field) -> str:
 
 
 def fit(pages: DataFrame, html_column: str = "html") -> Field:
-    """Train on at most ``SAMPLE_PAGES`` pages, taken by the hash of their html."""
-    html = F.substring(F.col(html_column).cast("string"), 1, SAMPLE_CHARS)
+    """Train on at most ``SAMPLE_PAGES`` whole pages of at most ``SAMPLE_CHARS``, taken by the hash of their html.
+
+    Null pages are not sampled, repeated ones once; no rows give a field trained on made layouts only.
+    """
+    html = F.col(html_column).cast("string")
     share = min(1.0, 4 * SAMPLE_PAGES / max(1, pages.count()))
     low = F.shiftrightunsigned(F.xxhash64(html), 1) <= F.lit(min(int(share * 2.0**63), (1 << 63) - 1))
     marked = F.lower(html).contains("<article") | F.lower(html).contains("<main")
-    sample = pages.select(html.alias("h")).where(low & marked)
+    short = F.length(html) <= SAMPLE_CHARS
+    sample = pages.where(low & marked & short).select(html.alias("h"))
     sample = sample.groupBy(F.xxhash64("h").alias("k")).agg(F.min("h").alias("h"))
     rows = sample.orderBy("k").limit(SAMPLE_PAGES).collect()
     return train_on([r["h"] for r in rows])
 
 
 def extracted(html: Column, model: Field, spark) -> Column:
-    """The main text of whole pages; null and empty pages give an empty text."""
+    """The main text of whole pages; null and empty pages give an empty text.
+
+    A narrow step: repeated rows get equal texts, no rows give none, other columns are not read.
+    """
     importable(spark)
     shared = spark.sparkContext.broadcast(model)
 

@@ -47,6 +47,45 @@ def test_a_head_without_its_end_tag():
     assert read("<head><noscript><img src=x><p>n</p></noscript><title>t</title></head><body>a") == ["a"]
 
 
+def test_formulas_and_fallback_text_are_kept():
+    read = lambda s: [b.text for b in H.blocks_of(s)]
+    assert read("<p>Let <math><mi>x</mi><mo>=</mo> 5</math> hold.</p>") == ["Let x= 5 hold."]
+    assert read("<p>See <object data=x>a chart</object> and <canvas>b</canvas>.</p>") == ["See a chart and b."]
+    assert read("<p>a</p><video src=x><p>b</p><p>c</p>") == ["a", "b", "c"]  # no end tag
+    assert read("<p>x<math><semantics><mi>y</mi><annotation>\\y</annotation></semantics></math></p>") == ["xy"]
+
+
+def test_places_are_the_same_as_whole_paths():
+    html = (
+        "<div class='a b'>1<p id=b>2<b class='c a'>3</b></p><div role=c>4<ul><li class=a>5<li>6</ul></div></div>"
+        "<div class='a b'><p id=b>7</p></div><p>8</p><i class=d>9</i>"
+    )
+    blocks = H.blocks_of(html)
+    want = {  # text: features of the ancestors; inline elements add names only
+        "1": "in:div named:a named:b own:div pair:div",
+        "23": "in:div named:a named:b in:p own:p pair:div>p",
+        "4": "in:div named:a named:b named:c own:div pair:div>div",
+        "5": "in:div named:a named:b named:c in:ul in:li own:li pair:ul>li",
+        "6": "in:div named:a named:b named:c in:ul in:li own:li pair:ul>li",
+        "7": "in:div named:a named:b in:p own:p pair:div>p",
+        "8": "in:p own:p pair:p",
+    }
+    for b in blocks[:-1]:
+        assert sorted(b.place.features()) == sorted(want[b.text].split()), b.text
+    alike = {(b.place.tags, b.place.names) for b in blocks if b.text in ("23", "7")}
+    assert len(alike) == 1
+
+
+def test_deep_pages_take_linear_time(model):
+    import time
+
+    for tag in ("<div>x", "<blockquote class=q>x", "</q><b>x", "<head><noscript><div>x", "<li><ul>x"):
+        started = time.monotonic()
+        text = H.main_text(tag * 100_000, model)
+        assert time.monotonic() - started < 60, tag
+        assert set(text) <= {"x", "\n"}
+
+
 def test_pages_without_the_heads_end_tag_give_their_text(model):
     for k in range(60, 80):
         assert H.main_text(page(k).replace("</head>", ""), model) == H.main_text(page(k), model) != ""
