@@ -241,6 +241,8 @@ def judge_urls(
         found = match_rules(
             brought.select(F.col("items").alias("tokens")).distinct(), mine_rules(labelled, folded=folded)
         )
+        # Written, so that the join is not bound to one task per item set and a hot one is split.
+        found = freeze(found, "item-verdicts")
         found = brought.join(found.withColumnRenamed("tokens", "items"), "items").drop("items")
     found = found.select(F.col("tokens").alias("own_tokens"), "mined", "mined_rule", "confidence")
     alike = F.col("fixed").isNull() & (F.col("tokens") == F.col("own_tokens"))
