@@ -34,7 +34,6 @@ and go to the executors, and the documents stay where they are.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,10 +41,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .tables import importable, releasing
 
 WORDS = re.compile(r"[^\W_]+")
+# Scripts written without spaces (Thai, Lao, Burmese, Khmer, kana, Han); each letter is a word.
+UNSPACED = (
+    "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf"
+    "\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+)
+UNSPACED_LETTER = re.compile(f"[{UNSPACED}]")
+MIXED_WORDS = re.compile(f"(?![_\\W])[{UNSPACED}]|[^\\W_{UNSPACED}]+")
 
 EDIT_SHARE = 0.2  # edits allowed per word of the item
 RECALL = 0.95  # of windows with as many edits as allowed, by their aligned start alone
@@ -56,13 +63,17 @@ MOST_TABLES = 96  # a length group that needs more is searched without tables
 PIECE_WORDS = 60  # longer items are searched by pieces
 LENGTH_RATIO = 1.25  # longest to shortest item of a length group
 RARE_MASSES = (0.005, 0.01, 0.02, 0.04, 0.08)  # shares of a text that its rarest words make up
-SHORT = 5  # an item of fewer words matches only a document that is the item
+SHORT = 5  # an item of fewer words is searched as an exact passage, one of a single word as a whole text
 CHUNK_BYTES = 16 << 20  # of items that executors hold at once
-PORTION_WORDS = 400_000
 
 
 def split_words(text: str | None) -> list[str]:
-    return WORDS.findall(text.lower()) if text else []
+    """Lower-case runs of letters and digits; single letters in scripts written without spaces."""
+    if not text:
+        return []
+    text = text.lower()
+    unspaced = not text.isascii() and UNSPACED_LETTER.search(text)
+    return (MIXED_WORDS if unspaced else WORDS).findall(text)
 
 
 def allowed_edits(n_words: int, share: float = EDIT_SHARE) -> int:
@@ -198,15 +209,15 @@ class Chunk:
         self.ids: dict[str, int] = {}
         self.keys, self.item_words, self.words = [], [], []
         owners, offsets = [], []
-        self.whole: dict[tuple, list] = {}
+        self.short: dict[tuple[int, ...], list] = {}  # keys of items of few words, by word ids
         for key, text in items:
             words = split_words(text)
             if not words:
                 continue
+            row = [self.ids.setdefault(w, len(self.ids) + OTHER + 1) for w in words]
             if len(words) < SHORT:
-                self.whole.setdefault(tuple(words), []).append(key)
+                self.short.setdefault(tuple(row), []).append(key)
                 continue
-            row = [self.ids.setdefault(w, len(self.ids) + OTHER + 1) for w in words]
             at = 0
             for piece in pieces(np.array(row, dtype=np.int32)):
                 self.words.append(piece)
@@ -377,20 +388,41 @@ class Chunk:
         items = table.items[np.repeat(low, reps) + inner]
         found.append(np.stack([np.repeat(starts, reps), items], axis=1))
 
+    def short_matches(self, flat, begins, ends, owner) -> list[tuple]:
+        """As ``matches``, of items of fewer than ``SHORT`` words: the first exact passage of each pair."""
+        out = []
+        for n in sorted({len(row) for row in self.short}):
+            rows = np.array([row for row in self.short if len(row) == n])
+            if n == 1:  # a word alone is no passage
+                starts = begins[ends - begins == 1]
+            else:
+                starts = np.arange(len(flat) - n + 1)
+            for k in range(n):
+                member = np.zeros(self.n_symbols, dtype=bool)
+                member[rows[:, k]] = True
+                starts = starts[member[flat[starts + k]]]
+            if not len(starts):
+                continue
+            read = np.column_stack([owner[starts], *(flat[starts + k] for k in range(n))])
+            read, firsts = np.unique(read, axis=0, return_index=True)
+            for (doc, *row), start in zip(read.tolist(), starts[firsts].tolist()):
+                at = start - int(begins[doc])
+                out += [(doc, key, 0, n, at, at + n) for key in self.short.get(tuple(row), ())]
+        return out
+
     def matches(self, texts: list[str]) -> list[tuple]:
         """(text, item key, edits, item words, begin word, end word), the best passage of each pair."""
         docs = [split_words(t) for t in texts]
         get = self.ids.get
-        out = []
-        for k, d in enumerate(docs):
-            if len(d) < SHORT:
-                out += [(k, key, 0, len(d), 0, len(d)) for key in self.whole.get(tuple(d), [])]
-        if not self.words or not any(docs):
-            return out
+        if not self.ids or not any(docs):
+            return []
         ids = (np.fromiter((get(w, OTHER) for w in d), np.int32, len(d)) for d in docs)
         flat, begins = joined(list(ids))
         ends = np.append(begins[1:], len(flat)) - 1  # where each text's end symbol stands
         owner = np.repeat(np.arange(len(docs)), ends - begins + 1)
+        out = self.short_matches(flat, begins, ends, owner)
+        if not self.words:
+            return out
         limits = ends[owner]
         best: dict[tuple, tuple] = {}
         pairs = [
@@ -484,10 +516,6 @@ def _match(shared, id_type: pa.DataType, item_type: pa.DataType):
     return run
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def item_chunks(benchmark: DataFrame, item_column: str, text_column: str) -> Iterator[list[tuple]]:
     """The items in chunks of at most ``CHUNK_BYTES`` (a longer item is a chunk itself)."""
     rows = benchmark.select(F.col(item_column), F.col(text_column).cast("string")).where(
@@ -519,16 +547,16 @@ def contaminated(
 
     ``edits`` of ``item_words`` words, from ``begin_word`` to before ``end_word``.  Exact
     passages are always found; of passages with as many edits as allowed, ``recall``.
-    Items without words, or null, match nothing; an item of fewer than five words
-    matches only a document that consists of it.  Null and empty texts leak nothing.
+    Items without words, or null, match nothing; an item of fewer than five words is
+    found as an exact passage, one of a single word only as a whole document.  In
+    scripts written without spaces each letter counts as a word.  Null and empty texts leak nothing.
     Null ids are returned as null; repeated rows and items each give their rows.  An
     empty benchmark gives no rows.  Other columns are not read.
     """
     spark = docs.sparkSession
     importable(spark)
-    kinds = docs.schema[id_column].dataType.simpleString(), benchmark.schema[
-        item_column
-    ].dataType.simpleString()
+    types = docs.schema[id_column].dataType, benchmark.schema[item_column].dataType
+    kinds, arrow = [t.simpleString() for t in types], [to_arrow_type(t) for t in types]
     schema = (
         f"doc_id {kinds[0]}, item_id {kinds[1]}, edits long, item_words long, "
         "begin_word long, end_word long"
@@ -537,6 +565,6 @@ def contaminated(
     found = None
     for items in item_chunks(benchmark, item_column, item_text_column):
         shared = spark.sparkContext.broadcast(Chunk(items, share, recall))
-        part = named.mapInArrow(releasing(_match(shared, _arrow(kinds[0]), _arrow(kinds[1]))), schema)
+        part = named.mapInArrow(releasing(_match(shared, *arrow)), schema)
         found = part if found is None else found.unionByName(part)
     return spark.createDataFrame([], schema) if found is None else found

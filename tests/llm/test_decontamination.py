@@ -128,3 +128,44 @@ def test_no_rows(spark):
     items = spark.createDataFrame([(1, edge.prose(30), 1)], ITEMS)
     assert D.contaminated(edge.none(spark), items).collect() == []
     assert D.contaminated(edge.docs(spark), spark.createDataFrame([], ITEMS)).collect() == []
+
+
+def test_short_items_are_found_inside_texts():
+    items = [(1, "alpha beta gamma delta"), (2, "gamma, DELTA"), (3, "alpha"), (4, "gamma delta"), (5, edge.prose(30, 2))]
+    texts = [
+        "so Alpha beta gamma-delta it is, gamma delta", "alpha beta gamma", "Alpha!", "gamma", "x delta",
+        "alpha beta x gamma delta", edge.prose(30, 2), "gamma", "delta",
+    ]
+    hits = sorted(D.Chunk(items).matches(texts))
+    want = [
+        (0, 1, 0, 4, 1, 5), (0, 2, 0, 2, 3, 5), (0, 4, 0, 2, 3, 5), (2, 3, 0, 1, 0, 1),
+        (5, 2, 0, 2, 3, 5), (5, 4, 0, 2, 3, 5), (6, 5, 0, 30, 0, 30),
+    ]
+    assert hits == want
+    assert sorted(D.Chunk(items[:4]).matches(texts)) == want[:-1]
+    # No passage crosses from one text to the next.
+    assert D.Chunk([(1, "gamma delta")]).matches(["gamma", "delta"]) == []
+
+
+def test_short_items_equal_brute_force():
+    rng = random.Random(4)
+    items = [(k, [rng.choice("abcd") for _ in range(rng.randint(2, 4))]) for k in range(30)]
+    texts = [[rng.choice("abcde") for _ in range(rng.randint(0, 12))] for _ in range(60)]
+    want = set()
+    for t, text in enumerate(texts):
+        for k, item in items:
+            places = [a for a in range(len(text) - len(item) + 1) if text[a : a + len(item)] == item]
+            if places:
+                want.add((t, k, 0, len(item), places[0], places[0] + len(item)))
+    found = D.Chunk([(k, " ".join(x)) for k, x in items]).matches([" ".join(x) for x in texts])
+    assert set(found) == want and len(found) == len(want)
+
+
+def test_scripts_without_spaces():
+    assert D.split_words("Größe 12, 東京タワー abc東1") == ["größe", "12", "東", "京", "タ", "ワ", "ー", "abc", "東", "1"]
+    assert D.split_words("a_b ฿ \u30fb") == ["a", "b"]
+    item = "光合成は植物が光を使って糖を作る反応である"
+    texts = ["前置き。" + item + "。それから", "前置き" + item.replace("糖", "塩") + "です", "植物と光", "before " + item]
+    hits = {(h[0], h[2]) for h in D.Chunk([(7, item)]).matches(texts)}
+    assert {(0, 0), (1, 1), (3, 0)} == hits
+    assert [h[:3] for h in D.Chunk([(7, "東京駅")]).matches(["ここは東京駅です", "京東駅"])] == [(0, 7, 0)]
