@@ -7,9 +7,11 @@ attention weighs the words' states, and the weighted state gives the window's lo
 A document's windows overlap and cover the whole text; a logistic function of their
 logits (mean, highest, share above zero) gives its score.
 
-The network is trained on the driver on a bounded sample of labelled documents, by
-Adam with a fixed number of steps.  Executors get the weights (about a megabyte, fixed)
-and score documents independently: a narrow step without a shuffle.
+The network is trained on the driver, by Adam with a fixed number of steps, on windows
+drawn over the whole texts of a bounded sample of labelled documents.  Tasks draw those
+windows, and later read other sampled documents whole for the logistic function, so no
+text reaches the driver.  Executors get the weights (about a megabyte, fixed) and score
+documents independently: a narrow step without a shuffle.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
-from .tables import importable, release_memory
+from .tables import freeze, importable, release_memory, releasing
 
 WORDS = re.compile(r"[^\W_]+")
 
@@ -34,7 +37,7 @@ class Settings:
     """Sizes of the network, its windows and its training; all fixed for every table size."""
 
     window: int = 64
-    stride: int = 48
+    stride: int = 32
     word_rows: int = 1 << 14
     word_size: int = 8
     gram_rows: int = 1 << 14
@@ -43,7 +46,7 @@ class Settings:
     hidden: int = 10
     attention: int = 10
     docs_per_class: int = 1500  # the bound of the training sample
-    chars_per_doc: int = 12_000  # of a training document; scoring reads whole texts
+    windows_per_doc: int = 24  # of a training document, drawn over its whole text
     steps: int = 700
     batch: int = 160
     rate: float = 0.01
@@ -375,22 +378,29 @@ def doc_features(logits: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.ones(n), mean, top, share], axis=1)
 
 
+def text_features(texts, weights: dict[str, np.ndarray], s: Settings) -> np.ndarray:
+    """``doc_features`` of whole texts by all their windows; zeros for a text without words."""
+    out = [np.zeros((0, 4))]
+    for part in _portions(texts, 400_000):
+        vocabulary = Vocabulary(s)
+        docs = [vocabulary.index(words) for words in part]
+        vocabulary.rows()
+        windows, owner = _index_windows(docs, s)
+        logits = window_logits(windows, vocabulary.inputs(weights), weights)
+        features = doc_features(logits, owner, len(docs))
+        features[[not len(d) for d in docs]] = 0
+        out.append(features)
+    return np.concatenate(out)
+
+
 def score_texts(texts, model: Model) -> np.ndarray:
     """Scores of whole texts; one without words gets the training sample's share of toxic ones."""
     if model.weights is None:
         return np.full(len(texts), model.prior)
-    out = []
-    for part in _portions(texts, 400_000):
-        vocabulary = Vocabulary(model.settings)
-        docs = [vocabulary.index(words) for words in part]
-        vocabulary.rows()
-        windows, owner = _index_windows(docs, model.settings)
-        logits = window_logits(windows, vocabulary.inputs(model.weights), model.weights)
-        z = doc_features(logits, owner, len(docs)) @ model.doc_weights
-        score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        bare = np.array([not len(d) for d in docs])
-        out.append(np.where(bare, model.prior, score))
-    return np.concatenate(out) if out else np.zeros(0)
+    features = text_features(texts, model.weights, model.settings)
+    z = features @ model.doc_weights
+    score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    return np.where(features[:, 0] > 0, score, model.prior)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -405,44 +415,77 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return beta
 
 
+def drawn_windows(text: str | None, s: Settings) -> list[list[str]]:
+    """The words of at most ``windows_per_doc`` windows, drawn over the whole text."""
+    words = split_words(text)
+    starts = windows_of(len(words), s) if words else []
+    if len(starts) > s.windows_per_doc:
+        rng = np.random.default_rng([s.seed, zlib.crc32(text.encode("utf-8", "replace"))])
+        starts = sorted(rng.choice(starts, s.windows_per_doc, replace=False).tolist())
+    return [words[a : a + s.window] for a in starts]
+
+
+def _set_aside(labels: np.ndarray) -> np.ndarray:
+    """Every fifth document of each class, at least one: these fit the document function."""
+    rank = np.zeros(len(labels), int)
+    for c in (0, 1):
+        rank[labels == c] = np.arange((labels == c).sum())
+    return rank % 5 == 1
+
+
+def _document_weights(labels: np.ndarray, rates: tuple[float, float]) -> np.ndarray:
+    """The sampled shares of clean and toxic documents, turned back into the labels' own odds."""
+    return np.where(labels > 0, 1 / max(rates[1], 1e-9), 1 / max(rates[0], 1e-9))
+
+
+def _learn(windows: list[list[str]], of_window: np.ndarray, s: Settings):
+    """The network's weights; none if the windows lack a class."""
+    if len(set(of_window.tolist())) < 2:
+        return None
+    vocabulary = _Trainable(s)
+    index, _ = _index_windows([vocabulary.index(words) for words in windows], s)
+    vocabulary.rows()
+    return train_network(index, of_window.astype(np.float32), vocabulary, s)
+
+
+def _too_few(labels: np.ndarray) -> bool:
+    return len(labels) < 4 or min((labels == 0).sum(), (labels == 1).sum()) < 2
+
+
+def _prior(labels: np.ndarray, weight: np.ndarray) -> float:
+    return float((weight * labels).sum() / weight.sum()) if len(labels) else 0.0
+
+
 def train(texts: list[str], labels: np.ndarray, rates: tuple[float, float], s: Settings) -> Model:
-    """Network on four fifths of the sample, the document function on the rest.
+    """Network on four fifths of the texts, the document function on the rest, in one process.
 
     ``rates`` are the sampled shares of clean and toxic documents; the rest is weighed
     by them, so scores follow the labels' own odds.
     """
     labels = np.asarray(labels)
-    weight = np.where(labels > 0, 1 / max(rates[1], 1e-9), 1 / max(rates[0], 1e-9))
-    prior = float((weight * labels).sum() / weight.sum()) if len(labels) else 0.0
-    if len(labels) < 4 or min((labels == 0).sum(), (labels == 1).sum()) < 2:
+    weight = _document_weights(labels, rates)
+    prior = _prior(labels, weight)
+    if _too_few(labels):
         return Model(s, None, prior=prior)
-    # Every fifth of each class, at least one, fits the document function.
-    rank = np.zeros(len(labels), int)
-    for c in (0, 1):
-        rank[labels == c] = np.arange((labels == c).sum())
-    aside = rank % 5 == 1
-    vocabulary = _Trainable(s)
-    docs = [vocabulary.index(split_words(t)) for t in texts]
-    vocabulary.rows()
-    windows, owner = _index_windows(docs, s)
-    learn = ~aside[owner] & (windows[:, 0] > 0)
-    if len(set(labels[owner[learn]].tolist())) < 2:
+    aside = _set_aside(labels)
+    drawn = [(words, c) for t, c, a in zip(texts, labels, aside) if not a for words in drawn_windows(t, s)]
+    w = _learn([words for words, _ in drawn], np.array([c for _, c in drawn]), s)
+    if w is None:
         return Model(s, None, prior=prior)
-    w = train_network(windows[learn], labels[owner[learn]].astype(np.float32), vocabulary, s)
-    held = np.flatnonzero(aside[owner])
-    logits = window_logits(windows[held], vocabulary.inputs(w), w)
-    features = doc_features(logits, np.cumsum(aside)[owner[held]] - 1, int(aside.sum()))
+    features = text_features([t for t, a in zip(texts, aside) if a], w, s)
     beta = _logistic(features, labels[aside], weight[aside] / weight[aside].mean())
     return Model(s, w, beta, prior)
 
 
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, learn: Column, s: Settings
-) -> tuple[list[str], np.ndarray, tuple[float, float]]:
-    """At most ``docs_per_class`` documents of each class, by hash of the id, from rows where ``learn``.
+) -> tuple[DataFrame, tuple[float, float]]:
+    """(doc_id, toxic, t) of at most ``docs_per_class`` documents of each class, whole texts.
 
-    Only the sampled ids (a bounded set) meet the documents, so texts do not move.
-    An id labelled both ways counts as toxic; null ids and labels are left out.
+    They are taken by hash of the id from rows where ``learn``, and written.  Only the
+    sampled ids (a bounded set) meet the documents, so other texts do not move.  An id
+    labelled both ways counts as toxic; null ids and labels are left out.  Also gives the
+    shares of both classes that were sampled.
     """
     known = (
         labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -459,23 +502,84 @@ def labelled_sample(
         ids = part if ids is None else ids.unionByName(part)
     spark = docs.sparkSession
     chosen = spark.createDataFrame(ids.collect(), ids.schema)
-    text = F.coalesce(F.substring(F.col("text").cast("string"), 1, s.chars_per_doc), F.lit(""))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", text.alias("t")).join(F.broadcast(chosen), "doc_id")
     # A repeated id gives one text, so the sample stays bounded.
-    rows = rows.groupBy("doc_id", "toxic").agg(F.min("t").alias("t"))
-    rows = sorted(rows.collect(), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
-    taken = [sum(r["toxic"] == c for r in rows) for c in (0, 1)]
-    rates = tuple(taken[c] / counts[c] if counts.get(c) else 1.0 for c in (0, 1))
-    return [r["t"] for r in rows], np.array([r["toxic"] for r in rows]), rates
+    rows = rows.repartition(spark.sparkContext.defaultParallelism, "doc_id")
+    rows = freeze(rows.groupBy("doc_id", "toxic").agg(F.min("t").alias("t")), "toxicity-sample")
+    taken = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    return rows, tuple(taken.get(c, 0) / counts[c] if counts.get(c) else 1.0 for c in (0, 1))
+
+
+def _draw(s: Settings):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found = [
+                (place, nth, " ".join(words))
+                for place, text in zip(rows["place"], rows["t"])
+                for nth, words in enumerate(drawn_windows(text, s))
+            ]
+            yield pd.DataFrame(found, columns=["place", "nth", "words"])
+
+    return run
+
+
+def _features(shared, s: Settings):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found = text_features(rows["t"].tolist(), shared.value, s)
+            yield pd.DataFrame({"place": rows["place"], "f": found.tolist()})
+
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, s: Settings = Settings()):
-    """Train on labelled documents; ``learn`` tells by ``doc_id`` which may be learned from."""
-    return train(*labelled_sample(docs, labels, F.lit(True) if learn is None else learn, s), s)
+    """Train on labelled documents; ``learn`` tells by ``doc_id`` which may be learned from.
+
+    As ``train``, but texts stay in tasks: the driver gets drawn windows (their number is
+    bounded) and four figures per document set aside.  Null texts count as empty, a
+    repeated id gives one text, other columns are not read; without documents of both
+    classes, so for empty tables too, every score is the share of toxic ones.
+    """
+    spark = docs.sparkSession
+    importable(spark)
+    sample, rates = labelled_sample(docs, labels, F.lit(True) if learn is None else learn, s)
+    named = sample.select("doc_id", "toxic").collect()
+    named.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
+    toxic = np.array([r["toxic"] for r in named], dtype=int)
+    weight = _document_weights(toxic, rates)
+    prior = _prior(toxic, weight)
+    if _too_few(toxic):
+        return Model(s, None, prior=prior)
+    aside = _set_aside(toxic)
+    schema = StructType(
+        [sample.schema["doc_id"], StructField("place", IntegerType()), StructField("aside", BooleanType())]
+    )
+    places = [(r["doc_id"], k, bool(aside[k])) for k, r in enumerate(named)]
+    rows = sample.join(F.broadcast(spark.createDataFrame(places, schema)), "doc_id")
+    drawn = rows.where("NOT aside").select("place", "t")
+    drawn = drawn.mapInPandas(releasing(_draw(s)), "place int, nth int, words string").collect()
+    drawn.sort(key=lambda r: (r["place"], r["nth"]))
+    w = _learn([r["words"].split(" ") for r in drawn], toxic[[r["place"] for r in drawn]], s)
+    del drawn
+    if w is None:
+        return Model(s, None, prior=prior)
+    shared = spark.sparkContext.broadcast(w)
+    read = rows.where("aside").select("place", "t")
+    read = read.mapInPandas(releasing(_features(shared, s)), "place int, f array<double>").collect()
+    read.sort(key=lambda r: r["place"])
+    at = [r["place"] for r in read]
+    beta = _logistic(np.array([r["f"] for r in read]), toxic[at], weight[at] / weight[at].mean())
+    release_memory()
+    return Model(s, w, beta, prior)
 
 
 def toxicity(text: Column, model: Model, spark) -> Column:
-    """The score (0 to 1) of a whole text; null and empty texts get the prior."""
+    """The score (0 to 1) of a whole text; null and empty texts get the prior.
+
+    Every row is scored by its text alone: repeated rows get the same score, other columns
+    are not read, and a table without rows gives none.
+    """
     importable(spark)
     shared = spark.sparkContext.broadcast(model)
 

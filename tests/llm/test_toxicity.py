@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -94,7 +96,9 @@ def test_sample_is_bounded_and_skips_held_out_rows(spark):
     rows += [(None, 1, 1, "x"), (3, 1, None, "x"), (4, 1, 1, "x")]  # 4 is labelled both ways
     known = spark.createDataFrame(rows, LABELS)
     s = T.Settings(docs_per_class=20)
-    found, own, rates = T.labelled_sample(docs, known, F.col("doc_id") >= 10, s)
+    rows, rates = T.labelled_sample(docs, known, F.col("doc_id") >= 10, s)
+    found, own = zip(*[(r["t"], r["toxic"]) for r in rows.collect()])
+    own = np.array(own)
     assert [int((own == c).sum()) for c in (0, 1)] == [20, 20]
     assert not set(found) & set(texts[:10])
     assert abs(rates[0] - 20 / 54) < 0.02
@@ -108,3 +112,57 @@ def test_one_class_or_no_labels_give_the_prior(spark):
     assert T.score_texts(["a"], clean).tolist() == [0.0]
     empty = T.fit(edge.none(spark), spark.createDataFrame([(1, 1, 0, "x")], LABELS), s=SMALL)
     assert empty.weights is None
+
+
+def test_windows_are_drawn_over_the_whole_text():
+    words = [f"w{k}" for k in range(5000)]
+    s = T.Settings(windows_per_doc=20)
+    drawn = T.drawn_windows(" ".join(words), s)
+    begins = [int(d[0][1:]) for d in drawn]
+    assert len(drawn) == 20 and all(len(d) == s.window for d in drawn)
+    assert min(begins) < 1500 and max(begins) > 3500
+    assert T.drawn_windows(" ".join(words), s) == drawn
+    assert T.drawn_windows("", s) == [] and T.drawn_windows(None, s) == []
+    assert T.drawn_windows("a b", s) == [["a", "b"]]
+
+
+def test_training_in_tasks_equals_training_in_one_process(spark):
+    texts, labels = corpus(120, 1)
+    texts += ["", edge.prose(3000)]
+    labels = np.append(labels, [0, 1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = spark.createDataFrame([(k, 1, int(c), "x") for k, c in enumerate(labels)], LABELS)
+    found = T.fit(docs, known, s=SMALL)
+    order = sorted(range(len(texts)), key=lambda k: (zlib.crc32(str(k).encode()), k))
+    own = T.train([texts[k] for k in order], labels[order], (1.0, 1.0), SMALL)
+    assert np.allclose(T.score_texts(texts, found), T.score_texts(texts, own), atol=1e-6)
+
+
+def test_forward_pass_equals_the_definition():
+    """Word by word and in double precision: gates, states, attention, logit."""
+    s = T.Settings(window=6, word_rows=16, gram_rows=16, word_size=3, gram_size=3, hidden=3, attention=3)
+    v = T.Vocabulary(s)
+    docs = [v.index(T.split_words(t)) for t in ("ab cd ef gh", "ij", "ab ef ij kl mn op")]
+    v.rows()
+    windows, _ = T._index_windows(docs, s)
+    w = T._initial(s)
+    x = v.inputs(w)
+
+    def sigmoid(a):
+        return 1 / (1 + np.exp(-a))
+
+    def states(ids, way):
+        state, out = np.zeros(s.hidden), {}
+        for t in range(len(ids)) if way == "f" else reversed(range(len(ids))):
+            g = x[ids[t]].astype(float) @ w["x" + way] + w["c" + way]
+            r = state @ w["h" + way]
+            z, reset = sigmoid(g[:3] + r[:3]), sigmoid(g[3:6] + r[3:6])
+            state = (1 - z) * np.tanh(g[6:] + reset * r[6:]) + z * state
+            out[t] = state
+        return out
+
+    for ids, logit in zip(docs, T.window_logits(windows, x, w)):
+        f, b = states(ids, "f"), states(ids, "b")
+        both = np.array([np.concatenate([f[t], b[t]]) for t in range(len(ids))])
+        e = np.exp(np.tanh(both @ w["attend"] + w["attend_c"]) @ w["query"])
+        assert abs((e / e.sum()) @ both @ w["out"] + w["out_c"][0] - logit) < 1e-5
