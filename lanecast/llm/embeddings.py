@@ -32,6 +32,8 @@ from .tables import dealt_evenly, freeze, importable
 THRESHOLD = 0.98  # fixed value of the contract
 RECALL = 0.999
 PROBES = 4  # keys per table
+MOST_TABLES = 128  # beyond these, fewer hashes make larger buckets
+LAST_TABLES = 1024  # of a single hash
 BUCKET_ROWS = 64  # wanted at most in a bucket of spread-out vectors
 SEED = 11
 
@@ -101,7 +103,13 @@ def keys(x: np.ndarray, plan: Plan) -> np.ndarray:
 
 
 def plan_for(d: int, rows: int, threshold: float = THRESHOLD, recall: float = RECALL) -> Plan:
-    """Enough hashes for small buckets among ``rows``, enough tables for the recall."""
+    """Enough hashes for small buckets among ``rows``, enough tables for the recall.
+
+    The recall is measured on pairs at the threshold.  If ``MOST_TABLES`` miss it, hashes
+    are dropped one by one: larger buckets, more comparisons, no lost pairs.  With a single
+    hash tables grow until the recall is met; a threshold that random vectors reach, where
+    buckets no longer help, is an error and not a silent loss.
+    """
     corners = 2 * (1 << max(0, d - 1).bit_length())
     wanted = math.log(max(2.0, rows * PROBES / BUCKET_ROWS)) / math.log(corners)
     hashes = max(1, min(math.ceil(wanted), int(60 / math.log2(corners))))
@@ -115,17 +123,19 @@ def plan_for(d: int, rows: int, threshold: float = THRESHOLD, recall: float = RE
     away /= np.linalg.norm(away, axis=1, keepdims=True)
     y = threshold * x + math.sqrt(max(0.0, 1 - threshold**2)) * away
     tables = 4
-    while True:
+    while tables <= LAST_TABLES:
         plan = Plan(hashes, PROBES, tables, threshold)
         a, b = keys(x, plan), keys(y, plan)
         meet = (a[:, :, :, None] == b[:, :, None, :]).any(axis=(2, 3))
         miss = 1 - meet.mean()
-        needed = 1 if miss == 0 else math.ceil(math.log(1 - recall) / math.log(miss))
-        if miss < 1 and needed <= tables:
-            return Plan(hashes, PROBES, max(1, needed), threshold)
-        if tables >= 64:
-            return Plan(hashes, PROBES, tables if miss == 1 else min(needed, 128), threshold)
+        if miss < 1:
+            needed = 1 if miss == 0 else math.ceil(math.log(1 - recall) / math.log(miss))
+            if needed <= tables:
+                return Plan(hashes, PROBES, max(1, needed), threshold)
         tables *= 2
+        if tables > MOST_TABLES and hashes > 1:
+            hashes, tables = hashes - 1, 4
+    raise ValueError(f"{LAST_TABLES} tables miss the recall {recall} at the threshold {threshold}")
 
 
 def _unit(column) -> np.ndarray:

@@ -37,6 +37,7 @@ from .tables import freeze, importable
 # Parameters: the dictionary is trained on at most so many documents and bytes of ids.
 SAMPLE_DOCS = 2000
 SAMPLE_BYTES = 8 << 20
+SAMPLE_CHARS = 20_000  # of a sampled text, at a drawn place
 DICTIONARY_BYTES = 64 << 10
 BLOCK_BYTES = 1 << 20
 LEVEL = 1
@@ -181,15 +182,19 @@ def _texts(column: pa.Array) -> list[str]:
 def train_dictionary(docs: DataFrame, text_column: str, tokenizer: str, end_id: int) -> dict:
     """A zstandard dictionary from a bounded sample of documents, and its hash.
 
-    The sample follows the hash of the texts, so it is the same for every layout of the
-    table, and copies enter once.  Only rows below a hash bound, about twice the sample,
-    leave the scan.  Too few ids give no dictionary.
+    The sample follows the hash of the whole texts, so it is the same for every layout of
+    the table, and copies enter once.  Only rows below a hash bound, about twice the sample,
+    leave the scan.  Of a text longer than ``SAMPLE_CHARS`` a piece of that length enters,
+    at a place drawn by the hash.  Too few ids give no dictionary.
     """
-    text = F.substring(F.coalesce(F.col(text_column).cast("string"), F.lit("")), 1, 20_000)
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     share = min(1.0, 2 * SAMPLE_DOCS / max(1, docs.count()))
-    low = F.shiftrightunsigned(F.xxhash64(text), 1) <= F.lit(min(int(share * 2.0**63), (1 << 63) - 1))
-    texts = docs.select(text.alias("t")).where(low).groupBy(F.xxhash64("t").alias("h"))
-    rows = texts.agg(F.min("t").alias("t")).orderBy("h")
+    bound = F.lit(min(int(share * 2.0**63), (1 << 63) - 1))
+    rows = docs.select(text.alias("t")).where(F.shiftrightunsigned(F.xxhash64(text), 1) <= bound)
+    rows = rows.withColumn("h", F.xxhash64("t"))
+    places = F.greatest(F.char_length("t") - SAMPLE_CHARS, F.lit(0)) + 1
+    piece = F.substring("t", (F.pmod("h", places) + 1).cast("int"), F.lit(SAMPLE_CHARS))
+    rows = rows.select("h", piece.alias("t")).groupBy("h").agg(F.min("t").alias("t")).orderBy("h")
     found = encoder(tokenizer)
     samples, total = [], 0
     for part in _batches([r["t"] for r in rows.limit(SAMPLE_DOCS).collect()]):

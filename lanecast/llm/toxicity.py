@@ -46,7 +46,7 @@ class Settings:
     hidden: int = 10
     attention: int = 10
     docs_per_class: int = 1500  # the bound of the training sample
-    windows_per_doc: int = 24  # of a training document, drawn over its whole text
+    windows_per_doc: int = 64  # of a training document, drawn over its whole text
     steps: int = 700
     batch: int = 160
     rate: float = 0.01

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from lanecast.llm import embeddings as E
 
@@ -95,5 +96,27 @@ def test_recall_at_the_threshold():
     assert met.mean() >= 0.99
 
 
+@pytest.mark.parametrize("threshold,recall", [(0.9, 0.999), (0.8, 0.99)])
+def test_recall_at_lower_thresholds(threshold, recall):
+    plan = E.plan_for(64, 10**6, threshold, recall)
+    assert plan.tables <= E.LAST_TABLES
+    rng = np.random.default_rng(98)
+    x = rng.standard_normal((1000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away = rng.standard_normal(x.shape)
+    away -= (away * x).sum(axis=1, keepdims=True) * x
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    y = threshold * x + np.sqrt(1 - threshold**2) * away
+    a, b = E.keys(x, plan), E.keys(y, plan)
+    met = (a[:, :, :, None] == b[:, :, None, :]).any(axis=(1, 2, 3))
+    assert met.mean() >= recall - 0.02
+
+
+def test_an_unreachable_recall_is_an_error(monkeypatch):
+    monkeypatch.setattr(E, "LAST_TABLES", 4)
+    with pytest.raises(ValueError, match="miss the recall"):
+        E.plan_for(64, 10**6, 0.02)
+
+
 def test_no_rows(spark):
     assert E.near_vectors(spark.createDataFrame([], VECTORS)).collect() == []

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 
 import public_tokenizers
 from lanecast.llm import tokens as T
@@ -80,3 +81,20 @@ def test_no_rows(spark, tmp_path):
     folder = str(tmp_path / "out")
     T.write_tokens(edge.none(spark), folder, PATH, 2)
     assert T.read_digests(spark, folder).collect() == []
+
+
+def test_dictionary_learns_from_anywhere_in_long_texts(spark, monkeypatch):
+    """Of texts that start alike, a sample of beginnings would hold a single piece."""
+    monkeypatch.setattr(T, "SAMPLE_CHARS", 2000)
+    rng = np.random.default_rng(3)
+    start = "the same words at the start " * 80
+    texts = [start + " ".join(rng.choice(edge.WORDS, 800)) for _ in range(60)] + [None, ""]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = T.train_dictionary(docs, "text", PATH, 2)
+    again = T.train_dictionary(docs.repartition(5), "text", PATH, 2)
+    assert found["data"] and found["hash"] == again["hash"]
+    body = " ".join(rng.choice(edge.WORDS, 60)).split(" ")
+    ids = T.encoder(PATH).encode([" ".join(body)])[0]
+    plain = zstandard.ZstdCompressor().compress(ids)
+    with_it = zstandard.ZstdCompressor(dict_data=T._dictionary(found["data"])).compress(ids)
+    assert len(with_it) < len(plain)
