@@ -10,7 +10,7 @@ logits (mean, highest, share above zero) gives its score.
 The network is trained on the driver, by Adam with a fixed number of steps, on windows
 drawn over the whole texts of a bounded sample of labelled documents.  Tasks draw those
 windows, and later read other sampled documents whole for the logistic function, so no
-text reaches the driver.  Executors get the weights (about a megabyte, fixed) and score
+whole text reaches the driver.  Executors get the weights (about a megabyte, fixed) and score
 documents independently: a narrow step without a shuffle.
 """
 
