@@ -2,9 +2,10 @@
 
 Every context word has a restaurant; all share one parent, the unigram restaurant, whose
 base is uniform over the vocabulary and one unknown word.  The context of a token is the
+word before it: ``word_contexts`` has a restaurant for every word.  Below, on request, it is the
 last of the ``context_words`` most frequent training words before it (or the start of the
-text), so the number of restaurants is a parameter, and a few numbers per restaurant are
-all that tasks need to share.  Discounts are estimated from counts of counts.
+text); then a few numbers per restaurant are all that tasks need to share.  Discounts are
+estimated from counts of counts.
 
 Seating is sampled by Gibbs sweeps in the Chinese-restaurant representation, collapsed to
 the number of tables that serve a word in a restaurant: given the other words' tables the
@@ -42,7 +43,6 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .tables import freeze, importable, releasing
 
-CONTEXT_WORDS = 62
 SWEEPS = 5
 BURN_IN = 2
 STRENGTHS = (1.0, 1.0)  # of the unigram and of the context restaurants
@@ -626,39 +626,16 @@ def _add_up(totals: Totals, id_type: pa.DataType):
     return run
 
 
-def language_model_scores(
-    docs: DataFrame,
-    train: Column,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-    context_words: int = CONTEXT_WORDS,
-) -> DataFrame:
-    """One row per document: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
-
-    ``train`` tells which documents are learned from (null: not).  ``base_score`` is the
-    add-one-half unigram's and ``score`` the model's log10 probability of the text, end
-    included; ``perplexity`` is the model's per token.  A null or empty text is the end
-    alone.  Null and repeated ids are scored row by row.  Without training documents
-    every word is unknown, and both models give each token their uniform base.  No rows
-    give none.
-    """
-    if not 0 <= context_words < 255:
-        raise ValueError("a context's number takes eight bits")
-    importable(docs.sparkSession)
-    kind = docs.schema[id_column].dataType.simpleString()
-    own = docs.select(
-        F.monotonically_increasing_id().alias("row"),
-        F.col(id_column).alias("id"),
-        F.col(text_column).cast("string").alias("text"),
-        F.coalesce(train, F.lit(False)).alias("train"),
-    )
+def _frequent_contexts(own: DataFrame, context_words: int) -> tuple[DataFrame, int]:
+    """Scores with the last of the ``context_words`` most frequent words as context; training tokens."""
+    kind = own.schema["id"].dataType.simpleString()
     counted = own.select("text", "train").mapInArrow(releasing(_count), "word binary, n long")
     counted = counted.groupBy("word").agg(F.sum("n").alias("n"))
     top = counted.where(F.length("word") > 0).orderBy(F.col("n").desc(), "word").limit(context_words)
     frequent = [bytes(r["word"]) for r in top.collect()]
     totals = Totals(len(frequent) + 1)
     # Row numbers and everything that hangs on them are written in one pass.
-    id_type = to_arrow_type(docs.schema[id_column].dataType)
+    id_type = to_arrow_type(own.schema["id"].dataType)
     listed = f"docs array<struct<id:{kind},train:boolean,n_tokens:bigint>>"
     posted = freeze(own.mapInArrow(releasing(_post(frequent, id_type)), f"{_POSTED}, {listed}"), "postings")
     counts = posted.where(F.length("counts") > 0).select("word", "counts")
@@ -689,12 +666,49 @@ def language_model_scores(
         releasing(_add_up(totals, id_type)),
         f"id {kind}, train boolean, n_tokens long, known long, base double, score double",
     )
+    return scored, totals.train_tokens
+
+
+def language_model_scores(
+    docs: DataFrame,
+    train: Column,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    context_words: int | None = None,
+) -> DataFrame:
+    """One row per document: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
+
+    ``train`` tells which documents are learned from (null: not).  ``base_score`` is the
+    add-one-half unigram's and ``score`` the model's log10 probability of the text, end
+    included; ``perplexity`` is the model's per token.  A null or empty text is the end
+    alone.  Null and repeated ids are scored row by row.  Without training documents
+    every word is unknown, and both models give each token their uniform base.  No rows
+    give none.
+
+    The context of a token is the word before it, whatever the size of the vocabulary.  With
+    ``context_words`` it is the last of so many most frequent words instead.
+    """
+    if context_words is not None and not 0 <= context_words < 255:
+        raise ValueError("a context's number takes eight bits")
+    importable(docs.sparkSession)
+    own = docs.select(
+        F.monotonically_increasing_id().alias("row"),
+        F.col(id_column).alias("id"),
+        F.col(text_column).cast("string").alias("text"),
+        F.coalesce(train, F.lit(False)).alias("train"),
+    )
+    if context_words is None:
+        from .word_contexts import scores  # it needs this module
+
+        scored, train_tokens = scores(own)
+    else:
+        scored, train_tokens = _frequent_contexts(own, context_words)
     return scored.select(
         F.col("id").alias(id_column),
         (~F.col("train")).alias("held_out"),
         "n_tokens",
         F.col("known").alias("n_known"),
-        F.lit(totals.train_tokens).cast("long").alias("train_tokens"),
+        F.lit(train_tokens).cast("long").alias("train_tokens"),
         F.col("base").alias("base_score"),
         "score",
         F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
