@@ -34,8 +34,9 @@ and go to the executors, and the documents stay where they are.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import product, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .tables import importable, releasing
+from .tables import importable, releasing, texts_of
 
 WORDS = re.compile(r"[^\W_]+")
 # Scripts written without spaces (Thai, Lao, Burmese, Khmer, kana, Han); each letter is a word.
@@ -64,6 +65,7 @@ PIECE_WORDS = 60  # longer items are searched by pieces
 LENGTH_RATIO = 1.25  # longest to shortest item of a length group
 RARE_MASSES = (0.005, 0.01, 0.02, 0.04, 0.08)  # shares of a text that its rarest words make up
 SHORT = 5  # an item of fewer words is searched as an exact passage, one of a single word as a whole text
+WALKED = 1 << 18  # windows that walk together
 CHUNK_BYTES = 16 << 20  # of items that executors hold at once
 
 
@@ -101,7 +103,7 @@ def random_bits(n_symbols: int, steps: int) -> np.ndarray:
 
 
 class Walk:
-    """CGK walks of many windows at once."""
+    """CGK walks of many windows at once; words and places are platform integers, which index fastest."""
 
     def __init__(self, words: np.ndarray, at: np.ndarray, bits: np.ndarray, step: int = 0):
         self.words, self.at, self.bits, self.step = words, at, bits, step
@@ -109,11 +111,15 @@ class Walk:
     def symbols(self, position: int) -> np.ndarray:
         """The embeddings' symbols at a position not before the last one asked for."""
         while True:
-            found = self.words[self.at]
+            found = self.words.take(self.at)
             if self.step == position:
                 return found
-            move = self.bits[self.step >> 6][found] >> np.uint64(self.step & 63)
-            self.at = self.at + (move & np.uint64(1)).astype(np.int32)
+            bits, shift = self.bits[self.step >> 6], np.uint64(self.step & 63)
+            if len(found) > len(bits):  # a step's bits by symbol are fewer than the windows
+                move = ((bits >> shift) & np.uint64(1)).astype(np.intp).take(found)
+            else:
+                move = ((bits.take(found) >> shift) & np.uint64(1)).astype(np.intp)
+            self.at = self.at + move
             self.step += 1
 
     def subset(self, rows: np.ndarray) -> Walk:
@@ -269,7 +275,8 @@ class Chunk:
 
     def sampled(self, sequences, table) -> list[np.ndarray]:
         """The symbols of whole sequences at a table's positions."""
-        walk = Walk(*joined(list(sequences)), self.bits[table[0]])
+        words, starts = joined(list(sequences))
+        walk = Walk(words.astype(np.intp), starts.astype(np.intp), self.bits[table[0]])
         return [walk.symbols(p) for p in table[1]]
 
     def _tables_needed(self, items, drawn, recall, rng) -> int | None:
@@ -312,37 +319,41 @@ class Chunk:
         mass = np.cumsum(counts[by_count]) / n
         item_words = np.concatenate(self.words)
         begins = np.cumsum(self.sizes) - self.sizes
-        running, sure, better = [], [], []
+        rares, sure, better = [], [], []
         for share in RARE_MASSES:
             rare = np.zeros(self.n_symbols, dtype=bool)
             rare[by_count[mass <= share]] = True
-            running.append(np.concatenate([[0], np.cumsum(rare[words], dtype=np.int32)]))
+            rares.append(rare)
             kept = np.add.reduceat(rare[item_words].astype(np.int64), begins) - self.edits
             by_chance = share * (self.sizes + self.edits)
             sure.append(kept)
             better.append((kept - by_chance) / np.sqrt(by_chance))
         sure, better = np.array(sure), np.array(better)
         named = np.where(better.max(axis=0) > 0, better.argmax(axis=0), -1)
+        running = {
+            k: np.concatenate([[0], np.cumsum(rares[k][words], dtype=np.int32)]) for k in set(named.tolist()) - {-1}
+        }
         known = np.concatenate([[0], np.cumsum(words > OTHER, dtype=np.int32)])
-        starts = np.arange(len(words), dtype=np.int32)
+        starts = np.arange(len(words))
         for group in self.groups:
-            reach = np.minimum(starts + group.longest + self.edits[group.items].max(), limits)
-            good = known[reach] - known[:-1] >= group.known_words
+            reach = np.minimum(starts + (group.longest + self.edits[group.items].max()), limits)
+            good = known.take(reach) - known[:-1] >= group.known_words
             some = np.zeros(len(words), dtype=bool)
             for k in np.unique(named[group.items]).tolist():
                 if k < 0:
                     some[:] = True
                 else:
                     least = sure[k][group.items][named[group.items] == k].min()
-                    some |= running[k][reach] - running[k][:-1] >= least
+                    some |= running[k].take(reach) - running[k][:-1] >= least
             yield starts[good & some]
 
     def candidates(self, words: np.ndarray, starts: np.ndarray, group: LengthGroup):
         """(start, piece) of windows that agree with a piece in some table."""
         if group.tables is None:
             return self.every_candidate(words, starts, group)
-        found = []
-        for number in range(WALKS if len(starts) else 0):
+        found, words = [], words.astype(np.intp)
+        parts = [starts[a : a + WALKED] for a in range(0, len(starts), WALKED)]
+        for starts, number in product(parts, range(WALKS)):
             walk = Walk(words, starts, self.bits[number])
             by_first: dict[int, list[Table]] = {}
             for table in group.tables:
@@ -412,14 +423,17 @@ class Chunk:
 
     def matches(self, texts: list[str]) -> list[tuple]:
         """(text, item key, edits, item words, begin word, end word), the best passage of each pair."""
-        docs = [split_words(t) for t in texts]
-        get = self.ids.get
-        if not self.ids or not any(docs):
+        if not self.ids:
+            return []
+        get, ids = self.ids.get, []
+        for text in texts:
+            words = split_words(text)
+            ids.append(np.fromiter(map(get, words, repeat(OTHER)), np.int32, len(words)))
+        if not any(map(len, ids)):
             return []
-        ids = (np.fromiter((get(w, OTHER) for w in d), np.int32, len(d)) for d in docs)
-        flat, begins = joined(list(ids))
+        flat, begins = joined(ids)
         ends = np.append(begins[1:], len(flat)) - 1  # where each text's end symbol stands
-        owner = np.repeat(np.arange(len(docs)), ends - begins + 1)
+        owner = np.repeat(np.arange(len(ids)), ends - begins + 1)
         out = self.short_matches(flat, begins, ends, owner)
         if not self.words:
             return out
@@ -486,10 +500,10 @@ def _merged(lo: np.ndarray, hi: np.ndarray, owner: np.ndarray) -> Iterator[tuple
     yield from zip(lo[first].tolist(), np.maximum.reduceat(hi, first).tolist())
 
 
-def _portions(texts: list, most_chars: int = 4 << 20) -> Iterator[tuple[int, list[str]]]:
+def _portions(texts: Iterable[str], most_chars: int = 4 << 20) -> Iterator[tuple[int, list[str]]]:
     part, total, at = [], 0, 0
     for t in texts:
-        part.append(t or "")
+        part.append(t)
         total += len(part[-1])
         if total >= most_chars:
             yield at, part
@@ -503,7 +517,7 @@ def _match(shared, id_type: pa.DataType, item_type: pa.DataType):
         chunk = shared.value
         for batch in batches:
             ids = batch.column(0)
-            for at, texts in _portions(batch.column(1).to_pylist()):
+            for at, texts in _portions(texts_of(batch.column(1))):
                 hits = chunk.matches(texts)
                 columns = list(zip(*hits)) or [()] * 6
                 own = ids.take(pa.array([at + k for k in columns[0]], pa.int64()))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -58,10 +59,17 @@ def releasing(run):
     return released
 
 
+def texts_of(column: pa.Array, rows: int = 1000) -> Iterator[str]:
+    """The column's texts, null as empty; few of them are copied out of the batch at a time."""
+    for at in range(0, len(column), rows):
+        for text in column.slice(at, rows).to_pylist():
+            yield text or ""
+
+
 def dealt_evenly(df: DataFrame, rows_per_task: int) -> DataFrame:
     """A written table in enough tasks for rows that expand; counting it reads only footers."""
     tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows_per_task))
     return df.repartition(tasks)
 
 
-__all__ = ["dealt_evenly", "freeze", "importable", "release_memory", "releasing", "table"]
+__all__ = ["dealt_evenly", "freeze", "importable", "release_memory", "releasing", "table", "texts_of"]

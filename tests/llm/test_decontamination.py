@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from lanecast.llm import decontamination as D
 
 from . import edge
@@ -169,3 +171,22 @@ def test_scripts_without_spaces():
     hits = {(h[0], h[2]) for h in D.Chunk([(7, item)]).matches(texts)}
     assert {(0, 0), (1, 1), (3, 0)} == hits
     assert [h[:3] for h in D.Chunk([(7, "東京駅")]).matches(["ここは東京駅です", "京東駅"])] == [(0, 7, 0)]
+
+
+def test_walks_of_few_and_many_windows_follow_the_bits():
+    """Windows beyond the number of symbols take another way to the same places."""
+    rng = np.random.default_rng(2)
+    words = rng.integers(D.OTHER, 30, 400)
+    words[-60:] = D.END
+    bits = D.random_bits(30, 70)[3]
+
+    def definition(start, position):
+        at = start
+        for step in range(position):
+            at += (int(bits[step >> 6][words[at]]) >> (step & 63)) & 1
+        return words[at]
+
+    for starts in (np.arange(0, 300, 17), np.arange(300)):
+        walk = D.Walk(words, starts, bits)
+        for position in (3, 50, 67):
+            assert walk.symbols(position).tolist() == [definition(s, position) for s in starts.tolist()]
