@@ -21,7 +21,7 @@ import hashlib
 import os
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .tables import freeze, importable
+from .tables import freeze, importable, releasing, texts_of
 
 # Parameters: the dictionary is trained on at most so many documents and bytes of ids.
 SAMPLE_DOCS = 2000
@@ -162,7 +162,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _batches(values: list, most: int = 4 << 20) -> Iterator[list]:
+def _batches(values: Iterable, most: int = 4 << 20) -> Iterator[list]:
     """Texts in portions of some megabytes."""
     part, total = [], 0
     for v in values:
@@ -175,10 +175,6 @@ def _batches(values: list, most: int = 4 << 20) -> Iterator[list]:
         yield part
 
 
-def _texts(column: pa.Array) -> list[str]:
-    return [t or "" for t in column.to_pylist()]
-
-
 def train_dictionary(docs: DataFrame, text_column: str, tokenizer: str, end_id: int) -> dict:
     """A zstandard dictionary from a bounded sample of documents, and its hash.
 
@@ -223,7 +219,7 @@ def _compress(tokenizer: str, end_id: int, dictionary: dict):
         end = np.array([end_id], dtype=found.type).tobytes()
         for batch in batches:
             at = 0
-            for part in _batches(_texts(batch.column("text"))):
+            for part in _batches(texts_of(batch.column("text"))):
                 ids = [i + end for i in found.encode(part)]
                 own = batch.column("doc_id").slice(at, len(part))
                 at += len(part)
@@ -308,7 +304,7 @@ def write_tokens(
     id_type = docs.schema[id_column].dataType.simpleString()
     named = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     encoded = named.mapInArrow(
-        _compress(tokenizer, end_id, dictionary), f"doc_id {id_type}, frame binary, n_tokens long"
+        releasing(_compress(tokenizer, end_id, dictionary)), f"doc_id {id_type}, frame binary, n_tokens long"
     )
     encoded = freeze(encoded, "frames")
     # A hot id is spread by the frame's hash.
@@ -316,7 +312,8 @@ def write_tokens(
     placed = encoded.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
     placed = placed.select(F.spark_partition_id().alias("part"), "doc_id", "frame", "n_tokens")
     arrow_id = pa.int64() if id_type == "bigint" else pa.int32() if id_type == "int" else pa.string()
-    blocks = placed.mapInArrow(_into_blocks(dictionary["hash"], arrow_id), _BLOCK.format(id=id_type))
+    into_blocks = releasing(_into_blocks(dictionary["hash"], arrow_id))
+    blocks = placed.mapInArrow(into_blocks, _BLOCK.format(id=id_type))
     blocks.write.parquet(f"{folder}/blocks")
     spark.createDataFrame(
         [(dictionary["hash"], bytearray(dictionary["data"]), dictionary["width"])],
@@ -392,7 +389,7 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
     ).join(parts, "part")
     id_type = blocks.schema["docs"].dataType.elementType["doc_id"].dataType.simpleString()
     found = blocks.mapInArrow(
-        _digest(dictionary),
+        releasing(_digest(dictionary)),
         f"part int, block int, doc_id {id_type}, inside long, n_tokens long, ids_crc32 long",
     )
     return found.join(starts, ["part", "block"]).select(

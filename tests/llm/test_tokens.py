@@ -98,3 +98,16 @@ def test_dictionary_learns_from_anywhere_in_long_texts(spark, monkeypatch):
     plain = zstandard.ZstdCompressor().compress(ids)
     with_it = zstandard.ZstdCompressor(dict_data=T._dictionary(found["data"])).compress(ids)
     assert len(with_it) < len(plain)
+
+
+def test_texts_leave_a_batch_in_parts():
+    import pyarrow as pa
+
+    from lanecast.llm.tables import texts_of
+
+    column = pa.array([None if k % 7 == 0 else f"t{k}" for k in range(25)])
+    assert list(texts_of(column, rows=4)) == [t or "" for t in column.to_pylist()]
+    assert list(texts_of(column.slice(3, 5))) == ["t3", "t4", "t5", "t6", ""]
+    assert list(T._batches(texts_of(column, rows=4), most=30)) == list(
+        T._batches([t or "" for t in column.to_pylist()], most=30)
+    )
