@@ -23,6 +23,7 @@ import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import cache
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -48,17 +49,24 @@ PIECES = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
 SPACE = "\u0120"  # a space in the byte-level alphabet
-STOPS = (".", ",", ";", ":", "!", "?")
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # a run of them after letters is one piece
+# White space beside the space and the line break.
+ASCII_SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
+SPACES = ASCII_SPACES + "\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
-def plainly_spaced(text: str) -> bool:
-    """Whether all white space is single spaces and line breaks between visible characters."""
-    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
-        return False
-    if text[0].isspace() or text[-1].isspace():
-        return False
-    # Other white space would cut words without adding to the counts.
-    return len(text.split()) == text.count(" ") + text.count("\n") + 1
+def cut_words(text: str) -> list[str] | None:
+    """The text cut at its spaces and before its line breaks, where it has no other white space.
+
+    The first word counts as one after a break.  Words that are empty or a break alone
+    tell of white space that is not between visible characters, or repeated.
+    """
+    if any(map(text.__contains__, ASCII_SPACES if text.isascii() else SPACES)):
+        return None
+    return ("\n" + text.replace("\n", " \n")).split(" ")
+
+
+_ID = attrgetter("id")
 
 
 def _visible_bytes() -> dict[int, int]:
@@ -71,11 +79,13 @@ def _visible_bytes() -> dict[int, int]:
 class Encoder:
     """Ids by the tokenizers library, whose merges see a word once per worker.
 
-    A byte-level vocabulary splits text before each space that stands between two
-    visible characters, so a word's ids don't depend on its neighbours: texts are cut
-    there, and the library's model merges the pieces of words that are new.  Texts
-    with other white space, or with a special token's string, are encoded in one
-    piece; so are all texts of vocabularies that split in another way.
+    A byte-level vocabulary splits text before each space, and on both sides of each line
+    break, that stands between two visible characters, so a word's ids don't depend on its
+    neighbours: texts are cut there, and the library's model merges the pieces of words that
+    are new.  ``words`` holds the ids of a space and the word, for a word that begins with a
+    line break those of the break and the rest.  Texts with other white space, or with a
+    special token's string, are encoded in one piece; so are all texts of vocabularies that
+    split in another way.
     """
 
     def __init__(self, path: str):
@@ -100,28 +110,38 @@ class Encoder:
             and split.use_regex
             and self.tokenizer.normalizer is None
         )
+        self.line = self._piece("\n") if self.by_word else b""
 
     def _whole(self, text: str) -> bytes:
         found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
         return np.array(found.ids, dtype=self.type).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        shown = piece.encode().decode("latin-1").translate(self.visible)
-        return self._packed([t.id for t in self.merge(shown)])
+        return self._merged(piece.encode().decode("latin-1").translate(self.visible))
 
-    def _packed(self, ids: list[int]) -> bytes:
+    def _merged(self, shown: str) -> bytes:
+        ids = list(map(_ID, self.merge(shown)))
         return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
-    def _after_space(self, word: str) -> bytes:
-        """The ids of a space and the word; plain words need no further splitting."""
-        if word.isalpha():  # letters alone are one piece
-            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.visible)
-            return self._packed([t.id for t in self.merge(SPACE + shown)])
-        body, end = word[:-1], word[-1:]
-        if end in STOPS and body.isalpha():  # a mark after letters is a piece of its own
-            ids = self.words.get(body)
-            return (self._after_space(body) if ids is None else ids) + self._word(end)
-        return self._word(" " + word)
+    def _letters(self, word: str, space: str) -> bytes:
+        """The ids of a word of letters alone, which is one piece with the space before it."""
+        return self._merged((space and SPACE) + word) if word.isascii() else self._piece(space + word)
+
+    def _spaced(self, word: str, space: str) -> bytes:
+        """The ids of a word and the space before it, if any; plain words need no further splitting."""
+        if word.isalpha():
+            return self._letters(word, space)
+        body = word.rstrip(MARKS)
+        if body.isalpha():
+            ids, end = self.words.get(body) if space else None, word[len(body) :]
+            return (ids or self._letters(body, space)) + (self.marks.get(end) or self._word(end))
+        return self._word(space + word)
+
+    def _new(self, word: str) -> bytes:
+        ids = self.line + self._spaced(word[1:], "") if word[0] == "\n" else self._spaced(word, " ")
+        if len(self.words) < CACHED_WORDS:
+            self.words[word] = ids
+        return ids
 
     def _word(self, word: str) -> bytes:
         out = []
@@ -141,19 +161,20 @@ class Encoder:
                 out.append(b"")
                 continue
             special = any(s in text for s in self.special)
-            if special or not self.by_word or not plainly_spaced(text):
+            words = None if special or not self.by_word else cut_words(text)
+            if words is None:
                 out.append(self._whole(text))
                 continue
-            head, *rest = text.split(" ")
-            ids = list(map(known.get, rest))
+            ids = list(map(known.get, words))
             if None in ids:
-                for k, found in enumerate(ids):
-                    if found is None:
-                        ids[k] = found = self._after_space(rest[k])
-                        if len(known) < CACHED_WORDS:
-                            known[rest[k]] = found
-            ids.insert(0, self._word(head))
-            out.append(b"".join(ids))
+                missing = [k for k, found in enumerate(ids) if found is None]
+                new = [words[k] for k in missing]
+                if "" in new or "\n" in new:
+                    out.append(self._whole(text))
+                    continue
+                for k, word in zip(missing, new):
+                    ids[k] = self._new(word)
+            out.append(b"".join(ids)[len(self.line) :])
         return out
 
 

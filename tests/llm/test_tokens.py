@@ -34,6 +34,23 @@ def test_full_cache_changes_nothing(monkeypatch):
     assert encoder.encode(texts) == [np.array(e.ids, dtype="<u2").tobytes() for e in whole]
 
 
+def test_words_met_before_are_not_merged_again():
+    """Words on both sides of a line break, and letters before marks, are known on their own."""
+    encoder = T.Encoder(PATH)
+    merged, merge = [], encoder.merge
+    encoder.merge = lambda shown: merged.append(shown) or merge(shown)
+    encoder.encode(["one fifteen\nTwenty two", "one thirty\nForty two", "a seventy%% b", "a ninety!?; b"])
+    merged.clear()
+    texts = ["one fifteen\nForty two", "one thirty\nTwenty ninety!?;", "a seventy%%"]
+    whole = encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
+    want = [np.array(e.ids, dtype=encoder.type).tobytes() for e in whole]
+    assert encoder.encode(texts) == want
+    assert merged == []
+    texts = ["\nninety", "ninety\n", "a \nb", "a\n b", "a\n\nb", "\n", " ", "x\u2028y z", "ninety\x1c a", "a's'!! b'%"]
+    whole = encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert encoder.encode(texts) == [np.array(e.ids, dtype=encoder.type).tobytes() for e in whole]
+
+
 def slow_digests(rows):
     encoder = T.Encoder(PATH)
     found = []
