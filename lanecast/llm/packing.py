@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .tables import freeze, importable
+from .tokens import _ID, MARKS, _visible_bytes
 
 CAPACITY = 2048
 GROUP = 200_000  # items that one task packs together
@@ -37,8 +39,7 @@ CACHED_WORDS = 700_000  # in a Python worker; when full, further words aren't ke
 CACHED_LENGTH = 64
 PORTION = 4 << 20  # characters encoded at once
 
-# Marks that stand alone after a word.
-STOPS = (".", ",", ";", ":", "!", "?")
+# Fixed value.
 _OLD_LETTERS = "ɐ"  # letters below were never anything else in any Unicode version
 
 
@@ -48,8 +49,10 @@ class WordEncoder:
     A vocabulary whose pieces never cross white space gives a text the ids of its words,
     one after another.  ``by_word`` tells whether the tokenizer is of that kind: it cuts
     by a pattern that drops white space.  Texts are cut at spaces and line breaks only;
-    other white space stays inside a word and is the library's business.  Texts of other
-    tokenizers are encoded in one piece.
+    other white space stays inside a word and is the library's business.  A word of letters is
+    one piece, which the library's model merges.  Where the tokenizer lowers cases, plain texts
+    are lowered first, so that fewer words are new.  Texts of other tokenizers are encoded in
+    one piece.
     """
 
     def __init__(self, path: str):
@@ -62,7 +65,16 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         with open(path, encoding="utf-8") as file:
-            self.by_word = self._drops_space(json.load(file))
+            settings = json.load(file)
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.special = [t.content for t in added]
+        # Letters and marks after them hold no special token's string.
+        bodies = [s.rstrip(MARKS) for s in self.special]
+        self.by_word = self._drops_space(settings) and not any(b.isalpha() or not b for b in bodies)
+        self.lowers = self.by_word and self._composes_and_lowers(settings)
+        self.merge = self.tokenizer.model.tokenize
+        self.visible = _visible_bytes()
+        self.code = "H" if self.type.itemsize == 2 else "I"
         self.known: dict[str, bytes] = {"": b""}
 
     @staticmethod
@@ -80,42 +92,60 @@ class WordEncoder:
             and all(s.get("type") == "ByteLevel" and not s.get("add_prefix_space") for s in rest)
         )
 
+    @staticmethod
+    def _composes_and_lowers(settings: dict) -> bool:
+        """Whether the normalizer changes nothing in ASCII words but their case."""
+        steps = (settings.get("normalizer") or {}).get("normalizers", [])
+        spaces = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+        return steps == [{"type": "NFC"}, spaces, {"type": "Lowercase"}]
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=self.type).tobytes() for e in found]
 
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of new words; those that may be met again are kept."""
-        bodies, ended = set(), []
-        for w in words:
-            body = w[:-1]
-            if w[-1] in STOPS and body.isalpha() and max(body) < _OLD_LETTERS:
-                ended.append(w)  # letters, then a mark: two pieces
-                bodies.update((body, w[-1]))
-            else:
-                bodies.add(w)
-        known, out = self.known, {}
-        new = [w for w in bodies if w not in known]
-        out.update(zip(new, self._whole(new)))
-        for w in ended:
-            parts = [known.get(p) or out[p] for p in (w[:-1], w[-1])]
-            out[w] = b"".join(parts)
-        for w, ids in out.items():
-            if len(w) <= CACHED_LENGTH and len(known) < CACHED_WORDS:
-                known[w] = ids
-        return out
+    def _letters(self, word: str) -> bytes | None:
+        """The ids of a word that is a single piece for certain."""
+        if self.lowers and word.isalpha() and max(word) < _OLD_LETTERS:
+            word = word.lower()
+            if word.isalpha():  # a letter may be lowered to two characters
+                shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.visible)
+                ids = list(map(_ID, self.merge(shown)))
+                return struct.pack(f"<{len(ids)}{self.code}", *ids)
+        return None
+
+    def _new(self, word: str) -> bytes:
+        """Ids of a new word, kept if it may be met again."""
+        known = self.known
+        body = word.rstrip(MARKS)
+        if body != word and body.isalpha() and max(body) < _OLD_LETTERS:  # letters, then marks: two pieces
+            end = word[len(body) :]
+            ids = (known.get(body) or self._new(body)) + (known.get(end) or self._new(end))
+        else:
+            ids = self._letters(word) or self._whole([word])[0]
+        if len(word) <= CACHED_LENGTH and len(known) < CACHED_WORDS:
+            known[word] = ids
+        return ids
+
+    def _lowered(self, text: str) -> str:
+        if not self.lowers or not text.isascii():
+            return text
+        lowered = text.lower()
+        # A special token's string is the same only as it stands.
+        return text if any(s.lower() in lowered for s in self.special) else lowered
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self._whole(texts)
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        missing = {w for words in split for w in words if w not in known}
-        if missing:
-            learned = self._learn(missing)
-            if any(w not in known for w in missing):  # the cache is full, or words are long
-                return [b"".join([known.get(w) or learned.get(w, b"") for w in s]) for s in split]
-        return [b"".join(map(known.__getitem__, s)) for s in split]
+        known, out = self.known, []
+        for text in texts:
+            words = self._lowered(text).replace("\n", " ").split(" ")
+            ids = list(map(known.get, words))
+            if None in ids:
+                for k, found in enumerate(ids):
+                    if found is None:
+                        ids[k] = self._new(words[k])
+            out.append(b"".join(ids))
+        return out
 
 
 @cache

@@ -55,6 +55,21 @@ def test_a_full_cache_changes_nothing(monkeypatch):
         assert small.encode(texts) == large.encode(texts)
 
 
+def test_letters_and_marks_need_no_call_of_the_whole_pipeline(library):
+    encoder = P.WordEncoder(PATH)
+    texts = ["Plain letters, in sentences.\nÄrger (und) Ñandú%% mixed!!", "plain LETTERS!? Sentences"]
+    want = [library(t)[:-1] for t in texts]
+    whole, seen = encoder._whole, []
+    encoder._whole = lambda words: seen.extend(words) or whole(words)
+    assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(texts)] == want
+    assert all(not any(map(str.isalpha, w)) for w in seen if w != "(und)")
+    known = len(encoder.known)
+    encoder.encode(["PLAIN LETTERS, IN Sentences."])
+    assert len(encoder.known) == known  # plain texts are lowered before they are cut
+    odd = ["a <|ENDOFTEXT|> B", "a<|EndOfText|>b <|endoftext|>", "A<|startoftext|>B C"]
+    assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(odd)] == [library(t)[:-1] for t in odd]
+
+
 def test_other_tokenizers_see_whole_texts():
     other = P.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
     assert not other.by_word
