@@ -36,7 +36,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import product, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +78,23 @@ def split_words(text: str | None) -> list[str]:
     return (MIXED_WORDS if unspaced else WORDS).findall(text)
 
 
+def _lowered_bytes() -> bytes:
+    """For texts of Latin-1: the lower-case letter or digit of each byte, else a space."""
+    lowered = (chr(b).lower() for b in range(256))
+    return b"".join(c.encode("latin-1") if WORDS.fullmatch(c) else b" " for c in lowered)
+
+
+LOWERED = _lowered_bytes()
+
+
+def latin_words(text: str) -> list[bytes] | None:
+    """As ``split_words``, in Latin-1 bytes; none if the text has other characters."""
+    try:
+        return text.encode("latin-1").translate(LOWERED).split()
+    except UnicodeEncodeError:
+        return None
+
+
 def allowed_edits(n_words: int, share: float = EDIT_SHARE) -> int:
     return int(n_words * share + 1e-9)
 
@@ -103,27 +120,30 @@ def random_bits(n_symbols: int, steps: int) -> np.ndarray:
 
 
 class Walk:
-    """CGK walks of many windows at once; words and places are platform integers, which index fastest."""
+    """CGK walks of many windows at once; words and places are platform integers, which index fastest.
+
+    ``bits`` are one walk's, by symbol; ``moves`` holds them by place, for each 64 steps.
+    """
 
-    def __init__(self, words: np.ndarray, at: np.ndarray, bits: np.ndarray, step: int = 0):
-        self.words, self.at, self.bits, self.step = words, at, bits, step
+    def __init__(self, words: np.ndarray, at: np.ndarray, bits: Iterable[np.ndarray]):
+        self.words, self.at, self.step = words, at, 0
+        self.moves = [block.take(words) for block in bits]
 
     def symbols(self, position: int) -> np.ndarray:
         """The embeddings' symbols at a position not before the last one asked for."""
-        while True:
-            found = self.words.take(self.at)
-            if self.step == position:
-                return found
-            bits, shift = self.bits[self.step >> 6], np.uint64(self.step & 63)
-            if len(found) > len(bits):  # a step's bits by symbol are fewer than the windows
-                move = ((bits >> shift) & np.uint64(1)).astype(np.intp).take(found)
-            else:
-                move = ((bits.take(found) >> shift) & np.uint64(1)).astype(np.intp)
-            self.at = self.at + move
+        while self.step < position:
+            move = self.moves[self.step >> 6].take(self.at)
+            move >>= np.uint64(self.step & 63)
+            move &= np.uint64(1)
+            self.at = self.at + move.view(np.int64)
             self.step += 1
+        return self.words.take(self.at)
 
-    def subset(self, rows: np.ndarray) -> Walk:
-        return Walk(self.words, self.at[rows], self.bits, self.step)
+    def standing(self, at: np.ndarray) -> Walk:
+        """Windows that stand at ``at`` after the same number of steps."""
+        other = Walk(self.words, at, ())
+        other.moves, other.step = self.moves, self.step
+        return other
 
 
 def joined(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -136,15 +156,24 @@ def joined(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, (np.cumsum(sizes) - sizes).astype(np.int32)
 
 
-def _mix(taken: list[np.ndarray]) -> np.ndarray:
-    """One 64-bit value of the symbols sampled so far."""
-    h = np.zeros(len(taken[0]), dtype=np.uint64)
+def _mix(taken: list[np.ndarray], h: np.ndarray | None = None) -> np.ndarray:
+    """One 64-bit value of the symbols sampled so far, of which ``h`` holds the first ones."""
+    if h is None:
+        h = np.zeros(len(taken[0]), dtype=np.uint64)
     for t in taken:
         h = (h ^ (t + 1).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(31)
     return h
 
 
+def _maybe(known: np.ndarray) -> np.ndarray:
+    """By their highest bits, whether hashes may be known; few others may."""
+    bits = max(4, (16 * len(known)).bit_length())
+    out = np.zeros(1 << bits, dtype=bool)
+    out[(known >> np.uint64(64 - bits)).astype(np.intp)] = True
+    return out
+
+
 def banded_distances(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """(least edit distance of item to any passage of text, the passage's begin, end).
 
@@ -179,6 +208,7 @@ class Table:
     positions: list[int]
     first: np.ndarray  # whether a symbol is read by some item at the first position
     known: list[np.ndarray]  # sorted hashes of the symbols up to each position
+    maybe: list[np.ndarray]  # whether hashes with the same highest bits are among them
     hashes: np.ndarray  # of all positions, sorted
     items: np.ndarray  # beside ``hashes``
 
@@ -234,6 +264,7 @@ class Chunk:
             self.item_words.append(np.array(row, dtype=np.int32))
         self.owners, self.offsets = np.array(owners, dtype=np.int64), np.array(offsets, dtype=np.int64)
         self.n_symbols = len(self.ids) + OTHER + 1
+        self.latin_ids = {w.encode("latin-1"): k for w, k in self.ids.items() if max(w) <= "\xff"}
         self.sizes = np.array([len(w) for w in self.words], dtype=np.int64)
         self.edits = np.array([allowed_edits(n, share) for n in self.sizes], dtype=np.int64)
         longest = int(self.sizes.max()) if len(self.sizes) else 0
@@ -270,7 +301,7 @@ class Chunk:
             last = _mix(taken)
             by_hash = np.argsort(last, kind="stable")
             own = np.array(items)[by_hash]
-            tables.append(Table(*table, first, known, last[by_hash], own))
+            tables.append(Table(*table, first, known, list(map(_maybe, known)), last[by_hash], own))
         return LengthGroup(np.array(items), shortest, int(sizes[-1]), keep, tables)
 
     def sampled(self, sequences, table) -> list[np.ndarray]:
@@ -347,25 +378,37 @@ class Chunk:
                     some |= running[k].take(reach) - running[k][:-1] >= least
             yield starts[good & some]
 
-    def candidates(self, words: np.ndarray, starts: np.ndarray, group: LengthGroup):
-        """(start, piece) of windows that agree with a piece in some table."""
-        if group.tables is None:
-            return self.every_candidate(words, starts, group)
+    def candidates(self, words: np.ndarray, starts: list[np.ndarray]) -> list[np.ndarray]:
+        """(start, piece) of windows that agree with a piece in some table; starts by length group."""
+        out, grouped = [], []
+        for own, group in zip(starts, self.groups):
+            if group.tables is None:
+                out.append(self.every_candidate(words, own, group))
+            elif len(own):
+                grouped.append((own, group))
         found, words = [], words.astype(np.intp)
-        parts = [starts[a : a + WALKED] for a in range(0, len(starts), WALKED)]
-        for starts, number in product(parts, range(WALKS)):
-            walk = Walk(words, starts, self.bits[number])
-            by_first: dict[int, list[Table]] = {}
-            for table in group.tables:
-                if table.walk == number:
-                    by_first.setdefault(table.positions[0], []).append(table)
-            for first, tables in sorted(by_first.items()):
-                symbols = walk.symbols(first)
-                alive = np.flatnonzero(tables[0].first[symbols])
-                begun = walk.subset(alive)
-                for table in tables:
-                    self._follow(table, begun, starts[alive], symbols[alive], found)
-        return np.unique(np.concatenate(found), axis=0) if found else found
+        reach = max((t.positions[-1] for _, group in grouped for t in group.tables), default=0)
+        for number in range(WALKS if grouped else 0):
+            walk = Walk(words, words[:0], self.bits[number][: -(-reach // 64)])
+            for own, group in grouped:
+                by_first: dict[int, list[Table]] = {}
+                for table in group.tables:
+                    if table.walk == number:
+                        by_first.setdefault(table.positions[0], []).append(table)
+                for at in range(0, len(own), WALKED):
+                    self._begin(by_first, walk.standing(own[at : at + WALKED]), found)
+        return out + found
+
+    def _begin(self, by_first: dict[int, list[Table]], walk: Walk, found: list) -> None:
+        """Follow the tables of one walk by their first positions."""
+        starts = walk.at
+        for first, tables in sorted(by_first.items()):
+            symbols = walk.symbols(first)
+            alive = np.flatnonzero(tables[0].first.take(symbols))
+            begun, own, h = walk.standing(walk.at[alive]), starts[alive], _mix([symbols[alive]])
+            # They share the way to their second positions.
+            for table in sorted(tables, key=lambda t: t.positions[1]):
+                self._follow(table, begun, own, h, found)
 
     def every_candidate(self, words: np.ndarray, starts: np.ndarray, group: LengthGroup):
         """(start, piece) of all windows with enough words of the piece, whatever tables say."""
@@ -380,19 +423,19 @@ class Chunk:
                 found.append(np.stack([good, np.full(len(good), k)], axis=1))
         return np.unique(np.concatenate(found), axis=0) if found else found
 
-    def _follow(self, table: Table, walk: Walk, starts, symbols, found: list) -> None:
-        """Add the (start, item) pairs that agree at the table's further positions too."""
-        taken = [symbols]
+    def _follow(self, table: Table, walk: Walk, starts, h, found: list) -> None:
+        """Add the (start, item) pairs that agree at the table's further positions too.
+
+        ``h`` mixes the first symbols.  ``walk`` goes on to the second position.
+        """
         for k, position in enumerate(table.positions[1:], 1):
             if not len(starts):
                 return
-            if k == 1:  # other tables go on from the same place
-                walk = Walk(walk.words, walk.at, walk.bits, walk.step)
-            taken.append(walk.symbols(position))
-            h, fits = _mix(taken), table.known[k]
-            good = np.flatnonzero(fits[np.minimum(np.searchsorted(fits, h), len(fits) - 1)] == h)
-            starts, walk, taken = starts[good], walk.subset(good), [t[good] for t in taken]
-        h = _mix(taken)
+            h, fits, maybe = _mix([walk.symbols(position)], h), table.known[k], table.maybe[k]
+            highest = h >> np.uint64(65 - len(maybe).bit_length())
+            good = np.flatnonzero(maybe.take(highest.view(np.int64)))
+            good = good[fits.take(np.searchsorted(fits, h[good]), mode="clip") == h[good]]
+            starts, walk, h = starts[good], walk.standing(walk.at[good]), h[good]
         low = np.searchsorted(table.hashes, h, "left")
         reps = np.searchsorted(table.hashes, h, "right") - low
         inner = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
@@ -421,14 +464,18 @@ class Chunk:
                 out += [(doc, key, 0, n, at, at + n) for key in self.short.get(tuple(row), ())]
         return out
 
+    def symbols(self, text: str) -> np.ndarray:
+        """The text's words as symbols."""
+        words, known = latin_words(text), self.latin_ids
+        if words is None:
+            words, known = split_words(text), self.ids
+        return np.fromiter(map(known.get, words, repeat(OTHER)), np.int32, len(words))
+
     def matches(self, texts: list[str]) -> list[tuple]:
         """(text, item key, edits, item words, begin word, end word), the best passage of each pair."""
         if not self.ids:
             return []
-        get, ids = self.ids.get, []
-        for text in texts:
-            words = split_words(text)
-            ids.append(np.fromiter(map(get, words, repeat(OTHER)), np.int32, len(words)))
+        ids = [self.symbols(text) for text in texts]
         if not any(map(len, ids)):
             return []
         flat, begins = joined(ids)
@@ -439,13 +486,9 @@ class Chunk:
             return out
         limits = ends[owner]
         best: dict[tuple, tuple] = {}
-        pairs = [
-            self.candidates(flat, starts, group)
-            for group, starts in zip(self.groups, self.promising(flat, limits))
-        ]
-        pairs = [p for p in pairs if len(p)]
+        pairs = [p for p in self.candidates(flat, list(self.promising(flat, limits))) if len(p)]
         if pairs:
-            starts, units = np.concatenate(pairs).T
+            starts, units = np.unique(np.concatenate(pairs), axis=0).T
             origin = self.owners[units]
             by_item = np.lexsort((starts, origin))
             starts, units, origin = starts[by_item], units[by_item], origin[by_item]

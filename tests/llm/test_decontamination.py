@@ -190,3 +190,46 @@ def test_walks_of_few_and_many_windows_follow_the_bits():
         walk = D.Walk(words, starts, bits)
         for position in (3, 50, 67):
             assert walk.symbols(position).tolist() == [definition(s, position) for s in starts.tolist()]
+
+
+def test_latin_texts_are_cut_as_bytes_to_the_same_words():
+    every = "".join(map(chr, range(256)))
+    texts = [every, " ".join(every), "x".join(every), "Größe_12 ÀÉÿ ª²¼µ", "", "a\x85b\xa0c\x1cd", edge.prose(50)]
+    for text in texts:
+        assert [w.decode("latin-1") for w in D.latin_words(text)] == D.split_words(text)
+    assert D.latin_words("Σ a") is None
+    chunk = D.Chunk([(1, "Größe der ÿ Äpfel naïve Σ words")])
+    for text in ("GRÖSSE größe ÿ Σ naïve", "größe ÿ naïve other", "größe ÿ\u3000naïve"):
+        assert chunk.symbols(text).tolist() == [chunk.ids.get(w, D.OTHER) for w in D.split_words(text)]
+
+
+def test_tables_share_their_steps(monkeypatch):
+    """All tables of a walk and a first position go on from each other's second position."""
+    items = [(k, edge.prose(40, k)) for k in range(30)]
+    chunk = D.Chunk(items)
+    texts = [edge.prose(200, 100 + k) + " " + items[k % 30][1] for k in range(40)]
+    steps, symbols = [0], D.Walk.symbols
+
+    def counted(walk, position):
+        steps[0] += (position - walk.step) * len(walk.at)
+        return symbols(walk, position)
+
+    flat, begins = D.joined([chunk.symbols(t) for t in texts])
+    starts = [np.arange(len(flat) - 60)] * len(chunk.groups)
+    monkeypatch.setattr(D.Walk, "symbols", counted)
+    found = np.unique(np.concatenate([f for f in chunk.candidates(flat, starts) if len(f)]), axis=0).tolist()
+    shared, alone = steps[0], 0
+    for group in chunk.groups:
+        assert group.tables
+        for table in group.tables:
+            walk = D.Walk(flat.astype(np.intp), starts[0], chunk.bits[table.walk])
+            taken = [symbols(walk, p) for p in table.positions]
+            first = table.first[taken[0]].sum()
+            alone += first * (table.positions[1] - table.positions[0])
+            h = D._mix(taken)
+            low, high = (np.searchsorted(table.hashes, h, side) for side in ("left", "right"))
+            for start in np.flatnonzero(high > low).tolist():
+                for item in table.items[low[start] : high[start]].tolist():
+                    assert [start, item] in found
+    firsts = sum(max(t.positions[0] for g in chunk.groups for t in g.tables if t.walk == w) for w in range(D.WALKS))
+    assert shared - firsts * len(starts[0]) < alone
