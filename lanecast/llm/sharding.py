@@ -28,30 +28,48 @@ from .tables import freeze
 
 SHARDS = 40
 SLICE_ROWS = 50_000  # numbered by one task at most, on average
+COUNTED_SLICES = 64  # so many slices are counted in one row per group
+FEW_OFFSETS = 500_000  # go to all executors
 OVERHEAD = 16  # fixed value: bytes beside the text
 
 
-def numbered(rows: DataFrame, groups: list[str], order: Column, slices: int, name: str) -> DataFrame:
+def numbered(
+    rows: DataFrame, groups: list[str], order: Column, slices: int, name: str, few: bool = False
+) -> DataFrame:
     """``rows`` with ``name``, a number from 0 without gaps within ``groups``, in hash order.
 
-    ``order`` is a hash (long) that spreads evenly over its range.
+    ``order`` is a hash (long) that spreads evenly over its range.  ``few`` says that groups
+    and slices are few: then the offsets, one for each of both, go to all executors.
     """
     width = ((1 << 63) - 1) // slices + (slices > 1)
     at = rows.withColumn("_order", F.shiftrightunsigned(order, 1))
     at = at.withColumn("_slice", F.expr(f"int(_order div {width})"))
-    sizes = at.groupBy(*groups, "_slice").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*groups).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    offsets = offsets.drop("_n")
+    offsets = _offsets(at, groups, slices)
     inside = Window.partitionBy(*groups, "_slice").orderBy("_order", "row")
     ranked = at.withColumn("_rank", F.row_number().over(inside) - 1)
     return (
-        ranked.join(offsets, [*groups, "_slice"])
+        ranked.join(F.broadcast(offsets) if few else offsets, [*groups, "_slice"])
         .withColumn(name, (F.col("_rank") + F.col("_offset")).cast("long"))
         .drop("_order", "_slice", "_rank", "_offset")
     )
 
 
+def _offsets(at: DataFrame, groups: list[str], slices: int) -> DataFrame:
+    """(groups, _slice, _offset): the group's rows in earlier slices."""
+    if slices <= COUNTED_SLICES:  # a group's slices in one row: a shuffle less
+        counts = [F.count_if(F.col("_slice") == k) for k in range(slices)]
+        sizes = at.groupBy(*groups).agg(F.array(*counts).alias("_n"))
+        zero = F.lit(0).cast("long")
+        before = F.transform(
+            F.sequence(F.lit(0), F.lit(slices - 1)),
+            lambda k: F.aggregate(F.slice("_n", F.lit(1), k), zero, lambda done, n: done + n),
+        )
+        return sizes.select(*groups, F.posexplode(before).alias("_slice", "_offset"))
+    sizes = at.groupBy(*groups, "_slice").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*groups).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+
+
 def slices_for(rows: DataFrame, total: int, groups: int = 1) -> int:
     """Slices per group: small enough, and at least two for each shuffle partition."""
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -142,20 +160,22 @@ def _round(
 
     Groups of more than ``most`` members move by their rows' hashes, where they may be parted.
     """
-    counts = freeze(state.groupBy("group", "shard").agg(F.count("*").alias("n")), "neighbours")
-    room = [0] * shards
-    for shard, free in counts.where("group IS NULL").select("shard", "n").collect():
-        room[shard] = free
-    plan = freeze(_plan(counts.where("group IS NOT NULL"), room), "plan")
-    if plan.isEmpty():
+    open_ = state.where("group IS NULL")
+    room = list(open_.agg(*[F.count_if(F.col("shard") == k) for k in range(shards)]).first())
+    counts = state.where("group IS NOT NULL").groupBy("group", "shard").agg(F.count("*").alias("n"))
+    plan = freeze(_plan(counts, room), "plan")
+    plans, parting = plan.agg(F.count("*"), F.count_if(F.size("targets") > 1)).first()
+    if not plans:
         return None
+    few = shards * slices <= FEW_OFFSETS
     movers = state.join(plan, ["group", "shard"])
-    if plan.where("size(targets) > 1").isEmpty():
+    if not parting:
         movers = movers.withColumn("target", F.col("targets")[0]["shard"])
     else:
         one = movers.where("size(targets) = 1").withColumn("target", F.col("targets")[0]["shard"])
         many = movers.where("size(targets) > 1")
-        many = numbered(many, ["group", "shard"], _mixed(F.col("row"), F.lit(number)), slices, "inner")
+        by_row = _mixed(F.col("row"), F.lit(number))
+        many = numbered(many, ["group", "shard"], by_row, slices, "inner", parting * slices <= FEW_OFFSETS)
         last = F.expr("element_at(filter(targets, t -> t.seat <= begin + inner), -1).shard")
         movers = one.unionByName(many.withColumn("target", last).drop("inner"))
     # Members of a group get turns in a row, unless they may be parted and are too many for a slice.
@@ -163,20 +183,21 @@ def _round(
     turn = F.when(parted, _mixed(F.col("row"), F.lit(number)))
     turn = turn.otherwise(_mixed(F.col("group"), F.lit(number)))
     movers = movers.select("row", "group", "shard", "target", "together", turn.alias("by"))
-    movers = numbered(movers, ["target"], F.col("by"), slices, "turn")
+    movers = numbered(movers, ["target"], F.col("by"), slices, "turn", few)
     # A shard that takes and gives at once keeps its count as each move is an exchange.
     movers = movers.withColumn("free", F.array(*map(F.lit, room))[F.col("target")])
     movers = freeze(movers.drop("by").where("turn <= free"), "movers")
     # At most one group per target reaches over its room.
     cut = movers.where("together AND turn = free").select("group", "target")
-    movers = movers.where("turn < free").join(cut, ["group", "target"], "left_anti")
-    free = state.where("group IS NULL").select("row", F.col("shard").alias("target"))
-    free = numbered(free, ["target"], _mixed(F.col("row"), F.lit(number)), slices, "turn")
-    swapped = free.join(movers.select("target", "turn", F.col("shard").alias("to")), ["target", "turn"])
-    changes = movers.select("row", F.col("target").alias("to")).unionByName(swapped.select("row", "to"))
-    return state.join(changes, "row", "left").select(
-        "row", "group", F.coalesce("to", "shard").alias("shard")
+    movers = movers.where("turn < free").join(F.broadcast(cut), ["group", "target"], "left_anti")
+    free = open_.select("row", F.col("shard").alias("target"))
+    free = numbered(free, ["target"], _mixed(F.col("row"), F.lit(number)), slices, "turn", few)
+    places = movers.select("target", "turn", F.col("shard").alias("to"))
+    free = free.join(places, ["target", "turn"], "left").select(
+        "row", F.lit(None).cast(state.schema["group"].dataType).alias("group"), F.coalesce("to", "target").alias("shard")
     )
+    held = state.where("group IS NOT NULL").join(movers.select("row", "target"), "row", "left")
+    return free.unionByName(held.select("row", "group", F.coalesce("target", "shard").alias("shard")))
 
 
 def shard_documents(
@@ -205,9 +226,10 @@ def shard_documents(
         "documents",
     )
     slices = slices_for(own, own.count(), shards)
-    placed = freeze(label_propagation(own.select("row", "group"), shards), "placed")
+    placed = label_propagation(own.select("row", "group"), shards)
     whole = own.drop("group").join(placed, "row")
-    whole = numbered(whole, ["shard"], _mixed(F.col("row"), F.lit("slot")), slices, "slot")
+    few = shards * slices <= FEW_OFFSETS
+    whole = numbered(whole, ["shard"], _mixed(F.col("row"), F.lit("slot")), slices, "slot", few)
     return whole.select(
         F.col("id").alias(id_column),
         "size",

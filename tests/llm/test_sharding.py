@@ -78,5 +78,19 @@ def test_numbers_have_no_gaps_across_slices(spark):
         assert own == list(range(len(own)))
 
 
+def test_numbering_shuffles_rows_once_and_counts_once(spark, monkeypatch, capsys):
+    rows = spark.range(1000).selectExpr("id AS row", "id % 3 AS g")
+
+    def numbers(few):
+        return S.numbered(rows, ["g"], S._mixed(S.F.col("row")), 7, "k", few)
+
+    numbers(True).explain()
+    assert capsys.readouterr().out.count("Exchange hashpartitioning") == 2
+    want = sorted(map(tuple, numbers(True).collect()))
+    assert sorted(map(tuple, numbers(False).collect())) == want
+    monkeypatch.setattr(S, "COUNTED_SLICES", 0)
+    assert sorted(map(tuple, numbers(True).collect())) == want
+
+
 def test_no_rows(spark):
     assert S.shard_documents(edge.none(spark)).collect() == []
