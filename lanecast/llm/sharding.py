@@ -193,9 +193,9 @@ def _round(
     free = open_.select("row", F.col("shard").alias("target"))
     free = numbered(free, ["target"], _mixed(F.col("row"), F.lit(number)), slices, "turn", few)
     places = movers.select("target", "turn", F.col("shard").alias("to"))
-    free = free.join(places, ["target", "turn"], "left").select(
-        "row", F.lit(None).cast(state.schema["group"].dataType).alias("group"), F.coalesce("to", "target").alias("shard")
-    )
+    free = free.join(places, ["target", "turn"], "left")
+    no_group = F.lit(None).cast(state.schema["group"].dataType).alias("group")
+    free = free.select("row", no_group, F.coalesce("to", "target").alias("shard"))
     held = state.where("group IS NOT NULL").join(movers.select("row", "target"), "row", "left")
     return free.unionByName(held.select("row", "group", F.coalesce("target", "shard").alias("shard")))
 

@@ -52,7 +52,7 @@ SPACE = "\u0120"  # a space in the byte-level alphabet
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # a run of them after letters is one piece
 # White space beside the space and the line break.
 ASCII_SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
-SPACES = ASCII_SPACES + "\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+SPACES = ASCII_SPACES + "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 
 
 def cut_words(text: str) -> list[str] | None:
